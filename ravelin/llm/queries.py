@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, langid, quality, toxicity
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
 from .substring import substring_dedup
+from .tokens import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +20,58 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digest(chat.format_chats(rows.unionByName(more), tokenizer_file("byte_bpe_50k.json")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.fold("doc_id", 3) == 1
+    out = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold("doc_id", 4) == 2
+    out = langid.identify(docs, langid.fit(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", F.round("cross_entropy", 4).alias("cross_entropy"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_toxicity": op3_toxicity,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_language_id": op8_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 
