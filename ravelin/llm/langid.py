@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._letters import letter_table, letters
+from ._store import sample_rows
 from ._text import U8, mix
 
 ORDER = 4
@@ -131,9 +132,8 @@ class Model:
 
 
 def train(counts, langs: list[str]) -> Model:
-    """counts: columns lang, gram, n."""
-    code_of = {lang: i for i, lang in enumerate(langs)}
-    lang = counts["lang"].map(code_of).to_numpy(np.int64)
+    """counts: columns lang (its place in langs), gram, n."""
+    lang = counts["lang"].to_numpy(np.int64)
     code, n = counts["gram"].to_numpy(np.int64).view(U8), counts["n"].to_numpy(np.float64)
     symbols = len(np.unique(code & U8(0xFFFF))) + 1
     tables = {}  # by order: grams, and their counts (continuation counts below the highest order) by language
@@ -223,14 +223,22 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     """``calibration_rows``: texts whose cross-entropies set the rejection limits, those with the least hash of their id;
     ``margin``: how far beyond the calibration texts a text may be."""
     rows = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("r"))
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not langs:
+        return None
+    # Languages as numbers: what comes to the driver is 20 bytes a gram.
     counts = rows.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
-    if not len(counts):
+    counts = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("short").alias("lang"), "gram", "n")
+    counts = counts.persist()
+    if counts.count() > max_grams:
+        counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
+    found = counts.toPandas()
+    counts.unpersist()
+    if not len(found):
         return None
-    langs = sorted(counts["lang"].unique())
-    model = train(counts, langs)
-    sample = rows.orderBy("r").limit(calibration_rows).select("lang", "text").toPandas()
-    sample = sample[sample["lang"].isin(langs)]
+    model = train(found, langs)
+    del found
+    sample = sample_rows(rows, calibration_rows).select("lang", "text").toPandas()
     calibrate(model, list(sample["lang"]), list(sample["text"]), margin)
     return model
 

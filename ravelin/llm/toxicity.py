@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ._letters import SPACE, letter_table, letters
 from ._text import U8, mix
+from ._store import sample_rows
 from .langid import parts
 
 BUCKETS, DIM, BAG_WORDS, SIZES = 1 << 18, 8, 16, (4, 5, 6)
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "
     characters in all are used, in order of the hash."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").dropDuplicates(["k"])
     rows = docs.filter(training & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(known, "k").withColumn("r", F.xxhash64("k"))
-    sample = [rows.filter(F.col("y") == y).orderBy("r").limit((2 - y) * max_rows).select("text", "y", "r").toPandas() for y in (0, 1)]
+    sample = [sample_rows(rows.filter(F.col("y") == y), (2 - y) * max_rows).select("text", "y", "r").toPandas().sort_values("r", ignore_index=True)[: (2 - y) * max_rows] for y in (0, 1)]
     if any(not len(x) for x in sample):
         return None
     texts, toxic = [], []
