@@ -74,7 +74,7 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts, table) + self.shift, -50, 50)))
 
 
-def _steps(embed, soft, past, bags, label, weight, rng, rate: float, batch: int = 256) -> None:
+def _steps(embed, soft, past, bags, label, weight, rng, rate: float, batch: int = 64) -> None:
     """One pass of minibatch Adagrad over bags (bucket arrays) with labels."""
     order = rng.permutation(len(bags))
     for k in range(0, len(order), batch):
@@ -145,11 +145,12 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 7, passes: int = 5
         weight = np.minimum(weight, 8.0)
         chosen = [bags[i] for i in at]
         for _ in range(passes):
-            _steps(embed, soft, past, chosen, label[at], weight, rng, 0.5 if not turn else 0.25)
+            _steps(embed, soft, past, chosen, label[at], weight, rng, 0.1 if not turn else 0.05)
     z = logits()
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, owner, z)
-    test = held & np.isfinite(top) if (held & (toxic == 1) & np.isfinite(top)).sum() >= 5 and (held & (toxic == 0)).sum() >= 5 else np.isfinite(top)
+    top[~np.isfinite(top)] = model().bias  # texts without n-grams
+    test = held if min((held & (toxic == y)).sum() for y in (0, 1)) >= 5 else np.ones(len(texts), bool)
     x, y = top[test], toxic[test].astype(float)
     middle, width = np.median(x), x.std() + 1e-9
     a, b, x = 1.0, 0.0, (x - middle) / width
