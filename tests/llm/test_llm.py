@@ -58,6 +58,44 @@ def test_jaccard(spark, dense_rows, block_rows):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def linked(rows, percent=80):
+    """Brute force: the least id of each row's component."""
+    sets, root = {}, {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        root[i] = i
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("dense_rows,block_rows,group", [(64, 400, 1), (2, 3, 5)])
+def test_jaccard_added_text(spark, dense_rows, block_rows, group):
+    """Copies with rarer words put before or after the text, or cut off it, at similarities about the limit."""
+    rng = random.Random(11)
+    texts = []
+    for added in range(8, 27, 2):
+        rare = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+        for kind in range(3):
+            base = words(rng, 104, 60)
+            for _ in range(group):
+                texts.append(base if kind < 2 else base + rare(added))
+                texts.append([base + rare(added), rare(added) + base, base][kind])
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard(docs(spark, rows), dense_rows=dense_rows, block_rows=block_rows).collect()}
+    assert got == linked(rows)
+
+
 def test_jaccard_empty_and_null_ids(spark):
     assert ngram_jaccard(docs(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s"), (3, "a b c d e f")]
