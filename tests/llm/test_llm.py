@@ -244,3 +244,24 @@ def test_warc(spark):
     for headers, block in records:
         assert headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
     assert records[0][1].decode().splitlines() == ["T & U", "one", "two"] and records[0][0]["WARC-Refers-To"] == records[1][0]["WARC-Refers-To"]
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Null and repeated ids in the stages: each row is judged by its own text."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(words(rng, 80)) for _ in range(5))
+    item = " ".join(words(rng, 15))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    passage = " ".join(words(rng, 60))
+    left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs(spark, rows), str(tmp_path)).collect()), key=repr)
+    rows = [(None, a), (None, b), (None, c), (3, c), (3, d), (3, d), (5, e), (5, d), (7, c), (8, None)]
+    assert left(pipeline.near_copies, rows) == sorted([(None, a), (None, b), (None, c), (3, c), (3, d), (5, e), (8, None)], key=repr)
+    rows = [(None, a), (None, f"{b} {item}"), (3, c), (3, f"{d} {item}")]
+    assert left(pipeline.benchmark_free, rows) == sorted([(None, a), (3, c)], key=repr)
+    rows = [(3, f"{a} {passage}"), (5, b), (5, f"{c} {passage}"), (None, passage)]
+    assert left(pipeline.repeated_passages, rows) == sorted([(3, f"{a} {passage}"), (5, b), (5, c), (None, passage)], key=repr)
+    spoken = [(i, " ".join(words(rng, 60, 300)), "en") for i in range(60)]
+    frame = spark.createDataFrame([*spoken, (None, spoken[0][1], None), (None, "12 !!", None), (3, "34 !!", None)], "doc_id long, text string, lang string")
+    assert sorted((r["doc_id"] is None, r["text"]) for r in pipeline.language_id(spark, frame, "").collect()) == sorted([*((False, t) for _, t, _ in spoken), (True, spoken[0][1])])
