@@ -1,8 +1,8 @@
 """Language identification: interpolated Kneser-Ney character language models, one per language.
 
-The counts of 4-grams of letters come from every training text, added up by Spark; the models are made of the counts on
-the driver, whose size depends on the alphabets and not on the number of texts (``max_grams`` bounds it: beyond it the
-rarest grams are left out, which the model then estimates from shorter ones). Each order is a sorted array of gram hashes
+The counts of 4-grams of letters come from every training text, added up by Spark; the models are made of all counts on
+the driver. Their number grows with the alphabets and with noise in the texts; none is left out, so a corpus with more
+grams than the driver holds fails instead of getting another model. Each order is a sorted array of gram hashes
 beside the log probabilities under all languages. A text gets the language with the least cross-entropy per letter.
 Rejection: a text's cross-entropy, in standard deviations for its length, must not exceed what calibration texts show.
 
@@ -219,7 +219,7 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = 3_000_000, calibration_rows: int = 4000, margin: float = 2.5) -> Model | None:
+def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, margin: float = 2.5) -> Model | None:
     """``calibration_rows``: texts whose cross-entropies set the rejection limits, those with the least hash of their id;
     ``margin``: how far beyond the calibration texts a text may be."""
     rows = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("r"))
@@ -229,11 +229,7 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     # Languages as numbers: what comes to the driver is 20 bytes a gram.
     counts = rows.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("short").alias("lang"), "gram", "n")
-    counts = counts.persist()
-    if counts.count() > max_grams:
-        counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
     found = counts.toPandas()
-    counts.unpersist()
     if not len(found):
         return None
     model = train(found, langs)

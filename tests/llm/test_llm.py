@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,20 @@ def test_langid(spark):
     assert langid.fit(frame.filter("false"), F.lit(True)) is None
 
 
+def test_langid_many_grams(spark):
+    """A language with few texts beside one with millions of grams, each of them more frequent."""
+    rng = np.random.default_rng(9)
+    wide = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 100_000))) for _ in range(31)]
+    small = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40)) for _ in range(12)]
+    rows = [(i, t, "wide") for i, t in enumerate([*wide, *wide])] + [(100 + i, t, "small") for i, t in enumerate(small)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = langid.fit(frame, F.lit(True))
+    own = frame.filter("doc_id >= 100")
+    assert [r["lang_pred"] for r in langid.identify(own, model).collect()] == ["small"] * 12
+    code = langid.grams(langid.letters(small[:1], langid.letter_table(), langid.ORDER - 1)[0])
+    assert (langid.Level.find(model.levels[langid.ORDER].keys, langid._hash(code, langid.ORDER)) >= 0).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     common = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
