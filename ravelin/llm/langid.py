@@ -4,7 +4,7 @@ The counts of 4-grams of letters come from every training text, added up by Spar
 the driver. Their number grows with the alphabets and with noise in the texts; none is left out, so a corpus with more
 grams than the driver holds fails instead of getting another model. Each order is a sorted array of gram hashes
 beside the log probabilities under all languages. A text gets the language with the least cross-entropy per letter.
-Rejection: a text's cross-entropy, in standard deviations for its length, must not exceed what calibration texts show.
+Rejection: a text's cross-entropy, in standard deviations for its length, must not exceed what training texts show.
 
 Results: null texts and texts without a letter are ``und``, score 0 and rejected; so is everything if there is nothing to
 learn from. Null languages are not learned; repeated rows count as often as they occur; other columns are not read."""
@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._letters import letter_table, letters
-from ._store import sample_rows
+from ._store import Scratch
 from ._text import U8, mix
 
 ORDER = 4
+#: Share of a language's training texts that are within its rejection limit before the margin.
+QUANTILE = 0.999
 #: Characters handled at once.
 CHUNK_CHARS = 400_000
 
@@ -164,24 +166,42 @@ def train(counts, langs: list[str]) -> Model:
     return model
 
 
-def calibrate(model: Model, langs: list[str], texts: list[str], margin: float) -> None:
-    """For each language the mean cross-entropy, how its variance falls with length, and the rejection limit."""
-    table = letter_table()
-    found = [model.entropies(texts[a:b], table) for a, b in parts(texts)]
-    entropy, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros((0, len(model.langs))), np.zeros(0))
-    own = np.array([model.langs.index(x) for x in langs], np.int64)
+def measure(model: Model):
+    """Arrow function: lang, text -> the language's place, and the text's cross-entropy under it and number of symbols."""
+    place = {lang: i for i, lang in enumerate(model.langs)}
+
+    def run(batches):
+        table = letter_table()
+        for batch in batches:
+            own, texts = np.array([place[x] for x in batch.column(0).to_pylist()], np.int32), batch.column(1).to_pylist()
+            for a, b in parts(texts):
+                e, n = model.entropies(texts[a:b], table)
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(own[a:b][some]), pa.array(e[np.arange(b - a), own[a:b]][some], pa.float64()), pa.array(n[some].astype(np.float64))], ["lang", "e", "n"])
+
+    return run
+
+
+def calibrate(model: Model, rows: DataFrame, margin: float, few: int = 5) -> None:
+    """For each language the mean cross-entropy, how its variance falls with length, and the rejection limit, from all its
+    training texts; languages with fewer than ``few`` take those of all languages' texts together."""
+    scratch = Scratch(rows.sparkSession, "langid")
+    found = scratch.write(rows.select("lang", "text").mapInArrow(measure(model), "lang int, e double, n double"), "measured")
+    found = found.withColumn("lang", F.explode(F.array("lang", F.lit(-1))))  # -1: all languages
+    weight = F.least("n", F.lit(1000.0))
+    means = found.groupBy("lang").agg(F.count("*").alias("rows"), (F.sum(F.col("e") * weight) / F.sum(weight)).alias("mean"), F.percentile_approx("n", 0.5).alias("mid"))
+    means = scratch.write(means, "means")
+    off = found.join(F.broadcast(means), "lang").withColumn("d", F.col("e") - F.col("mean"))
+    spread = off.groupBy("lang").agg(F.greatest(F.coalesce(F.avg(F.when(F.col("n") > F.col("mid"), F.col("d") * F.col("d"))), F.lit(0.0)), F.lit(1e-4)).alias("fixed"), F.greatest(F.avg(F.col("d") * F.col("d") * F.col("n")), F.lit(1e-3)).alias("per"))
+    spread = scratch.write(spread, "spread")
+    z = F.col("d") / F.sqrt(F.col("fixed") + F.col("per") / F.col("n"))
+    limits = off.join(F.broadcast(spread), "lang").groupBy("lang").agg(F.percentile_approx(z, QUANTILE, 100_000).alias("z"))
+    rules = {r["lang"]: r for r in means.join(spread, "lang").join(limits, "lang").collect()}
+    scratch.drop("measured", "means", "spread")
     for i in range(len(model.langs)):
-        mine = (own == i) & (n > 0)
-        e, m = entropy[mine, i], n[mine]
-        if len(e) < 5:
-            model.rules[i] = (0.0, 0.0, 1.0, np.inf)
-            continue
-        mean = np.average(e, weights=np.minimum(m, 1000))
-        short = m <= np.median(m)
-        fixed = max(np.mean((e[~short] - mean) ** 2) if (~short).any() else 0.0, 1e-4)
-        per = max(np.mean((e - mean) ** 2 * m), 1e-3)
-        z = (e - mean) / np.sqrt(fixed + per / m)
-        model.rules[i] = (float(mean), float(fixed), float(per), float(max(z.max(), 3.0) * margin))
+        r = rules.get(i)
+        r = rules.get(-1) if r is None or r["rows"] < few else r
+        model.rules[i] = (r["mean"], r["fixed"], r["per"], max(r["z"], 3.0) * margin) if r else (0.0, 0.0, 1.0, np.inf)
 
 
 def predict(model: Model | None):
@@ -219,10 +239,9 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, margin: float = 2.5) -> Model | None:
-    """``calibration_rows``: texts whose cross-entropies set the rejection limits, those with the least hash of their id;
-    ``margin``: how far beyond the calibration texts a text may be."""
-    rows = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("r"))
+def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = 2.5) -> Model | None:
+    """``margin``: how far beyond the training texts a text may be."""
+    rows = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
@@ -234,8 +253,7 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
         return None
     model = train(found, langs)
     del found
-    sample = sample_rows(rows, calibration_rows).select("lang", "text").toPandas()
-    calibrate(model, list(sample["lang"]), list(sample["text"]), margin)
+    calibrate(model, rows, margin)
     return model
 
 

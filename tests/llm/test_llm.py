@@ -227,6 +227,22 @@ def test_langid_many_grams(spark):
     assert (langid.Level.find(model.levels[langid.ORDER].keys, langid._hash(code, langid.ORDER)) >= 0).all()
 
 
+def test_langid_limits(spark):
+    """A language with a few of many rows rejects too."""
+    rng = random.Random(10)
+    say = lambda letters, n=40: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, say(["abcdef", "defghi"][i % 2]), ["aa", "bb"][i % 2]) for i in range(6000)] + [(9000 + i, say("uvwxyz"), "cc") for i in range(3 + 4)]
+    rows += [(9100 + i, say("rstuvw"), "dd") for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, F.lit(True))
+    assert model.langs == ["aa", "bb", "cc", "dd"] and all(np.isfinite(model.rules[i][3]) for i in range(4))
+    got = {r["doc_id"]: r for r in langid.identify(frame, model).collect()}
+    assert all(got[i]["lang_pred"] == k and not got[i]["rejected"] for i, _, k in rows if k in ("cc", "dd"))
+    assert sum(r["rejected"] for r in got.values()) == 0
+    odd = spark.createDataFrame([(1, "uzklm nopqj zuklm jqpon mlkuz " * 20)], "doc_id long, text string")
+    assert langid.identify(odd, model).first()["rejected"]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     common = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
