@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset a temporary folder takes its place on one machine; on a
+    cluster that is an error, since executors would write where nobody else reads."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='ravelin-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -10,8 +10,8 @@ import pyarrow as pa
 U8 = np.uint64
 #: Odd multipliers of the two polynomial hashes, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text handled at once (a longer text is handled alone), and bytes of words hashed at once.
+CHUNK_BYTES, HASH_BYTES = 2_000_000, 1 << 17
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -27,14 +27,16 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**0..n-1 and their inverses modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, HASH_BYTES)
 
         def run(b: int) -> np.ndarray:
             steps = np.full(size, b, U8)
             steps[0] = 1
             return np.multiply.accumulate(steps)
 
-        have = _powers[base] = (run(base), run(pow(base, -1, 1 << 64)))
+        have = run(base), run(pow(base, -1, 1 << 64))
+        if size <= CHUNK_BYTES:
+            _powers[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -89,11 +91,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.raw)
-        up, down = powers(BYTE_BASE, n)
-        run = np.zeros(n + 1, U8)
-        np.cumsum((self.raw.astype(U8) + U8(1)) * up, out=run[1:])
-        return mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(U8))
+        out = np.empty(len(self), U8)
+        k = 0
+        while k < len(out):
+            stop = max(k + 1, int(np.searchsorted(self.start, self.start[k] + HASH_BYTES)))
+            low = self.start[k]
+            start, end = self.start[k:stop] - low, self.end[k:stop] - low
+            up, down = powers(BYTE_BASE, int(end[-1]))
+            run = np.zeros(end[-1] + 1, U8)
+            np.cumsum((self.raw[low : low + end[-1]].astype(U8) + U8(1)) * up, out=run[1:])
+            out[k:stop] = mix((run[end] - run[start]) * down[start] + (end - start).astype(U8))
+            k = stop
+        return out
 
 
 def running(hashes: np.ndarray) -> np.ndarray:
