@@ -6,14 +6,17 @@ smaller id. Whole-corpus automata would outgrow any broadcast, so the reference
 1. Each window is filed under its *anchor*, the least hash of the 8-word sequences in it; equal windows have equal
    anchors, wherever they stand. Anchors found in one document only are dropped.
 2. A *passage* is the run of windows of a text with one anchor. Equal passages collapse to one with its first document.
-3. A shard holds the passages of some anchors (an anchor with many passages is cut into several shards, and what is
-   streamed past them into blocks). Each shard's generalised suffix automaton carries in every state the first document
+3. A shard holds the passages of some anchors. Its generalised suffix automaton carries in every state the first document
    of its strings. A passage streamed past it gives, word by word, the longest match; where it spans a window, the
    state of that length tells the first document with that window.
-4. Each document takes the spans whose first document is before it.
+4. The passages of a hot anchor (more than a shard holds) go through the same steps again, as texts of their own, with
+   anchors of longer sequences, at last of whole windows, of which no anchor has more than one passage. So equal windows
+   still meet in one place, each passage goes only where its own windows are, and the work grows with the passages.
+5. Each document takes the spans whose first document is before it.
 
-Results: null texts have no words; null ids neither lose words nor make others lose them; rows that repeat an id are taken
-to repeat its text, and keep alike; texts shorter than a window lose nothing; extra columns are left alone."""
+Results: null texts have no words; null ids neither lose words nor make others lose them; rows that repeat an id with another
+text are judged each by its own text, and no row loses words to a row of its own id; equal rows keep alike; texts shorter than
+a window lose nothing; extra columns are left alone."""
 
 from __future__ import annotations
 
@@ -21,25 +24,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ._memory import frugal, tune
 from ._store import Scratch
 from ._text import U8, Words, chunks, mix, running, sequence, space_table, utf8
 
-ANCHOR_WORDS = 8
+#: Words of the sequences that anchors are taken from, one level after the other; the last level's are whole windows.
+ANCHOR_WORDS = (8, 24)
 SPOT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 #: Entries of a block and of a task's buffer; distinct passages of one shard.
-BLOCK_SPOTS, FLUSH_SPOTS, SHARD_PASSAGES = 250_000, 500_000, 600
+BLOCK_SPOTS, FLUSH_SPOTS, SHARD_PASSAGES = 250_000, 250_000, 600
 
 
-def anchors(words: Words, window: int) -> tuple[np.ndarray, ...]:
+def anchors(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Text, anchor and first and last window start (in words of the text) of every passage."""
     none = np.zeros(0, np.int64)
     if len(words) < window:
         return none, none.astype(U8), none, none
     run, first = running(words.hashes()), words.first
-    k = min(ANCHOR_WORDS, window)
+    k = min(gram, window)
     grams = sequence(run, np.arange(len(words) - k + 1), k)
     width = window - k + 1
     least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(words) - window + 1)
@@ -57,7 +63,7 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, ...]:
     return text[new], grams[place[new]], at[new] - begins[new], at[last] - begins[new]
 
 
-def file_spots(window: int, blocks: int):
+def file_spots(window: int, gram: int, blocks: int):
     """Arrow function: all passages' places, packed by anchor block."""
 
     def table(parts):
@@ -73,7 +79,7 @@ def file_spots(window: int, blocks: int):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for a, b in chunks(texts, 400_000):
-                text, h, lo, hi = anchors(Words(texts[a:b], spaces), window)
+                text, h, lo, hi = anchors(Words(texts[a:b], spaces), window, gram)
                 part = np.empty(len(text), SPOT)
                 part["doc"], part["h"], part["lo"], part["hi"] = ids[a + text], h, lo, hi
                 if len(part):
@@ -124,22 +130,27 @@ def cut_passages(window: int):
     """Arrow function: the words of each shared passage."""
 
     def run(batches):
+        kinds = {"doc": pa.int64(), "label": pa.int64(), "h": pa.int64(), "lo": pa.int32(), "key": pa.binary(), "words": pa.binary()}
+        out: dict[str, list] = {name: [] for name in kinds}
+
+        def table():
+            batch = pa.RecordBatch.from_arrays([pa.array(v, kinds[name]) for name, v in out.items()], list(out))
+            for v in out.values():
+                v.clear()
+            return batch
+
         for batch in batches:
-            ids, texts, spots = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
-            docs, hs, los, keys, words = [], [], [], [], []
-            for doc, text, places in zip(ids, texts, spots):
+            docs, labels, texts, spots = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3)
+            for i, (doc, label, text) in enumerate(zip(docs, labels, texts)):
                 split = (text or b"").split()
-                for place in places:
+                for place in spots[i].as_py():
                     passage = b" ".join(split[place["lo"] : place["hi"] + window])
-                    docs.append(doc)
-                    hs.append(place["h"])
-                    los.append(place["lo"])
-                    keys.append(hashlib.md5(passage).digest())
-                    words.append(passage)
-                if len(docs) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(los, pa.int32()), pa.array(keys, pa.binary()), pa.array(words, pa.binary())], ["doc", "h", "lo", "key", "words"])
-                    docs, hs, los, keys, words = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(los, pa.int32()), pa.array(keys, pa.binary()), pa.array(words, pa.binary())], ["doc", "h", "lo", "key", "words"])
+                    for name, value in zip(out, (doc, label, place["h"], place["lo"], hashlib.md5(passage).digest(), passage)):
+                        out[name].append(value)
+                if len(out["doc"]) > 10_000:
+                    yield table()
+        if out["doc"]:
+            yield table()
 
     return run
 
@@ -213,37 +224,61 @@ class Automaton:
 
 
 def match_shard(window: int):
-    """Function over one shard: spans of each streamed passage, with the first document that has all their windows."""
+    """Function over one shard: spans of each passage that begin in a document before the passage's own first one."""
 
     def run(table):
+        tune()
         symbols: dict[bytes, int] = {}
-        side, heads, words = table.column("side").to_pylist(), table.column("first").to_pylist(), table.column("words").to_pylist()
+        heads, words = table.column("first").to_pylist(), table.column("words").to_pylist()
         coded = [[symbols.setdefault(w, len(symbols)) for w in x.split(b" ")] for x in words]
         automaton = Automaton()
-        for s, head, code in zip(side, heads, coded):
-            if s != 1:
-                automaton.add(code, head)
+        for head, code in zip(heads, coded):
+            automaton.add(code, head)
         automaton.close()
         rows, start, end, owner = [], [], [], []
-        for i, (s, code) in enumerate(zip(side, coded)):
-            if s == 0:
-                continue
+        for i, (own, code) in enumerate(zip(heads, coded)):
             at = None
             for begin, head in automaton.owners(code, window):
-                if at is not None and head == owner[-1] and begin <= end[-1]:
+                if head >= own:
+                    at = None
+                elif at is not None and head == owner[-1] and begin <= end[-1]:
                     end[-1] = begin + window
+                    at = begin
                 else:
                     rows.append(i)
                     start.append(begin)
                     end.append(begin + window)
                     owner.append(head)
-                at = begin
+                    at = begin
         taken = table.select(["h", "key"]).take(pa.array(rows, pa.int64()))
         return pa.table({"h": taken.column("h"), "key": taken.column("key"), "start": pa.array(start, pa.int32()), "stop": pa.array(end, pa.int32()), "owner": pa.array(owner, pa.int64())})
 
     return run
 
 
+def merge_owned(batches):
+    """Arrow function: each passage's spans, of which those of one owner are joined and those that spans of earlier owners
+    cover are left out."""
+    for batch in batches:
+        hs, keys, start, stop, owners = [], [], [], [], []
+        for h, key, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            covered: list[list[int]] = []
+            for owner, a, b in sorted((s["owner"], s["a"], s["b"]) for s in spans):
+                if any(x <= a and b <= y for x, y in covered):
+                    continue
+                if owners and hs[-1] == h and keys[-1] == key and owners[-1] == owner and start[-1] <= a <= stop[-1]:
+                    stop[-1] = max(stop[-1], b)
+                else:
+                    hs.append(h)
+                    keys.append(key)
+                    start.append(a)
+                    stop.append(b)
+                    owners.append(owner)
+                near = [c for c in covered if c[0] <= b and a <= c[1]]
+                covered = [c for c in covered if c not in near] + [[min([a, *(c[0] for c in near)]), max([b, *(c[1] for c in near)])]]
+        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(keys, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(owners, pa.int64())], ["h", "key", "start", "stop", "owner"])
+
+
 def merge_spans(batches):
     """Arrow function: each document's spans as merged ranges, packed as int32 pairs."""
     for batch in batches:
@@ -256,11 +291,12 @@ def merge_spans(batches):
                 else:
                     out += [a, b]
             packed.append(np.array(out, np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["s", "spans"])
 
 
 def strip(batches):
-    """Arrow function: id, text, merged spans -> id, n_words, n_removed, kept_sha256, text without the removed words."""
+    """Arrow function: id, text, merged spans, carried row -> id, n_words, n_removed, kept_sha256, text without the removed
+    words, carried row."""
     for batch in batches:
         counts, removed, digests, left = [], [], [], []
         for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
@@ -275,7 +311,7 @@ def strip(batches):
             removed.append(len(words) - len(kept))
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             left.append(None if text is None else _without(text, cut) if len(cut) else text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(left, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(left, pa.binary()).cast(pa.string()), batch.column(3)], ["id", "n_words", "n_removed", "kept_sha256", "kept_text", "row"])
 
 
 def _without(text: bytes, cut) -> bytes:
@@ -289,40 +325,54 @@ def _without(text: bytes, cut) -> bytes:
     return b"".join(p.rstrip(b" \t\n\v\f\r") if i < len(cut) else p for i, p in enumerate(parts))
 
 
-def with_small(big: DataFrame, small: DataFrame, key: Column, how: str, rows: int) -> DataFrame:
-    """Join by broadcasting the small side if it has at most so many rows, else by shuffling."""
-    return big.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, key, how)
-
-
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, broadcast_rows: int = 200_000) -> DataFrame:
+def repeats(texts: DataFrame, scratch: Scratch, window: int, grams: tuple[int, ...]) -> DataFrame:
+    """Spans (doc, label, a, b, owner) of texts (doc, label, text) whose windows all start in a text of the label ``owner``,
+    which is before the text's own."""
+    gram, level = grams[0], f"{len(grams)}"
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, round(size / (140 if len(grams) > 1 else 7) / BLOCK_SPOTS))  # bytes of text for a passage, about
+    filed = texts.select("doc", "text").mapInArrow(frugal(file_spots(window, gram, blocks)), "block long, data binary").repartition(blocks, "block")
+    spots = scratch.write(filed.mapInArrow(frugal(shared_spots), "doc long, h long, lo int, hi int"), f"spots-{level}")
+    places = scratch.write(spots.distinct().groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places")), f"places-{level}")
+    cut = texts.join(places.hint("merge"), "doc").select("doc", "label", "text", "places").mapInArrow(frugal(cut_passages(window)), "doc long, label long, h long, lo int, key binary, words binary")
+    passages = scratch.write(cut, f"passages-{level}")
+    distinct = scratch.write(passages.groupBy("h", "key", "words").agg(F.min("label").alias("first")), f"distinct-{level}")
+    many = scratch.write(distinct.groupBy("h").count().filter(F.col("count") > SHARD_PASSAGES).select("h"), f"many-{level}")
+    deeper = len(grams) > 1 and not many.isEmpty()
+    cold = distinct.join(many, "h", "left_anti") if deeper else distinct
+    shards = max(1, round(distinct.count() / SHARD_PASSAGES))
+    found = cold.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(match_shard(window), "h long, key binary, start int, stop int, owner long")
+    found = scratch.write(found, f"found-{level}")
+    if deeper:
+        hot = distinct.join(many, "h").select(F.xxhash64("h", "key").alias("doc"), F.col("first").alias("label"), F.col("words").alias("text"), "h", "key")
+        hot = scratch.write(hot, f"hot-{level}")
+        inner = repeats(hot.select("doc", "label", "text"), scratch, window, grams[1:])
+        inner = inner.join(hot.select("doc", "h", "key"), "doc").groupBy("h", "key").agg(F.collect_list(F.struct("a", "b", "owner")).alias("spans"))
+        inner = inner.mapInArrow(frugal(merge_owned), "h long, key binary, start int, stop int, owner long")
+        found = found.unionByName(scratch.write(inner, f"inner-{level}"))
+    # A passage is a repeat as a whole in all documents but its first.
+    whole = distinct.select("h", "key", F.lit(0).alias("start"), F.size(F.split(F.col("words").cast("string"), " ")).alias("stop"), F.col("first").alias("owner"))
+    hits = passages.select("doc", "label", "h", "lo", "key").join(found.unionByName(whole), ["h", "key"]).filter("owner < label")
+    out = hits.select("doc", "label", (F.col("lo") + F.col("start")).alias("a"), (F.col("lo") + F.col("stop")).alias("b"), "owner").distinct()
+    out = scratch.write(out, f"repeats-{level}")
+    scratch.drop(*(f"{name}-{level}" for name in ("spots", "places", "passages", "distinct", "many", "found", "hot", "inner")))
+    return out
+
+
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, carry: list[str] | None = None) -> DataFrame:
     """Per row: the id, n_words, n_removed, kept_sha256 (kept words joined by one space) and kept_text (the text without the
-    removed words). ``broadcast_rows``: documents whose spans (a few dozen bytes each) are broadcast rather than joined by
-    a shuffle of the texts."""
+    removed words); with ``carry`` also ``row``, a struct of these columns of docs. Places and spans, which grow with the texts,
+    are joined to these by a shuffle at every size."""
     scratch = Scratch(docs.sparkSession, "substring")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = texts.filter("id is not null and text is not null")
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, round(size / 140 / BLOCK_SPOTS))  # about one passage for 140 bytes
-    filed = named.mapInArrow(file_spots(min_words, blocks), "block long, data binary").repartition(blocks, "block")
-    spots = scratch.write(filed.mapInArrow(shared_spots, "doc long, h long, lo int, hi int"), "spots")
-    places = scratch.write(spots.distinct().groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places")), "places")
-    there = with_small(named, places, F.col("id") == F.col("doc"), "inner", broadcast_rows)
-    passages = scratch.write(there.select("id", "text", "places").mapInArrow(cut_passages(min_words), "doc long, h long, lo int, key binary, words binary"), "passages")
-    distinct = scratch.write(passages.groupBy("h", "key", "words").agg(F.min("doc").alias("first")), "distinct")
-    many = distinct.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_PASSAGES).select("h", F.ceil(F.col("n") / SHARD_PASSAGES).alias("cuts"))
-    shards = max(1, round(distinct.count() / SHARD_PASSAGES))
-    placed = distinct.join(many, "h", "left").withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")))
-    cold = placed.filter("cuts is null").select("h", "key", "words", "first", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(2).alias("side"))
-    # Shard i of an anchor meets block j of what is streamed; i = j is both at once.
-    meets = F.expr("concat(transform(sequence(0, cuts - 1), j -> struct(own as i, j as j, if(own = j, 2, 0) as side)), filter(transform(sequence(0, cuts - 1), i -> struct(i as i, own as j, 1 as side)), s -> s.i <> s.j))")
-    hot = placed.filter("cuts is not null").select("h", "key", "words", "first", F.explode(meets).alias("m")).select("h", "key", "words", "first", F.col("h").alias("shard"), F.col("m.i").cast("long").alias("i"), F.col("m.j").cast("long").alias("j"), F.col("m.side").alias("side"))
-    found = cold.unionByName(hot).groupBy("shard", "i", "j").applyInArrow(match_shard(min_words), "h long, key binary, start int, stop int, owner long")
-    found = scratch.write(found, "found")
-    hits = passages.select("doc", "h", "lo", "key").join(found, ["h", "key"]).filter("owner < doc")
-    spans = hits.select("doc", F.struct((F.col("lo") + F.col("start")).alias("a"), (F.col("lo") + F.col("stop")).alias("b")).alias("s")).distinct()
-    spans = spans.groupBy("doc").agg(F.collect_list("s").alias("spans")).mapInArrow(merge_spans, "doc long, spans binary")
-    spans = scratch.write(spans, "spans")
-    scratch.drop("spots", "places", "passages", "distinct", "found")
-    out = with_small(texts, spans, F.col("id") == F.col("doc"), "left", broadcast_rows).select("id", "text", "spans")
-    out = out.mapInArrow(strip, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    row = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    texts = docs.select(F.col(id_col).cast("long").alias("label"), F.col(text_col).alias("text"), row.alias("row"))
+    texts = texts.withColumn("doc", F.xxhash64("label", "text"))
+    levels = tuple(g for g in ANCHOR_WORDS if g < min_words) + (min_words,)
+    found = repeats(texts.filter("label is not null and text is not null").select("doc", "label", "text"), scratch, min_words, levels)
+    spans = found.groupBy(F.struct("doc", "label").alias("s")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = scratch.write(spans.mapInArrow(frugal(merge_spans), "s struct<doc:long,label:long>, spans binary"), "spans")
+    scratch.drop(*(f"repeats-{k + 1}" for k in range(len(levels))))
+    out = texts.join(spans.select("s.doc", "s.label", "spans").hint("merge"), ["doc", "label"], "left").select("label", "text", "spans", "row")
+    schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept_sha256 string, kept_text string").add("row", out.schema["row"].dataType)
+    out = out.mapInArrow(frugal(strip), schema).withColumnRenamed("id", id_col)
+    return out if carry else out.drop("row")
