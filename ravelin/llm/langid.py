@@ -3,7 +3,8 @@
 The counts of 4-grams of letters come from every training text, added up by Spark; the models are made of all counts on
 the driver. Their number grows with the alphabets and with noise in the texts; none is left out, so a corpus with more
 grams than the driver holds fails instead of getting another model. Each order is a sorted array of gram hashes
-beside the log probabilities under all languages. A text gets the language with the least cross-entropy per letter.
+beside the log probabilities under all languages. A text gets the language with the least cross-entropy per letter; its score
+is that language's share of the likelihood of the whole text, all languages being as likely beforehand.
 Rejection: a text's cross-entropy, in standard deviations for its length, must not exceed what training texts show.
 
 Results: null texts and texts without a letter are ``und``, score 0 and rejected; so is everything if there is nothing to
@@ -15,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._letters import letter_table, letters
+from ._memory import frugal
 from ._store import Scratch
 from ._text import U8, mix
 
@@ -186,7 +189,7 @@ def calibrate(model: Model, rows: DataFrame, margin: float, few: int = 5) -> Non
     """For each language the mean cross-entropy, how its variance falls with length, and the rejection limit, from all its
     training texts; languages with fewer than ``few`` take those of all languages' texts together."""
     scratch = Scratch(rows.sparkSession, "langid")
-    found = scratch.write(rows.select("lang", "text").mapInArrow(measure(model), "lang int, e double, n double"), "measured")
+    found = scratch.write(rows.select("lang", "text").mapInArrow(frugal(measure(model)), "lang int, e double, n double"), "measured")
     found = found.withColumn("lang", F.explode(F.array("lang", F.lit(-1))))  # -1: all languages
     weight = F.least("n", F.lit(1000.0))
     means = found.groupBy("lang").agg(F.count("*").alias("rows"), (F.sum(F.col("e") * weight) / F.sum(weight)).alias("mean"), F.percentile_approx("n", 0.5).alias("mid"))
@@ -227,7 +230,7 @@ def predict(model: Model | None):
                     i = int(row.argmin())
                     mean, fixed, per, limit = model.rules[i]
                     lang.append(model.langs[i])
-                    score.append(float(1 / np.exp(-(row - row[i]) * min(m, 60)).sum()))
+                    score.append(float(1 / np.exp(-(row - row[i]) * m).sum()))
                     rejected.append(bool((row[i] - mean) / np.sqrt(fixed + per / m) > limit))
                     entropy.append(float(row[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(entropy, pa.float64())], ["id", "lang_pred", "score", "rejected", "cross_entropy"])
@@ -246,7 +249,7 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     if not langs:
         return None
     # Languages as numbers: what comes to the driver is 20 bytes a gram.
-    counts = rows.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInArrow(frugal(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("short").alias("lang"), "gram", "n")
     found = counts.toPandas()
     if not len(found):
@@ -258,5 +261,8 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(predict(model), f"id {kind}, lang_pred string, score double, rejected boolean, cross_entropy double").withColumnRenamed("id", id_col)
+    """Per row the id (any column, also a struct of a row's columns), lang_pred, score, rejected and cross_entropy."""
+    schema = T.StructType().add("id", docs.schema[id_col].dataType)
+    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean"), ("cross_entropy", "double")):
+        schema = schema.add(name, kind)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(predict(model)), schema).withColumnRenamed("id", id_col)
