@@ -2,14 +2,18 @@
 
 Documents are added up to cells (source, language, topic); only cells go through the raking, so its cost depends on how
 many cells there are. Each sweep scales the cells' weights to the target share of each source, then language, then topic.
-A document is kept with probability min(1, scale x raked share of its cell / tokens of its cell); the scale is the one at
-which the expected tokens meet the budget, found from sums over the cells sorted by ratio. The draw is a hash of the
-document's id, so runs agree. A hot source only makes one cell's sums larger (sums are made before the shuffle), and cells
-come back to the documents by a broadcast that is used while there are at most ``broadcast_cells``.
+A document of a cell is taken ``expected`` = budget x raked share of the cell / its natural share times on average: as many
+whole copies as that has, and one more with the probability of the rest. So the sample meets the raked shares whatever the
+budget is, small categories by being taken more than once; what raking itself leaves open is returned as ``residual``, the
+largest gap between a category's raked share and its target. The draw is a hash of the document's id, so runs agree. A hot
+source only makes one cell's sums larger (sums are made before the shuffle), and cells come back to the documents by a
+broadcast that is used while there are at most ``broadcast_cells``. Texts are read once: what is counted of them is written
+to the shared folder.
 
 Only DataFrame functions are used. Results: null sources and languages are a category of their own, ''; a null text has no
-tokens and is dealt like a text without words: probability 1 in its cell if no document there has tokens; rows that repeat
-an id are all kept or all dropped; an empty table gives no rows."""
+tokens and is dealt like a text without words: it is taken once if no document of its cell has tokens; rows that repeat an id
+get the same draw; if no document has tokens every one is taken once; an empty table gives no rows; extra columns are not
+read."""
 
 from __future__ import annotations
 
@@ -17,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._store import Scratch
+
 SWEEPS, DIMENSIONS = 8, ("source", "lang", "topic")
-#: The share of the tokens that the budget takes, and the power that flattens the shares to targets.
+#: Tokens of the sample as a share of all, and the power that flattens the shares to targets.
 BUDGET, FLATTEN = 0.8, 0.7
 
 
@@ -41,8 +47,8 @@ def topic_of(text: Column) -> Column:
 
 def flattened_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """Each category's target share: its share of the tokens to a power below 1, which lifts small categories."""
-    share = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("t"))
-    return share.select(dimension, (F.pow("t", F.lit(power)) / F.sum(F.pow("t", F.lit(power))).over(W.partitionBy())).alias("target"))
+    share = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
+    return share.select(dimension, F.coalesce(F.col("t") / F.nullif(F.sum("t").over(W.partitionBy()), F.lit(0.0)), F.lit(0.0)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
@@ -58,18 +64,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return out
 
 
-def calibrate(cells: DataFrame, budget: Column) -> DataFrame:
-    """Each cell's probability: min(1, scale x share / tokens), at which the expected tokens are the budget."""
-    everything = W.partitionBy()
-    out = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens")).otherwise(F.lit(0.0)))
-    order = W.orderBy(F.desc("ratio"), *DIMENSIONS).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # If the cells up to a row are full, the rest shares what they leave of the budget.
-    out = out.withColumn("budget", budget * F.sum("tokens").over(everything))
-    full, rest = F.sum("tokens").over(order) - F.col("tokens"), F.sum("share").over(everything) - F.sum("share").over(order) + F.col("share")
-    out = out.withColumn("scale", F.when(rest > 0, (F.col("budget") - full) / rest))
-    fits = F.col("scale") * F.col("ratio") <= 1.0
-    out = out.withColumn("scale", F.max(F.when(fits & (F.col("scale") > 0), F.col("scale"))).over(everything))
-    return out.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("scale"), F.lit(float("inf"))) * F.col("ratio"))))
+def residual(dimensions: tuple[str, ...]) -> Column:
+    """The largest gap between a category's share and its target, over all categories."""
+    gaps = [F.abs(F.sum("share").over(W.partitionBy(d)) - F.coalesce(F.col(f"target_{d}"), F.lit(0.0))) for d in dimensions]
+    return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+
+
+def calibrate(cells: DataFrame, budget: float) -> DataFrame:
+    """Each cell's weight (raked share over natural share) and how often a document of it is taken on average."""
+    everything = F.sum("tokens").over(W.partitionBy())
+    out = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.col("share") * everything / F.col("tokens")).otherwise(1.0))
+    return out.withColumn("expected", F.when(F.col("tokens") > 0, budget * F.col("weight")).otherwise(1.0))
 
 
 def draw(key: Column) -> Column:
@@ -78,16 +83,20 @@ def draw(key: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, power: float = FLATTEN, broadcast_cells: int = 50_000) -> DataFrame:
-    """Per row: id, source, lang, topic, n_tokens, weight (raked share of all tokens over the natural share), probability and
-    selected."""
+    """Per row: id, source, lang, topic, n_tokens, weight (raked share of all tokens over the natural share), expected (how often
+    the row is taken on average), copies (how often it is taken), selected (at least once) and residual."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), n_tokens(text).alias("n_tokens"))
+    rows = Scratch(docs.sparkSession, "mixing").write(rows, "rows")
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     few = cells.limit(broadcast_cells + 1).count() <= broadcast_cells
-    raked = rake(cells, targets or {d: flattened_targets(cells, d, power) for d in DIMENSIONS})
-    done = calibrate(raked, F.lit(budget)).withColumn("weight", F.when(F.col("tokens") > 0, F.col("share") * F.sum("tokens").over(W.partitionBy()) / F.col("tokens")).otherwise(F.lit(1.0))).select(*DIMENSIONS, "weight", "probability")
+    targets = targets or {d: flattened_targets(cells, d, power) for d in DIMENSIONS}
+    raked = rake(cells, targets).withColumn("gap", residual(tuple(targets)))
+    done = calibrate(raked, budget).select(*DIMENSIONS, "weight", "expected", F.max("gap").over(W.partitionBy()).alias("residual"))
     out = rows.join(F.broadcast(done) if few else done, list(DIMENSIONS))
-    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (draw(F.col("id")) < F.col("probability")).alias("selected"))
+    whole = F.floor("expected")
+    out = out.withColumn("copies", (whole + (draw(F.col("id")) < F.col("expected") - whole).cast("long")).cast("long"))
+    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("expected", 6).alias("expected"), "copies", (F.col("copies") > 0).alias("selected"), F.round("residual", 6).alias("residual"))
 
 
 def oracle() -> str:
@@ -99,7 +108,8 @@ def oracle() -> str:
             k += 1
             parts.append(f"t{k} as (select * replace (case when sum(share) over (partition by {d}) > 0 then share * target_{d} / sum(share) over (partition by {d}) else 0 end as share) from {last})")
             last = f"t{k}"
-    targets = ", ".join(f"g_{d} as (select {d}, pow(sum(tokens)::double, {FLATTEN}) / sum(pow(sum(tokens)::double, {FLATTEN})) over () target_{d} from cells group by {d})" for d in DIMENSIONS)
+    targets = ", ".join(f"g_{d} as (select {d}, coalesce(pow(sum(tokens)::double, {FLATTEN}) / nullif(sum(pow(sum(tokens)::double, {FLATTEN})) over (), 0), 0) target_{d} from cells group by {d})" for d in DIMENSIONS)
+    gaps = ", ".join(f"abs(sum(share) over (partition by {d}) - target_{d})" for d in DIMENSIONS)
     return f"""
 with rows as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang,
   case when contains(coalesce(text, ''), ' | ') or contains(coalesce(text, ''), '$$$') then 'tables' when contains(coalesce(text, ''), 'licensed') or contains(coalesce(text, ''), 'License') or contains(coalesce(text, ''), 'opyright') then 'notices' when contains(coalesce(text, ''), '@') then 'contacts' else 'prose' end topic,
@@ -107,9 +117,7 @@ with rows as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lan
 cells as (select source, lang, topic, sum(n_tokens)::bigint tokens from rows group by all), {targets},
 t0 as (select cells.*, tokens::double share, target_source, target_lang, target_topic from cells join g_source using (source) join g_lang using (lang) join g_topic using (topic)),
 {", ".join(parts)},
-r as (select *, case when tokens > 0 then share / tokens else 0 end ratio, {BUDGET} * sum(tokens) over () budget from {last}),
-o as (select *, sum(tokens) over w - tokens full_tokens, sum(share) over () - sum(share) over w + share rest from r window w as (order by ratio desc, source, lang, topic rows between unbounded preceding and current row)),
-c as (select *, case when rest > 0 then (budget - full_tokens) / rest end scale from o),
-f as (select *, max(case when scale * ratio <= 1 and scale > 0 then scale end) over () best, sum(tokens) over () everything from c),
-p as (select source, lang, topic, case when tokens > 0 then share * everything / tokens else 1 end weight, case when tokens = 0 then 1.0 else least(1.0, coalesce(best, 'inf'::double) * ratio) end probability from f)
-select doc_id, source, lang, topic, n_tokens, round(weight, 6) weight, round(probability, 6) probability, ('0x' || md5(doc_id::varchar)[1:12])::bigint::double / {float(1 << 48)} < probability selected from rows join p using (source, lang, topic)"""
+g as (select *, greatest({gaps}) gap, case when tokens > 0 then share * sum(tokens) over () / tokens else 1 end weight from {last}),
+e as (select source, lang, topic, weight, case when tokens > 0 then {BUDGET} * weight else 1 end expected, max(gap) over () residual from g),
+c as (select *, (floor(expected) + (('0x' || md5(doc_id::varchar)[1:12])::bigint::double / {float(1 << 48)} < expected - floor(expected))::int)::bigint copies from rows join e using (source, lang, topic))
+select doc_id, source, lang, topic, n_tokens, round(weight, 6) weight, round(expected, 6) expected, copies, copies > 0 selected, round(residual, 6) residual from c"""

@@ -261,8 +261,8 @@ def test_mixing(spark):
     rows = [(i, "word " * (1 + i % 7), ["a", "b", None][i % 3], ["x", "y"][i % 2]) for i in range(300)] + [(900, None, "z", "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     out = mixing.mix_sources(frame).toPandas()
-    assert len(out) == 301 and ((out.probability >= 0) & (out.probability <= 1)).all()
-    assert abs((out.probability * out.n_tokens).sum() / out.n_tokens.sum() - mixing.BUDGET) < 0.01
+    assert len(out) == 301 and (out.expected >= 0).all() and (out.copies - out.expected).abs().max() < 1
+    assert abs((out.expected * out.n_tokens).sum() / out.n_tokens.sum() - mixing.BUDGET) < 0.01
     assert mixing.mix_sources(frame.filter("false")).count() == 0
 
 
