@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import frugal
+
 ESCAPE = "\x1b"
 SCHEMA = "conv_id {kind}, part int, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
 
@@ -130,7 +132,7 @@ def format_chats(conversations: DataFrame, path: str, *, template: Template = Te
     kind = to_arrow_type(conversations.schema[id_col].dataType)
     rows = conversations.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(run, SCHEMA.format(kind=conversations.schema[id_col].dataType.simpleString()))
+    return rows.mapInArrow(frugal(run), SCHEMA.format(kind=conversations.schema[id_col].dataType.simpleString()))
 
 
 def digest(formatted: DataFrame, *, template: Template = Template()) -> DataFrame:
@@ -176,4 +178,4 @@ def digest(formatted: DataFrame, *, template: Template = Template()) -> DataFram
         if done:
             yield table()
 
-    return formatted.mapInArrow(run, f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(frugal(run), f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -4,11 +4,14 @@ A text is cut into bags of ``BAG_WORDS`` words; a bag is the average of the embe
 to buckets), so a misspelt or inflected word that training never saw shares most of its vectors with the words that it did.
 Embeddings and softmax are trained together by minibatch Adagrad. Labels are of texts: all bags of a clean text are clean;
 of a toxic text at first all bags are marked, then only those that the model itself finds most toxic. A text's score is that
-of its most toxic bag, put on the scale of the labels by a logistic fit on training texts that the model did not see.
+of its most toxic bag. Vectors start at 0, and n-grams of fewer than ``LEAST`` training texts keep that, so what training
+never saw adds nothing. ``FOLDS`` models are trained, each without one part of the sample, and averaged; each text's value
+under the model that did not see it gives the scale: an isotonic fit of the labels, so that some wrong labels do not flatten it.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows`` toxic ones and twice as many clean ones, by hash of the id); all rows are scored
-over their whole texts. Results: null and wordless texts have the score of an empty bag; without labelled rows of both kinds
-every score is 0; repeated rows are scored alike; other columns are not read."""
+The model is fitted on a bounded sample of labelled rows: up to ``max_rows`` toxic ones and twice as many clean ones, in order
+of a hash of the id, of each kind as many as have ``max_chars`` / 2 characters together (texts that would go beyond it are
+passed over). All rows are scored over their whole texts. Results: null and wordless texts have the score of an empty bag;
+without labelled rows of both kinds every score is 0; repeated rows are scored alike; other columns are not read."""
 
 from __future__ import annotations
 
@@ -19,10 +22,13 @@ from pyspark.sql import functions as F
 
 from ._letters import SPACE, letter_table, letters
 from ._text import U8, mix
+from ._memory import frugal
 from ._store import sample_rows
 from .langid import parts
 
-BUCKETS, DIM, BAG_WORDS, SIZES = 1 << 18, 8, 16, (4, 5, 6)
+BUCKETS, DIM, BAG_WORDS, SIZES = 1 << 18, 8, 3, (3, 4, 5, 6)
+#: Training texts that an n-gram must be in, models that are averaged, and bags of one step of training.
+LEAST, FOLDS, BATCH = 4, 3, 512
 
 
 def features(texts: list[str | None], table: np.ndarray):
@@ -37,12 +43,12 @@ def features(texts: list[str | None], table: np.ndarray):
     first = np.cumsum(bags) - bags
     text = np.repeat(np.arange(len(texts)), np.diff(np.append(begin, len(symbols))))
     code = symbols.astype(U8)
-    buckets, owners = [], []
+    buckets, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     gaps = np.concatenate([[0], np.cumsum(~inside)])
     for n in SIZES:
         if len(symbols) < n:
             continue
-        at = np.flatnonzero(gaps[n - 1 : len(symbols)] - gaps[1 : len(symbols) - n + 2] == 0) if n > 2 else np.arange(len(symbols) - n + 1)
+        at = np.flatnonzero(gaps[n - 1 : len(symbols)] - gaps[1 : len(symbols) - n + 2] == 0)
         h = np.full(len(at), n, U8)
         for k in range(n):
             h = h * U8(0x100000001B3) + code[at + k]
@@ -54,10 +60,10 @@ def features(texts: list[str | None], table: np.ndarray):
 
 
 class Toxicity:
-    """``weight``: each bucket's part of a bag's log-odds."""
+    """``weight``: each bucket's part of a bag's log-odds. ``curve``: values of a text's most toxic bag, and their scores."""
 
-    def __init__(self, weight: np.ndarray, bias: float, slope: float, shift: float):
-        self.weight, self.bias, self.slope, self.shift = weight.astype(np.float32), bias, slope, shift
+    def __init__(self, weight: np.ndarray, bias: float, curve: tuple[np.ndarray, np.ndarray]):
+        self.weight, self.bias, self.curve = weight.astype(np.float32), bias, curve
 
     def bags(self, bucket, owner, n: int) -> np.ndarray:
         total, count = np.bincount(owner, self.weight[bucket], n), np.bincount(owner, minlength=n)
@@ -71,111 +77,151 @@ class Toxicity:
         return np.concatenate(out) if out else np.zeros(0)
 
     def scores(self, texts, table) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts, table) + self.shift, -50, 50)))
-
-
-def _steps(embed, soft, past, bags, label, weight, rng, rate: float, batch: int = 64) -> None:
-    """One pass of minibatch Adagrad over bags (bucket arrays) with labels."""
-    order = rng.permutation(len(bags))
-    for k in range(0, len(order), batch):
-        at = order[k : k + batch]
-        size = np.array([len(bags[i]) for i in at])
-        bucket = np.concatenate([bags[i] for i in at])
-        row = np.repeat(np.arange(len(at)), size)
-        start = np.cumsum(size) - size
-        hidden = np.add.reduceat(embed[bucket], start, axis=0) / size[:, None]
-        hidden = np.hstack([hidden, np.ones((len(at), 1), np.float32)])
-        logit = hidden @ soft
-        logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), label[at]] -= 1
-        p *= weight[at][:, None] / len(at)
-        g_soft = hidden.T @ p
-        g_hidden = (p @ soft[:-1].T) / size[:, None]
+        return np.interp(self.raw(texts, table), *self.curve)
+
+
+class Bags:
+    """The bags of some texts: their n-grams that enough texts have, one bag after the other; of each bag how many these are,
+    how many n-grams it has in all, and its text."""
+
+    def __init__(self, texts: list[str], least: int):
+        table = letter_table()
+        seen = np.zeros(BUCKETS, np.int64)
+        for a, b in parts(texts):
+            bucket, of, first, n = features(texts[a:b], table)
+            text = np.searchsorted(first, of, side="right") - 1
+            seen += np.bincount(np.unique(text * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+        grams, held, size, owner = [], [], [], []
+        for a, b in parts(texts):
+            bucket, of, first, n = features(texts[a:b], table)
+            order = np.argsort(of, kind="stable")
+            order = order[seen[bucket[order]] >= least]
+            grams.append(bucket[order])
+            held.append(np.bincount(of[order], minlength=n))
+            size.append(np.bincount(of, minlength=n))
+            owner.append(a + np.searchsorted(first, np.arange(n), side="right") - 1)
+        self.grams, self.held, self.size, self.owner = (np.concatenate(x) for x in (grams, held, size, owner))
+        self.start = np.cumsum(self.held) - self.held
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of some bags that have any, and where each bag's begin."""
+        held = self.held[at]
+        start = np.cumsum(held) - held
+        return self.grams[np.repeat(self.start[at] - start, held) + np.arange(int(held.sum()))], start
+
+    def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
+        out = np.full(len(self.held), bias)
+        some = np.flatnonzero(self.held)
+        for k in range(0, len(some), 100_000):
+            at = some[k : k + 100_000]
+            bucket, start = self.of(at)
+            out[at] += np.add.reduceat(weight[bucket], start) / self.size[at]
+        return out
+
+
+def gradients(embed, soft, bucket, start, held, size, label, weight):
+    """Of the weighted cross-entropy of some bags, by the softmax and by each n-gram's vector (for the bag's whole average)."""
+    hidden = np.add.reduceat(embed[bucket], start, axis=0) / size[:, None]
+    hidden = np.hstack([hidden, np.ones((len(size), 1))])
+    logit = hidden @ soft
+    logit -= logit.max(axis=1, keepdims=True)
+    p = np.exp(logit)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(size)), label] -= 1
+    p *= weight[:, None] / len(size)
+    return hidden.T @ p, np.repeat((p @ soft[:-1].T) / size[:, None], held, axis=0)
+
+
+def _steps(embed, soft, past, bags: Bags, chosen, label, weight, rng, rate: float) -> None:
+    """One pass of minibatch Adagrad over some bags."""
+    order = rng.permutation(len(chosen))
+    for k in range(0, len(order), BATCH):
+        part = order[k : k + BATCH]
+        at = chosen[part]
+        bucket, start = bags.of(at)
+        g_soft, g_gram = gradients(embed, soft, bucket, start, bags.held[at], bags.size[at], label[part], weight[part])
         used, back = np.unique(bucket, return_inverse=True)
-        g_embed = np.stack([np.bincount(back, g_hidden[row, d], len(used)) for d in range(DIM)], axis=1)
+        g_embed = np.stack([np.bincount(back, g_gram[:, d], len(used)) for d in range(DIM)], axis=1)
         past[0][used] += (g_embed**2).sum(axis=1)
         past[1] += g_soft**2
         embed[used] -= (rate * g_embed / np.sqrt(past[0][used] + 1e-12)[:, None]).astype(np.float32)
         soft -= 0.3 * rate * g_soft / np.sqrt(past[1] + 1e-12)
 
 
-def train(texts: list[str], toxic: np.ndarray, *, seed: int = 7, passes: int = 5, rounds: int = 2) -> Toxicity | None:
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising steps nearest to y in the order of x: of each step the mean x, and the mean y drawn a little to the middle."""
+    order = np.argsort(x, kind="stable")
+    steps: list[list[float]] = []
+    for a, b in zip(x[order].tolist(), y[order].tolist()):
+        steps.append([a, b, 1])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            last = steps.pop()
+            steps[-1] = [u + v for u, v in zip(steps[-1], last)]
+    sums = np.array(steps)
+    return sums[:, 0] / sums[:, 2], np.maximum.accumulate((sums[:, 1] + 0.5) / (sums[:, 2] + 1))
+
+
+def train(texts: list[str], toxic: np.ndarray, *, seed: int = 7, passes: int = 4, rounds: int = 1, rate: float = 0.2) -> Toxicity | None:
     rng = np.random.default_rng(seed)
     if len(set(toxic.tolist())) < 2:
         return None
-    table = letter_table()
-    bags, owner = [], []
-    for a, b in parts(texts):
-        bucket, of, first, n = features(texts[a:b], table)
-        order = np.argsort(of, kind="stable")
-        cut = np.cumsum(np.bincount(of, minlength=n))[:-1]
-        bags += np.split(bucket[order], cut)
-        owner.append(a + np.searchsorted(first, np.arange(n), side="right") - 1)
-    owner = np.concatenate(owner)
-    some = np.array([len(x) > 0 for x in bags])
-    bags, owner = [x for x in bags if len(x)], owner[some]
-    held = rng.random(len(texts)) < 0.2  # for the scale of the scores
-    embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    soft = rng.normal(0, 0.5, (DIM + 1, 2))
-    past = [np.zeros(BUCKETS), np.zeros_like(soft)]
-    use = ~held[owner]
-    label = toxic[owner].astype(np.int64)
-
-    def model(slope=1.0, shift=0.0):
-        way = soft[:, 1] - soft[:, 0]
-        return Toxicity(embed @ way[:-1].astype(np.float32), float(way[-1]), slope, shift)
-
-    def logits():
-        m = model()
-        size = np.array([len(x) for x in bags])
-        return np.add.reduceat(m.weight[np.concatenate(bags)], np.cumsum(size) - size) / size + m.bias
-
-    for turn in range(rounds + 1):
-        own = use.copy()
-        if turn:
-            z = logits()
+    bags = Bags(texts, min(LEAST, len(texts)))
+    fold = rng.permutation(len(texts)) % FOLDS
+    label = toxic[bags.owner].astype(np.int64)
+    weight, bias, value = np.zeros(BUCKETS), 0.0, np.zeros(len(texts))
+    for k in range(FOLDS):
+        embed, soft = np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 0.5, (DIM + 1, 2))
+        past = [np.zeros(BUCKETS), np.zeros_like(soft)]
+        use = (fold[bags.owner] != k) & (bags.held > 0)
+
+        def model():
+            way = soft[:, 1] - soft[:, 0]
+            return embed @ way[:-1].astype(np.float32), float(way[-1])
+
+        def tops(z):
             top = np.full(len(texts), -np.inf)
-            np.maximum.at(top, owner, z)
-            own &= (label == 0) | (z >= top[owner] - 1e-9) | (z > 1.0)
-        at = np.flatnonzero(own)
-        share = label[at].mean()
-        weight = np.where(label[at] == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
-        weight = np.minimum(weight, 8.0)
-        chosen = [bags[i] for i in at]
-        for _ in range(passes):
-            _steps(embed, soft, past, chosen, label[at], weight, rng, 0.1 if not turn else 0.05)
-    z = logits()
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, owner, z)
-    top[~np.isfinite(top)] = model().bias  # texts without n-grams
-    test = held if min((held & (toxic == y)).sum() for y in (0, 1)) >= 5 else np.ones(len(texts), bool)
-    x, y = top[test], toxic[test].astype(float)
-    middle, width = np.median(x), x.std() + 1e-9
-    a, b, x = 1.0, 0.0, (x - middle) / width
-    for _ in range(2000):  # a logistic fit of two numbers, with a small pull to 0
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
-        a -= 0.5 * (((p - y) * x).mean() + 1e-3 * a)
-        b -= 0.5 * ((p - y).mean())
-    return model(a / width, b - a * middle / width)
-
-
-def fit(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 1200, max_chars: int = 16_000_000) -> Toxicity | None:
-    """``max_rows``: toxic rows that training takes, beside twice as many clean ones; ``max_chars``: of these, whole texts up to so many
-    characters in all are used, in order of the hash."""
+            np.maximum.at(top, bags.owner, z)
+            return top
+
+        for turn in range(rounds + 1):
+            own = use
+            if turn:
+                z = bags.logits(*model())
+                own = use & ((label == 0) | (z >= tops(z)[bags.owner] - 1e-9) | (z > 1.0))
+            at = np.flatnonzero(own)
+            if not len(at):
+                break
+            share = label[at].mean()
+            each = np.minimum(np.where(label[at] == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)), 8.0)
+            for _ in range(passes):
+                _steps(embed, soft, past, bags, at, label[at], each, rng, rate if not turn else rate / 2)
+        w, b = model()
+        value[fold == k] = tops(bags.logits(w, b))[fold == k]
+        weight += w / FOLDS
+        bias += b / FOLDS
+    return Toxicity(weight, bias, isotonic(value, toxic.astype(float)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 1200, max_chars: int = 12_000_000) -> Toxicity | None:
+    """``max_rows``: toxic rows that training takes, beside twice as many clean ones; ``max_chars``: characters of all of these.
+    Lengths come to the driver first, then the texts that were chosen by them."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").dropDuplicates(["k"])
-    rows = docs.filter(training & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(known, "k").withColumn("r", F.xxhash64("k"))
-    sample = [sample_rows(rows.filter(F.col("y") == y), (2 - y) * max_rows).select("text", "y", "r").toPandas().sort_values("r", ignore_index=True)[: (2 - y) * max_rows] for y in (0, 1)]
-    if any(not len(x) for x in sample):
+    rows = docs.filter(training & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(known, "k")
+    rows = rows.withColumns({"r": F.xxhash64("k"), "h": F.xxhash64("k", "text")})
+    chosen = []
+    for y in (0, 1):
+        most = (2 - y) * max_rows
+        sized = sample_rows(rows.filter(F.col("y") == y), most).select("r", "h", F.length("text").alias("n")).toPandas().sort_values(["r", "h"])[:most]
+        total = 0
+        for h, n in zip(sized["h"], sized["n"]):
+            if total + n <= max_chars // 2:
+                total += n
+                chosen.append((int(h), y))
+    if len({y for _, y in chosen}) < 2:
         return None
-    texts, toxic = [], []
-    for x in sample:
-        total = x["text"].str.len().cumsum()
-        x = x[(total <= max_chars // 2) | (total == total.iloc[0])]
-        texts += list(x["text"])
-        toxic += list(x["y"])
-    return train(texts, np.array(toxic))
+    wanted = docs.sparkSession.createDataFrame(chosen, "h long, y int").distinct()
+    found = rows.join(F.broadcast(wanted), ["h", "y"]).select("text", "y", "r", "h").toPandas().sort_values(["y", "r", "h"], ignore_index=True).drop_duplicates(["h", "y"])
+    return train(list(found["text"]), found["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Toxicity | None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -186,4 +232,4 @@ def score(docs: DataFrame, model: Toxicity | None, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array((values >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
