@@ -10,6 +10,8 @@ import pyarrow as pa
 #: Options of the C library's mallopt, and the sizes from which blocks go back to the system when freed.
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 TRIM_BYTES, MMAP_BYTES = 16 << 20, 4 << 20
+#: Bytes of input that a function takes at once.
+BATCH_BYTES = 8 << 20
 
 _library: list = []
 
@@ -35,13 +37,21 @@ def release() -> None:
         library.malloc_trim(0)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``BATCH_BYTES``, or of one row."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """An Arrow function after which the worker holds no freed memory."""
+    """An Arrow function that reads its input in small pieces, and after which the worker holds no freed memory."""
 
     def held(batches: Iterator) -> Iterator:
         tune()
         try:
-            yield from run(batches)
+            yield from run(pieces(batches))
         finally:
             release()
 

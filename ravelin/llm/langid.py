@@ -5,7 +5,8 @@ the driver. Their number grows with the alphabets and with noise in the texts; n
 grams than the driver holds fails instead of getting another model. Each order is a sorted array of gram hashes
 beside the log probabilities under all languages. A text gets the language with the least cross-entropy per letter; its score
 is that language's share of the likelihood of the whole text, all languages being as likely beforehand.
-Rejection: a text's cross-entropy, in standard deviations for its length, must not exceed what training texts show.
+Rejection: a text's cross-entropy, in standard deviations for its length, must not exceed what training texts show that a
+model of the other half of them has not seen.
 
 Results: null texts and texts without a letter are ``und``, score 0 and rejected; so is everything if there is nothing to
 learn from. Null languages are not learned; repeated rows count as often as they occur; other columns are not read."""
@@ -57,25 +58,26 @@ def ends(begin: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_grams(batches):
-    """Arrow function: lang, text -> lang, gram, count, as found in the task."""
+    """Arrow function: lang, half, text -> lang, half, gram, count, as found in the task."""
     table = letter_table()
-    held: dict[str, list] = {}
+    held: dict[tuple, list] = {}
     size = 0
 
     def out():
-        for lang, found in held.items():
+        for (lang, half), found in held.items():
             values, at = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([c for _, c in found]), len(values)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(np.full(len(values), half, np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "half", "gram", "n"])
 
     for batch in batches:
-        langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-        for lang in dict.fromkeys(langs):
-            own = [texts[i] for i in np.flatnonzero(langs == lang)]
+        texts, own_texts = batch.column(2).to_pylist(), {}
+        for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), texts):
+            own_texts.setdefault(key, []).append(text)
+        for key, own in own_texts.items():
             for a, b in parts(own):
                 symbols, begin = letters(own[a:b], table, ORDER - 1)
                 found = np.unique(grams(symbols)[ends(begin, len(symbols))], return_counts=True)
-                held.setdefault(lang, []).append(found)
+                held.setdefault(key, []).append(found)
                 size += len(found[0])
         if size > 3_000_000:
             yield from out()
@@ -186,8 +188,8 @@ def measure(model: Model):
 
 
 def calibrate(model: Model, rows: DataFrame, margin: float, few: int = 5) -> None:
-    """For each language the mean cross-entropy, how its variance falls with length, and the rejection limit, from all its
-    training texts; languages with fewer than ``few`` take those of all languages' texts together."""
+    """For each language the mean cross-entropy, how its variance falls with length, and the rejection limit, from all these texts
+    of it; languages with fewer than ``few`` take those of all languages' texts together."""
     scratch = Scratch(rows.sparkSession, "langid")
     found = scratch.write(rows.select("lang", "text").mapInArrow(frugal(measure(model)), "lang int, e double, n double"), "measured")
     found = found.withColumn("lang", F.explode(F.array("lang", F.lit(-1))))  # -1: all languages
@@ -207,6 +209,11 @@ def calibrate(model: Model, rows: DataFrame, margin: float, few: int = 5) -> Non
         model.rules[i] = (r["mean"], r["fixed"], r["per"], max(r["z"], 3.0) * margin) if r else (0.0, 0.0, 1.0, np.inf)
 
 
+def half_of(text: Column) -> Column:
+    """The half of the training texts that a text is in; equal texts are in one."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
+
+
 def predict(model: Model | None):
     """Arrow function: id, text -> id, lang_pred, score, rejected, cross_entropy."""
 
@@ -249,14 +256,23 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     if not langs:
         return None
     # Languages as numbers: what comes to the driver is 20 bytes a gram.
-    counts = rows.select("lang", "text").mapInArrow(frugal(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("short").alias("lang"), "gram", "n")
+    rows = rows.withColumn("half", half_of(F.col("text")))
+    counts = rows.select("lang", "half", "text").mapInArrow(frugal(count_grams), "lang string, half int, gram long, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("n0"))
+    counts = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("short").alias("lang"), "gram", "n", "n0")
     found = counts.toPandas()
     if not len(found):
         return None
     model = train(found, langs)
-    del found
-    calibrate(model, rows, margin)
+    seen = found[found["n0"] > 0]
+    learned = sorted({langs[i] for i in seen["lang"]})
+    if learned:  # the other half's texts, under a model of this half
+        judge = train(seen.assign(n=seen["n0"]), langs)
+        del found, seen
+        judge.rules = model.rules
+        calibrate(judge, rows.filter((F.col("half") == 1) & F.col("lang").isin(learned)), margin)
+    else:
+        model.rules |= {i: (0.0, 0.0, 1.0, np.inf) for i in range(len(langs))}
     return model
 
 
