@@ -50,3 +50,23 @@ def sample_rows(rows: DataFrame, n: int) -> DataFrame:
         return rows
     scale = 1 << 40
     return rows.filter(F.pmod("r", F.lit(scale)) < F.lit(int(scale * min(1.0, 1.05 * n / total))))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: dict[int, int], *, id_col: str, text_col: str, label_col: str, max_chars: int | None = None) -> DataFrame:
+    """A bounded sample of labelled rows (text, y, r): of each label up to so many rows, in order of a hash r of the id, and with
+    ``max_chars`` as many as have an equal part of these characters together. Hashes and lengths are joined and come to the
+    driver; the texts of the rows chosen by them are then found by a broadcast of their hashes, never shuffled."""
+    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(*most)).dropDuplicates(["k"])
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    name = F.xxhash64(F.col(id_col), F.col(text_col))
+    sizes = rows.select(F.col(id_col).alias("k"), F.xxhash64(F.col(id_col)).alias("r"), name.alias("h"), F.length(text_col).alias("n")).join(known, "k")
+    chosen = []
+    for y, limit in most.items():
+        sized = sample_rows(sizes.filter(F.col("y") == y), limit).select("r", "h", "n").distinct().toPandas().sort_values(["r", "h"])[:limit]
+        total = 0
+        for r, h, n in sized.itertuples(index=False):
+            if max_chars is None or total + n <= max_chars // len(most):
+                total += n
+                chosen.append((int(h), int(r), y))
+    wanted = docs.sparkSession.createDataFrame(chosen, "h long, r long, y int")
+    return rows.select(name.alias("h"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "h").select("text", "y", "r", "h")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._letters import SPACE, letter_table, letters
 from ._text import U8, mix
 from ._memory import frugal
-from ._store import sample_rows
+from ._store import labelled_rows
 from .langid import parts
 
 BUCKETS, DIM, BAG_WORDS, SIZES = 1 << 18, 8, 3, (3, 4, 5, 6)
@@ -163,7 +163,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str], toxic: np.ndarray, *, seed: int = 7, passes: int = 4, rounds: int = 1, rate: float = 0.2) -> Toxicity | None:
     rng = np.random.default_rng(seed)
-    if len(set(toxic.tolist())) < 2:
+    if len(set(np.asarray(toxic).tolist())) < 2:
         return None
     bags = Bags(texts, min(LEAST, len(texts)))
     fold = rng.permutation(len(texts)) % FOLDS
@@ -205,22 +205,8 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 7, passes: int = 4
 def fit(docs: DataFrame, labels: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 1200, max_chars: int = 12_000_000) -> Toxicity | None:
     """``max_rows``: toxic rows that training takes, beside twice as many clean ones; ``max_chars``: characters of all of these.
     Lengths come to the driver first, then the texts that were chosen by them."""
-    known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").dropDuplicates(["k"])
-    rows = docs.filter(training & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(known, "k")
-    rows = rows.withColumns({"r": F.xxhash64("k"), "h": F.xxhash64("k", "text")})
-    chosen = []
-    for y in (0, 1):
-        most = (2 - y) * max_rows
-        sized = sample_rows(rows.filter(F.col("y") == y), most).select("r", "h", F.length("text").alias("n")).toPandas().sort_values(["r", "h"])[:most]
-        total = 0
-        for h, n in zip(sized["h"], sized["n"]):
-            if total + n <= max_chars // 2:
-                total += n
-                chosen.append((int(h), y))
-    if len({y for _, y in chosen}) < 2:
-        return None
-    wanted = docs.sparkSession.createDataFrame(chosen, "h long, y int").distinct()
-    found = rows.join(F.broadcast(wanted), ["h", "y"]).select("text", "y", "r", "h").toPandas().sort_values(["y", "r", "h"], ignore_index=True).drop_duplicates(["h", "y"])
+    rows = labelled_rows(docs.filter(training), labels, {0: 2 * max_rows, 1: max_rows}, id_col=id_col, text_col=text_col, label_col=label_col, max_chars=max_chars)
+    found = rows.toPandas().sort_values(["y", "r", "h"], ignore_index=True).drop_duplicates(["h", "y"])
     return train(list(found["text"]), found["y"].to_numpy())
 
 

@@ -30,8 +30,8 @@ ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 SPACE_STEPS = [(r"[ \t\x0B\f\r\x{00A0}]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", "")]
 
 
-def decoded(text: Column) -> Column:
-    """With entities as the characters they stand for; ampersands last, so that nothing is decoded twice."""
+def entities(text: Column) -> Column:
+    """The entities of a text with the characters they stand for: ampersands last, so that nothing is decoded twice."""
     names = F.create_map(*(x for name, code in sorted(name2codepoint.items()) for x in (F.lit(name), F.lit(code).cast("long"))))
 
     def code(e: Column) -> Column:
@@ -41,18 +41,20 @@ def decoded(text: Column) -> Column:
     found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))), lambda e: F.struct(e.alias("e"), code(e).alias("code")))
     known = F.filter(found, lambda x: x.code.between(1, 0xD7FF) | x.code.between(0xE000, 0x10FFFF))
     said = lambda x: F.decode(F.unhex(F.lpad(F.hex(x.code), 8, "0")), "UTF-32")
-    swap = lambda t, x: F.replace(t, F.concat(F.lit("&"), x.e, F.lit(";")), said(x))
-    once = F.aggregate(F.filter(known, lambda x: x.code != 38), text, swap)
-    return F.when(text.contains("&"), F.aggregate(F.filter(known, lambda x: x.code == 38), once, swap)).otherwise(text)
+    return F.array_sort(F.transform(known, lambda x: F.struct((x.code == 38).alias("last"), F.concat(F.lit("&"), x.e, F.lit(";")).alias("mark"), said(x).alias("char"))))
 
 
-def text_of(html: Column) -> Column:
+def with_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """With the plain text of an HTML column. Each step is a column of its own, so that no step is computed twice."""
+    bare = F.col(html)
     for pattern, by in HTML_STEPS:
-        html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
-    html = decoded(html)
+        bare = F.regexp_replace(bare, F.lit(pattern), F.lit(by))
+    rows = rows.withColumn("_bare", bare)
+    rows = rows.withColumn("_marks", F.when(F.col("_bare").contains("&"), entities(F.col("_bare"))))
+    plain = F.when(F.size("_marks") > 0, F.aggregate("_marks", F.col("_bare"), lambda t, x: F.replace(t, x.mark, x.char))).otherwise(F.col("_bare"))
     for pattern, by in SPACE_STEPS:
-        html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
-    return html
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(by))
+    return rows.withColumn(name, plain).drop("_bare", "_marks")
 
 
 def one_line(value: Column) -> Column:
@@ -104,7 +106,8 @@ def derive(records: DataFrame) -> DataFrame:
     """Two records a response: key, record_type, record_id, refers_to, target_uri, warc_date, content_type, block,
     content_length, block_digest, payload_digest (the source's, or made from its body) and warc_headers."""
     rows = records.filter("record_type = 'response'").select("key", "record_id", one_line(F.col("target_uri")).alias("target_uri"), "warc_date", "payload_digest", F.regexp_replace(F.coalesce("http_headers", F.lit("")), "\r\n[ \t]+", " ").alias("http_headers"), F.coalesce("body", F.lit("")).alias("body"))
-    rows = rows.withColumns({"payload_digest": F.coalesce(F.col("payload_digest"), F.concat(F.lit("sha256:"), F.sha2("body", 256))), "plain": text_of(F.col("body"))})
+    rows = rows.withColumn("payload_digest", F.coalesce(F.col("payload_digest"), F.concat(F.lit("sha256:"), F.sha2("body", 256))))
+    rows = with_text(rows, "body", "plain")
     title = F.trim(one_line(F.regexp_extract("body", r"(?is)<title[^>]*>([^<]*)</title>", 1)))
     lang = F.lower(F.regexp_extract("body", r"(?i)<html[^>]* lang=\"?([A-Za-z-]+)", 1))
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
