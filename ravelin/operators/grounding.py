@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import capitalised, citation_markers, content_tokens, coverage, first_sentences, is_idk, numerals, split_sentences, without_markers
 
 THRESHOLD = 0.7
+#: Statuses of answers that may be cached, and the names of the features.
 CACHEABLE = ("ok", "ok_partial_rejected", "ok_no_answer", "no_results", "degraded_no_llm")
 FEATURES = ["coverage", "bigram_coverage", "longest_shared_run", "numeral_coverage", "has_numeral", "long_token_coverage", "capitalised_coverage", "missing_count", "token_count", "position", "is_first", "context_size"]
 
@@ -56,7 +57,7 @@ def low_signal(query: Column, chunks: Column) -> Column:
 
 
 #: What an outcome of the model call makes of an answer.
-FAILURES = {"quota_429": "degraded_quota", "throttled": "degraded_throttled", "timeout": "degraded_timeout", "server_error": "degraded_llm_error", "malformed": "degraded_llm_malformed", "config": "degraded_llm_config", "auth": "degraded_llm_auth"}
+FAILURES = {"quota_429": "degraded_quota", "throttled": "degraded_quota_throttled", "timeout": "degraded_timeout", "server_error": "degraded_llm_error", "malformed": "degraded_llm_malformed", "config": "degraded_llm_config", "auth": "degraded_llm_auth"}
 
 
 def failure_status(outcome: Column) -> Column:
@@ -67,11 +68,12 @@ def failure_status(outcome: Column) -> Column:
 
 
 def answer_status(retrieved: Column, weak: Column, primary: Column, fallback: Column, text: Column, kept: Column, rejected: Column) -> Column:
-    """The states of an answer. If both providers fail, the first one's failure stands."""
+    """The states of an answer. Without a first provider there is no second one; if both fail, the first one's failure stands."""
     answered = (primary == "ok") | (fallback == "ok")
     return (
         F.when(retrieved == 0, "no_results")
         .when(weak, "ok_no_answer")
+        .when(primary == "none", "degraded_no_llm")
         .when(~F.coalesce(answered, F.lit(False)), failure_status(primary))
         .when(is_idk(text), "ok_no_answer")
         .when(kept == 0, "degraded_citation_rejected")
@@ -80,8 +82,15 @@ def answer_status(retrieved: Column, weak: Column, primary: Column, fallback: Co
     )
 
 
-def http_outcome(code: Column) -> Column:
-    return F.when(code == 200, "ok").when(code == 429, "quota_429").when(code.isin(401, 403), "auth").when(code >= 500, "server_error").otherwise("config")
+def http_outcome(code: Column, body: Column | None = None, failure: Column | None = None) -> Column:
+    """The outcome of a model call: by the failure before an answer ('timeout' or 'network'), the HTTP status, and the text that the
+    body holds (null or blank: malformed)."""
+    out = F.when(code == 429, "quota_429").when(code.isin(401, 403), "auth").when(code >= 500, "server_error").when(code != 200, "config")
+    if failure is not None:
+        out = F.when(failure == "timeout", "timeout").when(failure == "network", "server_error").otherwise(out)
+    if body is not None:
+        out = F.coalesce(out, F.when(F.coalesce(F.trim(body), F.lit("")) == "", "malformed"))
+    return F.coalesce(out, F.lit("ok"))
 
 
 def extractive(text: Column) -> Column:

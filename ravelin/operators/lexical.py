@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .blocks import by_document, entries, top_by_blocks
 
 K1, B = 1.5, 0.75
 
@@ -28,24 +32,64 @@ def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
 
 
+def build_index(docs: DataFrame, path: str, buckets: int = 64, *, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Stores postings (by ``buckets`` of a term's hash) and statistics under a path of any file system. A stored index is never
+    built over; a corpus without documents is an error."""
+    rows = postings(docs, id_col, text_col).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    stats = corpus_stats(docs, text_col).withColumn("buckets", F.lit(buckets))
+    if stats.first()["n"] == 0:
+        raise ValueError("empty corpus")
+    rows.repartition(buckets, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
+    stats.write.mode("errorifexists").parquet(f"{path}/stats")
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def search_index(queries: DataFrame, path: str, top_k: int = 30) -> DataFrame:
+    """``bm25`` over a stored index: only the buckets of the queries' terms are read."""
+    spark = queries.sparkSession
+    stats = spark.read.parquet(f"{path}/stats").first()
+    asked = asked_terms(queries)
+    wanted = asked.select("term").distinct()
+    buckets = [r["b"] for r in wanted.select(bucket_of(F.col("term"), stats["buckets"]).alias("b")).distinct().collect()]
+    posts = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), "term", "left_semi")
+    return scored(asked, posts.select("term", "id", "dl", "tf"), stats["n"], stats["avgdl"], queries.schema["qid"].dataType, top_k)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
+
+
+def scored(asked: DataFrame, posts: DataFrame, n: int, avgdl: float, kind, top_k: int) -> DataFrame:
+    """Ranked documents by blocks. The terms of all queries and their document frequencies come to the driver; they are bounded
+    by the queries."""
+    pairs = [(r["qid"], r["term"]) for r in asked.collect()]
+    names, terms = list(dict.fromkeys(q for q, _ in pairs)), list(dict.fromkeys(t for _, t in pairs))
+    place, column = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+    df = {r["term"]: r["df"] for r in posts.groupBy("term").agg(F.count("*").alias("df")).collect()} if terms else {}
+    matrix = np.zeros((len(names), len(terms)))
+    for q, t in pairs:
+        if t in df:
+            matrix[place[q], column[t]] = max(0.0, math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1))
+    numbers = posts.sparkSession.createDataFrame(list(column.items()) or [("", 0)], "term string, feature int")
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
+    rows = by_document(posts.join(F.broadcast(numbers), "term").withColumn("weight", weight))
+    return ranked(top_by_blocks(rows, entries(max(len(terms), 1)), names, matrix if terms else np.zeros((0, 1)), kind, top_k, positive=True), top_k)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 30, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """queries: qid, query. Returns qid, id, score, rank; ties go to the smaller id. Only postings of terms that a query
-    has are kept before they are counted: the terms of all queries filter the tokens by a semi join, whose build side
-    Spark broadcasts only while it is small."""
+    """queries: qid, query. Returns qid, id, score, rank; ties go to the smaller id. Only tokens that a query has are counted;
+    documents are then multiplied with the queries block by block, and each task hands on its best top_k of each query."""
     if top_k <= 0:
         raise ValueError("top_k must be positive")
-    asked = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
+    asked = asked_terms(queries)
+    wanted = F.broadcast(asked.select("term").distinct())
     rows = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    exploded = rows.select("id", "dl", F.explode("tokens").alias("term"))
-    posts = exploded.join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text_col)))).alias("avgdl"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(posts, "term").join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return ranked(total, top_k)
+    posts = rows.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = corpus_stats(docs, text_col).first()
+    return scored(asked, posts, stats["n"], stats["avgdl"], queries.schema["qid"].dataType, top_k)
 
 
 def ranked(scored: DataFrame, top_k: int, order=None) -> DataFrame:

@@ -1,37 +1,61 @@
 """Online state over events in batch form: windows anchored at events, quotas, budgets, caches, admission; and time series.
 
 Operators whose state depends on all earlier events of a key (not a running sum) read the key's events as a sorted stream
-within one partition (``fold``): state has constant size, so a hot key costs time but no memory."""
+within one partition (``fold``): state has constant size, so a hot key costs time but no memory. Rows come as Arrow values, so
+null keys are one key and integers stay integers."""
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
+from collections import OrderedDict, namedtuple
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Output rows that a task gathers before it hands them on.
+ROWS_OUT = 10_000
+
+
+def simulate(rows: DataFrame, key: str, order: list[str], run: Callable[[Iterator], Iterator[dict]], schema: str) -> DataFrame:
+    """``run`` over each key's rows in order, as an iterator of tuples with the columns' names; it gives output rows as dicts."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    Row = namedtuple("Row", rows.columns)
+    place = rows.columns.index(key)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(column.to_pylist() for column in batch.columns))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for _, group in groupby(walk(batches), key=lambda r: r[place]):
+            for made in run(map(Row._make, group)):
+                out.append(made)
+                if len(out) >= ROWS_OUT:
+                    yield pa.RecordBatch.from_pylist(out, kinds)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(part, schema)
 
 
 def fold(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
     """step(state, row) -> (state, output row as a dict), over each key's rows in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                k = getattr(row, key)
-                if state is None or k != last:
-                    last, state = k, start()
-                state, made = step(state, row)
-                out.append(made)
-            if out:
-                yield pd.DataFrame(out)
+    def run(group: Iterator) -> Iterator[dict]:
+        state = start()
+        for row in group:
+            state, made = step(state, row)
+            yield made
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return simulate(rows, key, order, run, schema)
 
 
 def rate_limit(events: DataFrame, limit: int, window_us: int, key: str = "user_id") -> DataFrame:
@@ -52,7 +76,7 @@ def ttl_cache(requests: DataFrame, ttl_us: int) -> DataFrame:
     """Hit or miss of each request of a key; a miss stores. requests: event_id, key, us, cacheable."""
 
     def step(state, row):
-        hit = state is not None and state != () and row.us - state[0] < ttl_us
+        hit = state != () and row.us - state[0] < ttl_us
         if not hit and row.cacheable:
             state = (row.us,)
         return state, {"event_id": row.event_id, "hit": hit}
@@ -67,19 +91,7 @@ def ewma(rows: DataFrame, alpha: float, key: str = "user_id") -> DataFrame:
         state = row.value if state is None else alpha * row.value + (1 - alpha) * state
         return state, {"event_id": row.event_id, "ewma": state}
 
-    def run(batches):
-        last, state = object(), None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if getattr(row, key) != last:
-                    last, state = getattr(row, key), None
-                state, made = step(state, row)
-                out.append(made)
-            if out:
-                yield pd.DataFrame(out)
-
-    return rows.select("event_id", key, "us", "value").repartition(key).sortWithinPartitions(key, "us", "event_id").mapInPandas(run, "event_id long, ewma double")
+    return fold(rows.select("event_id", key, "us", "value"), key, ["us", "event_id"], lambda: None, step, "event_id long, ewma double")
 
 
 def daily_quota(events: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
@@ -89,65 +101,71 @@ def daily_quota(events: DataFrame, limit: int, key: str = "user_id") -> DataFram
     return events.select("event_id", key, n.alias("used"), (n <= limit).alias("allowed"))
 
 
-def quota_guard(events: DataFrame, day: Column, rpm: int = 15, rpd: int = 500, margin: float = 0.9, key: str = "user_id") -> DataFrame:
-    """Minute quota, then day quota; what the minute denies does not use the day. events: event_id, key, us."""
+def quota_guard(events: DataFrame, zone: str = "America/Los_Angeles", rpm: int = 15, rpd: int = 500, margin: float = 0.9, key: str = "user_id") -> DataFrame:
+    """Cooldown, then minute quota, then day quota (days of ``zone``); what a step denies does not use the later ones. events:
+    event_id, key, us, until (end of the cooldown that earlier rejections opened, or null, see ``cooldown``)."""
     per_minute, per_day = math.floor(rpm * margin), math.floor(rpd * margin)
-    minute = F.floor(F.col("us") / 60_000_000)
-    rows = events.withColumn("day", day).withColumn("in_minute", F.row_number().over(W.partitionBy(key, minute).orderBy("us", "event_id")))
-    passed = (F.col("in_minute") <= per_minute).cast("int")
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_micros("us"), zone))
+    rows = events.withColumns({"day": day, "cooling": F.coalesce(F.col("until") > F.col("us"), F.lit(False))})
+    rows = rows.withColumn("in_minute", F.row_number().over(W.partitionBy(key, "cooling", F.floor(F.col("us") / 60_000_000)).orderBy("us", "event_id")))
+    passed = (~F.col("cooling") & (F.col("in_minute") <= per_minute)).cast("int")
     used = F.sum(passed).over(W.partitionBy(key, "day").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("used", used)
-    reason = F.when(F.col("in_minute") > per_minute, "rpm_exhausted").when(F.col("used") > per_day, "rpd_exhausted").otherwise("ok")
-    return rows.select("event_id", reason.alias("reason"), F.greatest(F.lit(per_day) - F.col("used"), F.lit(0)).alias("remaining_rpd"), (F.least("used", F.lit(per_day)) >= math.ceil(per_day * 0.8)).alias("alert"))
+    reason = F.when(F.col("cooling"), "cooldown").when(F.col("in_minute") > per_minute, "rpm_exhausted").when(F.col("used") > per_day, "rpd_exhausted").otherwise("ok")
+    rows = rows.withColumn("reason", reason)
+    case = lambda cooling, minute, daily, ok: F.when(F.col("reason") == "cooldown", cooling).when(F.col("reason") == "rpm_exhausted", minute).when(F.col("reason") == "rpd_exhausted", daily).otherwise(ok)
+    midnight = F.unix_micros(F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp"), zone))
+    counted = ~F.col("reason").isin("cooldown", "rpm_exhausted")
+    return rows.select(
+        "event_id",
+        "reason",
+        case(F.lit(0), F.lit(0), F.lit(per_minute) - F.col("in_minute"), F.lit(per_minute) - F.col("in_minute")).alias("remaining_rpm"),
+        case(F.lit(0), F.lit(per_day), F.lit(0), F.lit(per_day) - F.col("used")).cast("long").alias("remaining_rpd"),
+        case(F.col("until") - F.col("us"), F.lit(60_000_000) - F.col("us") % 60_000_000, midnight - F.col("us"), F.lit(0)).alias("retry_us"),
+        (counted & (F.col("used") >= per_day * 0.8)).alias("alert"),
+    )
 
 
 def cooldown(events: DataFrame, default_us: int = 60_000_000, key: str = "user_id") -> DataFrame:
-    """Closed until the latest of earlier rejections plus their retry time. events: event_id, key, us, rejected, retry_us."""
-    until = F.when(F.col("rejected"), F.col("us") + F.coalesce("retry_us", F.lit(default_us)))
-    before = W.partitionBy(key).orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = events.withColumn("until", F.max(until).over(before))
-    return rows.select("event_id", F.coalesce(F.col("until") > F.col("us"), F.lit(False)).alias("cooling"), F.greatest(F.coalesce(F.col("until") - F.col("us"), F.lit(0)), F.lit(0)).alias("retry_us"))
+    """With ``until``, the latest of earlier rejections plus their retry time (null: none), until which the key is closed. events:
+    event_id, key, us, rejected, retry_us (null: the default)."""
+    ends = F.when(F.col("rejected"), F.col("us") + F.coalesce("retry_us", F.lit(default_us)))
+    return events.withColumn("until", F.max(ends).over(W.partitionBy(key).orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, -1)))
 
 
 def budget(events: DataFrame, limit: int, margin: float = 0.9, key: str = "resource") -> DataFrame:
-    """Open once the use before an event reached the limit; open events use nothing. events: event_id, key, us, n. As uses are
-    counted up to the limit only, the running sum of all tells the same."""
+    """Open once the use before an event reached the limit; open events use nothing, so the use stays what it was when the limit
+    was first reached. events: event_id, key, us, n."""
     enforced = math.floor(limit * margin)
     day = F.floor(F.col("us") / 86_400_000_000)
-    w = W.partitionBy(key, day).orderBy("us", "event_id")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = events.withColumn("before", before)
+    w = W.partitionBy(key, "day").orderBy("us", "event_id")
+    rows = events.withColumn("day", day).withColumn("total", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    reached = F.min(F.when(F.col("total") >= enforced, F.col("total"))).over(earlier)
+    rows = rows.withColumn("before", F.coalesce(reached, F.col("total") - F.col("n")))
     opened = F.col("before") >= enforced
     return rows.select("event_id", F.col("before").alias("used_before"), opened.alias("open"), (~opened & (F.col("before") + F.col("n") >= enforced * 0.8)).alias("alert"))
 
 
-def first_alerts(alerts: DataFrame, key: str) -> DataFrame:
-    """The first alert of each key and UTC day. alerts: event_id, key, us."""
-    day = F.floor(F.col("us") / 86_400_000_000)
-    return alerts.groupBy(key, day.alias("day")).agg(F.min_by("event_id", F.struct("us", "event_id")).alias("event_id"))
-
-
-def simulate(rows: DataFrame, key: str, order: list[str], run: Callable[[Iterator], Iterator[dict]], schema: str) -> DataFrame:
-    """A simulation with state of its own over each key's rows in order."""
+def storage_breaker(checks: DataFrame, limit: int, margin: float = 0.9, alert_share: float = 0.8, cache_us: int = 60_000_000, key: str = "store") -> DataFrame:
+    """Whether writes are allowed by the size of a store, which is read anew once a reading is ``cache_us`` old; a reading that
+    failed (null) counts as 0. checks: event_id, key, us, size."""
+    enforced = math.floor(limit * margin)
 
-    def part(batches):
-        def walk():
-            for pdf in batches:
-                yield from pdf.itertuples(index=False)
+    def step(state, row):
+        at, size = state
+        if at is None or row.us - at >= cache_us:
+            at, size = row.us, row.size or 0
+        name = "open" if size >= enforced else "alert" if size >= alert_share * enforced else "closed"
+        return (at, size), {"event_id": row.event_id, "state": name, "allowed": name != "open", "size": size}
 
-        from itertools import groupby
+    return fold(checks.select("event_id", key, "us", "size"), key, ["us", "event_id"], lambda: (None, 0), step, "event_id long, state string, allowed boolean, size long")
 
-        out = []
-        for _, group in groupby(walk(), key=lambda r: getattr(r, key)):
-            for made in run(group):
-                out.append(made)
-                if len(out) >= 10_000:
-                    yield pd.DataFrame(out)
-                    out = []
-        if out:
-            yield pd.DataFrame(out)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(part, schema)
+def first_alerts(alerts: DataFrame, key: str) -> DataFrame:
+    """The first alert of each key and UTC day. alerts: event_id, key, us."""
+    day = F.floor(F.col("us") / 86_400_000_000)
+    return alerts.groupBy(key, day.alias("day")).agg(F.min_by("event_id", F.struct("us", "event_id")).alias("event_id"))
 
 
 def admission(jobs: DataFrame, slots: int = 2, depth: int = 4, alpha: float = 0.2, key: str = "server") -> DataFrame:
@@ -209,10 +227,25 @@ def increase(events: DataFrame, window_us: int, *by: str) -> DataFrame:
     return events.select("event_id", *by, F.count("*").over(w).alias("increase"))
 
 
+def counter_rate(samples: DataFrame, window_us: int, *by: str) -> DataFrame:
+    """Of the samples of a cumulative counter in the window that ends with each: the increase (falls are resets), stretched to the
+    window as far as its ends are near samples, and its rate a second. samples: us, value."""
+    rows = counter_increase(samples, *by)
+    w = W.partitionBy(*by).orderBy("us").rangeBetween(-window_us + 1, 0)
+    first = rows.withColumns({"since": F.min("us").over(w), "n": F.count("*").over(w), "all": F.sum("increase").over(w), "own": F.first("increase").over(w), "base": F.first("value").over(w)})
+    gained, span = F.col("all") - F.col("own"), F.col("us") - F.col("since")
+    step = span / (F.col("n") - 1)
+    lead = F.col("since") - (F.col("us") - window_us)
+    before = F.when(lead < step * 1.1, lead).otherwise(step / 2)
+    zero = F.when((gained > 0) & (F.col("base") >= 0), span * F.col("base") / gained)  # a counter is not carried on below 0
+    full = F.when(F.col("n") > 1, gained * (span + F.least(before, F.coalesce(zero, before))) / span)
+    return first.select(*by, "us", F.round(full, 6).alias("increase"), F.round(full * 1_000_000 / window_us, 9).alias("rate"))
+
+
 def counter_increase(samples: DataFrame, *by: str) -> DataFrame:
     """The increase between samples of a cumulative counter; a fall is a reset. samples: us, value."""
     last = F.lag("value").over(W.partitionBy(*by).orderBy("us"))
-    return samples.withColumn("last", last).select(*by, "us", F.when(F.col("last").isNull(), 0.0).when(F.col("value") < F.col("last"), F.col("value")).otherwise(F.col("value") - F.col("last")).alias("increase"))
+    return samples.withColumn("last", last).select(*by, "us", "value", F.when(F.col("last").isNull(), 0.0).when(F.col("value") < F.col("last"), F.col("value")).otherwise(F.col("value") - F.col("last")).alias("increase"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, *by: str) -> DataFrame:

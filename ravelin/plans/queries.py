@@ -62,11 +62,16 @@ def chunk_paragraphs(spark, sf_dir):
     return corpus.chunk(table(spark, sf_dir, "documents"), "\n")
 
 
-@query(f"with {CHUNKS} select sha256(string_agg(sha256(chunk_id || chr(1) || text), chr(0) order by doc_id, chunk_index)) corpus_sha256, count(*) chunks from chunks")
+@query(f"with {CHUNKS} select sha256(string_agg(chunk_id || chr(1) || text, chr(0) order by doc_id, chunk_index)) corpus_sha256, count(*) chunks from chunks")
 def corpus_hash(spark, sf_dir):
     return corpus.corpus_hash(corpus.chunk(table(spark, sf_dir, "documents"), "\n"))
 
 
+@query(f"with {CHUNKS} select sum(('0x' || sha256(chunk_id || chr(1) || text)[1:15])::hugeint)::varchar digest, count(*) chunks from chunks")
+def corpus_digest(spark, sf_dir):
+    return corpus.corpus_digest(corpus.chunk(table(spark, sf_dir, "documents"), "\n"))
+
+
 @query("select sha256(text) sha, count(*) n, min(doc_id) first_doc from documents group by 1 having count(*) > 1")
 def doc_hash_dupes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
@@ -165,8 +170,8 @@ fused as (select qid, id, score, row_number() over (partition by qid order by sc
 
 def fused_lists(spark, sf_dir, top_k=None) -> DataFrame:
     docs, q = table(spark, sf_dir, "documents"), asked(spark, sf_dir)
-    vectors = dense.hashing_embed(docs)
-    found = dense.sparse_topk(dense.hashing_embed(q, id_col="qid", text_col="query").withColumnRenamed("id", "qid"), vectors, 30)
+    vectors = dense.hashing_vectors(q, id_col="qid", text_col="query").withColumnRenamed("id", "qid")
+    found = dense.dense_topk(vectors, dense.hashing_vectors(docs), 30)
     return fusion.rrf([lexical.bm25(q, docs, 30), found], top_k)
 
 
@@ -314,7 +319,7 @@ OUTCOMES = ["ok", "quota_429", "throttled", "timeout", "server_error", "malforme
 
 
 @query("""with o as (select event_id, ['ok','quota_429','throttled','timeout','server_error','malformed','config','auth','none'][event_id % 9 + 1] p, ['ok','quota_429','throttled','timeout','server_error','malformed','config','auth','none'][(event_id // 9) % 9 + 1] f, event_id % 7 retrieved, event_id % 11 = 0 weak, event_id % 3 kept, event_id % 2 rejected, event_id % 13 = 0 idk from events),
-s as (select *, case when retrieved = 0 then 'no_results' when weak then 'ok_no_answer' when p <> 'ok' and f <> 'ok' then case p when 'none' then 'degraded_no_llm' when 'quota_429' then 'degraded_quota' when 'throttled' then 'degraded_throttled' when 'timeout' then 'degraded_timeout' when 'server_error' then 'degraded_llm_error' when 'malformed' then 'degraded_llm_malformed' when 'config' then 'degraded_llm_config' when 'auth' then 'degraded_llm_auth' end when idk then 'ok_no_answer' when kept = 0 then 'degraded_citation_rejected' when rejected > 0 then 'ok_partial_rejected' else 'ok' end status from o)
+s as (select *, case when retrieved = 0 then 'no_results' when weak then 'ok_no_answer' when p = 'none' then 'degraded_no_llm' when p <> 'ok' and f <> 'ok' then case p when 'none' then 'degraded_no_llm' when 'quota_429' then 'degraded_quota' when 'throttled' then 'degraded_quota_throttled' when 'timeout' then 'degraded_timeout' when 'server_error' then 'degraded_llm_error' when 'malformed' then 'degraded_llm_malformed' when 'config' then 'degraded_llm_config' when 'auth' then 'degraded_llm_auth' end when idk then 'ok_no_answer' when kept = 0 then 'degraded_citation_rejected' when rejected > 0 then 'ok_partial_rejected' else 'ok' end status from o)
 select event_id, status, status in ('ok', 'ok_partial_rejected', 'ok_no_answer', 'no_results', 'degraded_no_llm') cacheable from s""")
 def status_machine(spark, sf_dir):
     e = F.col("event_id")
@@ -515,30 +520,47 @@ def daily_quota(spark, sf_dir):
     return state.daily_quota(events(spark, sf_dir), 3)
 
 
-@query("""with m as (select event_id, user_id % 3 client, ts, epoch_us(ts) us, ((ts at time zone 'UTC') at time zone 'America/Los_Angeles')::date d from events),
-n as (select *, row_number() over (partition by client, us // 60000000 order by us, event_id) k from m),
-u as (select *, sum((k <= 1)::int) over (partition by client, d order by us, event_id) used from n)
-select event_id, case when k > 1 then 'rpm_exhausted' when used > 45 then 'rpd_exhausted' else 'ok' end reason, greatest(45 - used, 0)::bigint remaining_rpd, least(used, 45) >= 36 alert from u""")
+UNTIL = "max(case when rejected then us + coalesce(retry_us, 60000000) end) over (partition by {} order by us, event_id rows between unbounded preceding and 1 preceding) until".format
+
+
+@query(f"""with e as (select event_id, user_id % 3 client, ts, epoch_us(ts) us, event_id % 10 = 0 rejected, case when event_id % 20 = 0 then 1800000000 end retry_us from events),
+m as (select *, {UNTIL('client')}, ((ts at time zone 'UTC') at time zone 'America/Los_Angeles')::date d from e),
+c as (select *, coalesce(until > us, false) cooling from m),
+n as (select *, row_number() over (partition by client, cooling, us // 60000000 order by us, event_id) k from c),
+u as (select *, sum((not cooling and k <= 1)::int) over (partition by client, d order by us, event_id) used from n),
+r as (select *, case when cooling then 'cooldown' when k > 1 then 'rpm_exhausted' when used > 45 then 'rpd_exhausted' else 'ok' end reason from u)
+select event_id, reason, case when reason in ('cooldown', 'rpm_exhausted') then 0 else 1 - k end::int remaining_rpm, case reason when 'cooldown' then 0 when 'rpm_exhausted' then 45 when 'rpd_exhausted' then 0 else 45 - used end::bigint remaining_rpd,
+  case reason when 'cooldown' then until - us when 'rpm_exhausted' then 60000000 - us % 60000000 when 'rpd_exhausted' then epoch_us((d + 1)::timestamp at time zone 'America/Los_Angeles') - us else 0 end::bigint retry_us, reason in ('ok', 'rpd_exhausted') and used >= 36 alert from r""")
 def quota_guard(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("client", F.col("user_id") % 3)
-    return state.quota_guard(rows, F.to_date(F.from_utc_timestamp("ts", "America/Los_Angeles")), rpm=2, rpd=50, key="client")
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).withColumns({"client": F.col("user_id") % 3, "rejected": e % 10 == 0, "retry_us": F.when(e % 20 == 0, F.lit(HOUR // 2))})
+    return state.quota_guard(state.cooldown(rows, key="client"), rpm=2, rpd=50, key="client")
 
 
-@query("""with e as (select event_id, user_id, epoch_us(ts) us, event_type = 'error' or event_id % 17 = 0 rejected, case when event_id % 2 = 0 then 7200000000 end retry_us from events),
-u as (select *, max(case when rejected then us + coalesce(retry_us, 60000000) end) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding) until from e)
+@query(f"""with e as (select event_id, user_id, epoch_us(ts) us, event_type = 'error' or event_id % 17 = 0 rejected, case when event_id % 2 = 0 then 7200000000 end retry_us from events),
+u as (select *, {UNTIL('user_id')} from e)
 select event_id, coalesce(until > us, false) cooling, greatest(coalesce(until - us, 0), 0) retry_us from u""")
 def cooldown(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("rejected", (F.col("event_type") == "error") | (F.col("event_id") % 17 == 0)).withColumn("retry_us", F.when(F.col("event_id") % 2 == 0, F.lit(2 * HOUR)))
-    return state.cooldown(rows)
+    left = F.coalesce(F.col("until") - F.col("us"), F.lit(0))
+    return state.cooldown(rows).select("event_id", (left > 0).alias("cooling"), F.greatest(left, F.lit(0)).alias("retry_us"))
 
 
-@query("""with e as (select event_id, event_type, epoch_us(ts) us, 1 + event_id % 3 n from events),
-b as (select *, coalesce(sum(n) over (partition by event_type, us // 86400000000 order by us, event_id rows between unbounded preceding and 1 preceding), 0)::bigint used_before from e)
-select event_id, used_before, used_before >= 90 as open, used_before < 90 and used_before + n >= 72 alert from b""")
+@query("""with recursive e as (select event_id, event_type, epoch_us(ts) // 86400000000 as day, 1 + event_id % 3 n, row_number() over (partition by event_type, epoch_us(ts) // 86400000000 order by ts, event_id) rn from events),
+b as (select event_id, event_type, day, rn, n, 0::bigint before from e where rn = 1 union all select e.event_id, e.event_type, e.day, e.rn, e.n, case when b.before >= 90 then b.before else b.before + b.n end from b join e on e.event_type = b.event_type and e.day = b.day and e.rn = b.rn + 1)
+select event_id, before used_before, before >= 90 as open, before < 90 and before + n >= 72 alert from b""")
 def budget_state(spark, sf_dir):
     return state.budget(events(spark, sf_dir).withColumn("n", 1 + F.col("event_id") % 3), 100, key="event_type")
 
 
+@query("""with recursive e as (select event_id, event_type, epoch_us(ts) us, case when event_id % 7 <> 0 then event_id * 37 % 1200 end size, row_number() over (partition by event_type order by ts, event_id) rn from events),
+b as (select event_id, event_type, rn, us read_us, coalesce(size, 0)::bigint size from e where rn = 1 union all select e.event_id, e.event_type, e.rn, case when e.us - b.read_us >= 3600000000 then e.us else b.read_us end, case when e.us - b.read_us >= 3600000000 then coalesce(e.size, 0) else b.size end from b join e on e.event_type = b.event_type and e.rn = b.rn + 1)
+select event_id, case when size >= 900 then 'open' when size >= 720 then 'alert' else 'closed' end state, size < 900 allowed, size from b""")
+def storage_breaker(spark, sf_dir):
+    e = F.col("event_id")
+    return state.storage_breaker(events(spark, sf_dir).withColumn("size", F.when(e % 7 != 0, e * 37 % 1200)), 1000, cache_us=HOUR, key="event_type")
+
+
 @query("select event_type, epoch_us(ts) // 86400000000 as day, arg_min(event_id, struct_pack(u := epoch_us(ts), e := event_id)) event_id from events where value > 50 group by 1, 2")
 def alert_dedupe(spark, sf_dir):
     return state.first_alerts(events(spark, sf_dir).filter("value > 50"), "event_type")

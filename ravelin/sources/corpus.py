@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +32,12 @@ def validate(lines: DataFrame) -> DataFrame:
     keys = F.json_object_keys("value")
     missing = F.array_sort(F.filter(F.array(*map(F.lit, REQUIRED)), lambda k: ~F.array_contains(keys, k)))
     rows = lines.select("line", "value", keys.alias("keys"), missing.alias("missing"), F.from_json("value", SCHEMA).alias("d"))
-    text_json = F.get_json_object(F.col("value"), "$.text")
+    told = F.try_parse_json("value")
+    text = F.when(F.schema_of_variant(F.try_variant_get(told, "$.text", "variant")) == "STRING", F.try_variant_get(told, "$.text", "string"))
     reason = (
         F.when(F.col("keys").isNull(), "not a JSON object")
         .when(F.size("missing") > 0, F.concat(F.lit("missing fields: "), F.array_join("missing", ", ")))
-        .when(text_json.isNull() | (F.trim(F.regexp_replace(text_json, r"\s+", " ")) == ""), "text must be a non-empty string")
+        .when(text.isNull() | ~text.rlike(r"\S"), "text must be a non-empty string")
     )
     return rows.select("line", reason.alias("reason"), "d.*")
 
@@ -66,10 +70,26 @@ def chunk(docs: DataFrame, separator: str = "\n\n", *, id_col: str = "doc_id", t
 
 
 def corpus_hash(chunks: DataFrame) -> DataFrame:
-    """One row: a digest of the chunks' digests in order (of id and text each), so that texts are not gathered."""
-    one = F.sha2(F.concat(F.col("chunk_id"), F.lit("\x01"), F.col("text")), 256)
-    rows = chunks.select(F.struct("doc_id", "chunk_index", one.alias("h")).alias("s"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x.h), "\x00"), 256).alias("corpus_sha256"), F.count("*").alias("chunks"))
+    """One row: the SHA-256 of ids and texts of all chunks in order, and their number. One digest over everything is sequential:
+    ranges are sorted in parallel, then one task streams them in order and holds no more than a batch. ``corpus_digest`` is the
+    form that grows with the cluster."""
+
+    def run(batches):
+        total, n = hashlib.sha256(), 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.update(f"{chr(0) if n else ''}{name}\x01{text}".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()]), pa.array([n])], ["corpus_sha256", "chunks"])
+
+    ordered = chunks.orderBy("doc_id", "chunk_index").select("chunk_id", "text").coalesce(1)
+    return ordered.mapInArrow(run, "corpus_sha256 string, chunks long")
+
+
+def corpus_digest(chunks: DataFrame) -> DataFrame:
+    """One row: a digest of the chunks in any order (the sum of their digests' first 60 bits), and their number."""
+    one = F.conv(F.substring(F.sha2(F.concat("chunk_id", F.lit("\x01"), "text"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return chunks.agg(F.coalesce(F.sum(one), F.lit(0)).cast("string").alias("digest"), F.count("*").alias("chunks"))
 
 
 def classify(old: DataFrame, new: DataFrame) -> DataFrame:
