@@ -12,6 +12,9 @@ STOPWORDS = (
     "not no can could should would"
 ).split()
 IDK = "i don't know"
+# Numerals, and words with a capital first letter at the start of a word, in any script.
+NUMERAL = r"\p{Nd}[\p{Nd},.]*"
+CAPITALISED = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z]{2,})"
 
 
 def tokenize(text: Column) -> Column:
@@ -75,11 +78,11 @@ def without_markers(text: Column) -> Column:
 
 
 def numerals(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\d[\d,.]*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(NUMERAL), F.lit(0))
 
 
 def capitalised(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z]{2,}"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(1)), F.lower)
 
 
 def is_idk(text: Column) -> Column:

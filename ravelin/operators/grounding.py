@@ -50,6 +50,11 @@ def assemble(judged: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, F.array_join("k.sentence", " ").alias("answer"), F.array_join(F.transform(F.array_distinct(F.flatten("k.cited")), lambda x: x.cast("string")), ",").alias("citations"), "kept", "rejected")
 
 
+def context_cut(chunks: Column, most: int = 5) -> Column:
+    """The chunks that go into a prompt: the best ``most``, in order."""
+    return F.slice(chunks, 1, most)
+
+
 def low_signal(query: Column, chunks: Column) -> Column:
     """The query has content and shares none of it with any chunk."""
     asked = content_tokens(query)

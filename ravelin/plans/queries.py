@@ -93,9 +93,9 @@ def slug_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat("p_name", F.lit("!! v1.TXT"))).alias("slug"))
 
 
-@query("""select doc_id, len(regexp_extract_all(text, '\\d[\\d,.]*'))::int numerals, len(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]{2,}'))::int capitalised, lower(trim(text)) = 'i don''t know' idk from documents where strlen(text) = length(text)""")
+@query(f"""select doc_id, len(regexp_extract_all(text, '{X.NUMERAL}'))::int numerals, len(regexp_extract_all(text, '{X.CAPITALISED}', 1))::int capitalised, lower(trim(text)) = 'i don''t know' idk from documents""")
 def numerals_and_capitals(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(X.numerals(F.col("text"))).alias("numerals"), F.size(X.capitalised(F.col("text"))).alias("capitalised"), X.is_idk(F.col("text")).alias("idk"))
 
 
@@ -214,11 +214,18 @@ GOLD = "gold as (select item_id qid, doc_id id from benchmark b join documents d
 
 
 def gold_pairs(spark, sf_dir) -> DataFrame:
-    """Documents that hold a benchmark text: found by the hashes of its first six words, then compared in full."""
+    """Documents that hold a benchmark text. Its tokens but the first and last stand whole in such a document, so the longest of
+    them finds candidates, whose texts are then compared. Items of two tokens or fewer are compared with all documents."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("want"))
-    items = items.withColumn("words", X.tokenize(F.col("want"))).withColumn("key", F.element_at("words", F.least(F.size("words"), F.lit(3))))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("key"))
-    return docs.join(items, "key").filter(F.col("text").contains(F.col("want"))).select("qid", "id").distinct()
+    items = items.withColumn("words", X.tokenize(F.col("want"))).withColumn("inner", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))))
+    items = items.withColumn("key", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    tokens = docs.select("id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("key"))
+    pairs = tokens.join(F.broadcast(items.filter("key is not null").select("qid", "key")), "key").select("id", "qid")
+    found = pairs.join(docs, "id").join(F.broadcast(items.select("qid", "want")), "qid").filter(F.col("text").contains(F.col("want")))
+    short = items.filter("key is null").select("qid", "want")
+    whole = docs.join(F.broadcast(short), F.col("text").contains(F.col("want")))
+    return found.select("qid", "id").union(whole.select("qid", "id")).distinct()
 
 
 @query(f"with {BM25}, {GOLD}, b as (select qid, min(rank) r from bm25 semi join gold using (qid, id) where rank <= 10 group by qid) select count(*) queries, round(avg(coalesce((r = 1)::int, 0)), 4) p_at_1, round(avg(coalesce(1 / r, 0)), 4) mrr from (select distinct qid from gold) left join b using (qid)")
@@ -245,15 +252,15 @@ def eval_gate(spark, sf_dir):
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    """Per conversation: its assistant texts as the answer, its other texts and the last answer's first half as context."""
+    """Per conversation: its assistant texts as the answer; its other texts and those of every second assistant turn as context."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null")
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     answer = F.array_join(F.filter("t", lambda x: x.role == "assistant").text, " ")
-    context = F.array_join(F.transform(F.filter("t", lambda x: (x.role != "assistant") | (x.turn % 2 == 1)), lambda x: F.when(x.role == "assistant", F.substring(x.text, 1, 120)).otherwise(x.text)), " ")
+    context = F.array_join(F.filter("t", lambda x: (x.role != "assistant") | (x.turn % 4 == 1)).text, " ")
     return whole.select("conv_id", answer.alias("answer"), context.alias("context"))
 
 
-ANSWERS = "answers as (select conv_id, coalesce(string_agg(text, ' ' order by turn) filter (role = 'assistant'), '') answer, coalesce(string_agg(case when role = 'assistant' then text[1:120] else text end, ' ' order by turn) filter (role <> 'assistant' or turn % 2 = 1), '') context from conversations where text is not null group by conv_id)"
+ANSWERS = "answers as (select conv_id, coalesce(string_agg(text, ' ' order by turn) filter (role = 'assistant'), '') answer, coalesce(string_agg(text, ' ' order by turn) filter (role <> 'assistant' or turn % 4 = 1), '') context from conversations where text is not null group by conv_id)"
 SENTENCES = f"""{ANSWERS}, ctx as (select conv_id, {SENTS('answer')} s, {CONTENT('context')} cl, list_distinct({CONTENT('context')}) context, context ct from answers),
 sent as (select conv_id, (i - 1)::int idx, s[i] sentence, len(s) total, context, cl, ct, {CONTENT('s[i]')} tokens from (select *, unnest(range(1, len(s) + 1)) i from ctx)),
 cov as (select *, len(list_filter(tokens, lambda t: list_contains(context, t))) hit, len(tokens) n from sent)"""
@@ -281,16 +288,17 @@ def hallucination(spark, sf_dir):
 
 
 def cited_answers(spark, sf_dir) -> DataFrame:
-    """Answers whose sentences carry made markers: sentence i of conversation c cites (i + c) mod 5 unless that is 4."""
+    """Answers whose sentences carry made markers: sentence i of conversation c cites (i + c) mod 7 unless that is 6. Chunks are
+    whole turns, as many as a prompt takes."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    chunks = F.slice(F.transform("t", lambda x: F.substring(x.text, 1, 400)), 1, 2)
+    chunks = grounding.context_cut(F.col("t.text"))
     s = X.split_sentences(F.array_join(F.filter("t", lambda x: x.role == "assistant").text, " "))
-    mark = F.transform(s, lambda x, i: F.when((i + F.col("conv_id")) % 5 == 4, x).otherwise(F.concat(F.lit("["), ((i + F.col("conv_id")) % 5).cast("string"), F.lit("] "), x)))
+    mark = F.transform(s, lambda x, i: F.when((i + F.col("conv_id")) % 7 == 6, x).otherwise(F.concat(F.lit("["), ((i + F.col("conv_id")) % 7).cast("string"), F.lit("] "), x)))
     return rows.select("conv_id", F.array_join(mark, " ").alias("answer"), chunks.alias("chunks"))
 
 
-CITED = f"""raw as (select conv_id, list(text[1:400] order by turn)[1:2] chunks, {SENTS("coalesce(string_agg(text, ' ' order by turn) filter (role = 'assistant'), '')")} s from conversations where text is not null group by conv_id),
-cited as (select conv_id, chunks, array_to_string(list_transform(s, lambda x, i: case when (i - 1 + conv_id) % 5 = 4 then x else '[' || ((i - 1 + conv_id) % 5) || '] ' || x end), ' ') answer from raw),
+CITED = f"""raw as (select conv_id, list(text order by turn)[1:5] chunks, {SENTS("coalesce(string_agg(text, ' ' order by turn) filter (role = 'assistant'), '')")} s from conversations where text is not null group by conv_id),
+cited as (select conv_id, chunks, array_to_string(list_transform(s, lambda x, i: case when (i - 1 + conv_id) % 7 = 6 then x else '[' || ((i - 1 + conv_id) % 7) || '] ' || x end), ' ') answer from raw),
 cs as (select conv_id, list_transform(chunks, lambda c: list_distinct({CONTENT('c')})) chunks, {SENTS('answer')} s from cited),
 ss as (select conv_id, chunks, (i - 1)::int idx, s[i] sentence, list_transform(regexp_extract_all(s[i], '\\[(\\d+)\\]', 1), lambda m: m::int) cited, {CONTENT("regexp_replace(s[i], chr(92) || '[(' || chr(92) || 'd+)' || chr(92) || ']', '', 'g')")} tokens from (select *, unnest(range(1, len(s) + 1)) i from cs)),
 sv as (select *, len(list_filter(cited, lambda m: m < 1 or m > len(chunks))) > 0 bad, case when len(cited) > 0 then flatten(list_transform(list_filter(cited, lambda m: m >= 1 and m <= len(chunks)), lambda m: chunks[m])) else flatten(chunks) end pool from ss where len(tokens) > 0),
@@ -310,9 +318,9 @@ def answer_assembly(spark, sf_dir):
     return grounding.assemble(grounding.verdicts(cited_answers(spark, sf_dir), "answer", "chunks"), "conv_id")
 
 
-@query(f"with {ANSWERS} select conv_id, len({CONTENT('answer')}) > 0 and len(list_intersect({CONTENT('answer')}, {CONTENT('context[1:200]')})) = 0 weak from answers")
+@query(f"with {ANSWERS} select conv_id, len({CONTENT('answer')}) > 0 and len(list_intersect({CONTENT('answer')}, {CONTENT('context')})) = 0 weak from answers")
 def low_signal(spark, sf_dir):
-    return answers(spark, sf_dir).select("conv_id", grounding.low_signal(F.col("answer"), F.array(F.substring("context", 1, 200))).alias("weak"))
+    return answers(spark, sf_dir).select("conv_id", grounding.low_signal(F.col("answer"), F.array("context")).alias("weak"))
 
 
 OUTCOMES = ["ok", "quota_429", "throttled", "timeout", "server_error", "malformed", "config", "auth", "none"]
@@ -331,14 +339,13 @@ def status_machine(spark, sf_dir):
 PAIRS = (lambda a: f"(case when len({a}) < 2 then [] else list_transform(range(1, len({a})), lambda k: {a}[k] || ' ' || {a}[k + 1]) end)")
 SHARE = (lambda items, pool: f"(case when len({items}) = 0 then 1.0 else len(list_filter({items}, lambda z: list_contains({pool}, z))) / len({items}) end)")
 RUNS = "list_max(list_transform(string_split(array_to_string(list_transform(tokens, lambda t: case when list_contains(context, t) then '1' else '0' end), ''), '0'), lambda r: length(r)))"
-FEATURED = f"""{SENTENCES}, fe as (select *, {PAIRS('tokens')} bg, list_distinct({PAIRS('cl')}) cbg, regexp_extract_all(sentence, '\\d[\\d,.]*') nums, regexp_extract_all(ct, '\\d[\\d,.]*') cnums, list_transform(regexp_extract_all(sentence, '\\b[A-Z][a-zA-Z]{{2,}}'), lambda c: lower(c)) caps, list_filter(tokens, lambda t: length(t) >= 8) lng from cov where strlen(ct) = length(ct) and strlen(sentence) = length(sentence)),
+FEATURED = f"""{SENTENCES}, fe as (select *, {PAIRS('tokens')} bg, list_distinct({PAIRS('cl')}) cbg, regexp_extract_all(sentence, '{X.NUMERAL}') nums, regexp_extract_all(ct, '{X.NUMERAL}') cnums, list_transform(regexp_extract_all(sentence, '{X.CAPITALISED}', 1), lambda c: lower(c)) caps, list_filter(tokens, lambda t: length(t) >= 8) lng from cov),
 feats as (select conv_id, idx, case when n = 0 then 1.0 else hit / n end coverage, case when n = 0 then 1.0 else {SHARE('bg', 'cbg')} end bigram_coverage, case when n = 0 then 1.0 else {RUNS} / n end longest_shared_run, case when n = 0 then 1.0 else {SHARE('nums', 'cnums')} end numeral_coverage, case when n = 0 or len(nums) = 0 then 0.0 else 1.0 end has_numeral, case when n = 0 then 1.0 else {SHARE('lng', 'context')} end long_token_coverage, case when n = 0 then 1.0 else {SHARE('caps', 'context')} end capitalised_coverage, least((n - hit) / 10, 1.0) missing_count, least(n / 40, 1.0) token_count, idx / greatest(total, 1) as position, (idx = 0)::int::double is_first, least(len(context) / 1000, 1.0) context_size from fe)"""
 ROUNDED = ", ".join(f"round({f}::double, 6) {f}" if f != "position" else 'round("position"::double, 6) "position"' for f in grounding.FEATURES)
 
 
 def feature_rows(spark, sf_dir) -> DataFrame:
-    plain = lambda c: F.octet_length(c) == F.length(c)  # noqa: E731  the patterns of the two engines agree on ASCII only
-    return grounding.features(answer_sentences(spark, sf_dir).filter(plain("context_text") & plain("sentence")))
+    return grounding.features(answer_sentences(spark, sf_dir))
 
 
 @query(f"with {FEATURED} select conv_id, idx as index, {ROUNDED} from feats")
@@ -407,9 +414,9 @@ def percentile_rank(spark, sf_dir):
     return metrics.percentile_rank(table(spark, sf_dir, "events"), "value", 95, "event_type")
 
 
-@query("select user_id, round(median(value), 6) median_value from events where event_id % 8 >= 3 group by user_id")
+@query("select user_id, round(median(value), 6) median_value from events group by user_id")
 def median_repeats(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id % 8 >= 3").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_value"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_value"))
 
 
 @query("select user_id % 10 as level, count(*) requests, round(avg((event_type = 'view')::int), 6) shed_rate, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99, round(avg(value), 6) mean from events group by 1")
@@ -654,7 +661,9 @@ def sample_per_group(spark, sf_dir):
     return corpus.sample_per_group(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
 
 
-@query("select doc_id id, text[1:20] || case when doc_id % 3 = 0 then '+' else '' end text, doc_id ord from documents where doc_id % 2 = 0 union all select doc_id, text[1:20] || case when doc_id % 3 = 0 then '+' else '' end, (select max(doc_id) from documents where doc_id % 2 = 0) + 1 + doc_id from documents where doc_id % 2 = 1 and doc_id % 3 = 0")
+@query("select doc_id id, sha256(case when doc_id % 3 = 0 then text || '+' else text end) sha, doc_id ord from documents union all select -1 - doc_id, sha256('new ' || text), (select max(doc_id) from documents) + 1 + doc_id from documents")
 def index_rebuild(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("text"), F.col("doc_id").alias("ord"))
-    return fusion.union_chunks(docs.filter("id % 2 = 0"), docs.filter("id % 3 = 0").withColumn("text", F.concat("text", F.lit("+"))))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("ord"))
+    again = docs.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text")))
+    added = docs.select((-1 - F.col("id")).alias("id"), F.concat(F.lit("new "), "text").alias("text"), "ord")
+    return fusion.union_chunks(docs, again.unionByName(added)).select("id", F.sha2("text", 256).alias("sha"), "ord")
