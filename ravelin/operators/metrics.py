@@ -56,10 +56,11 @@ def best_f1(rows: DataFrame, *by: str, digits: int | None = None, inclusive: boo
 
 
 def percentile_rank(rows: DataFrame, value: str, p: int, *by: str) -> DataFrame:
-    """The value at place max(1, p/100 n rounded half to even)."""
-    order = W.partitionBy(*by).orderBy(value)
-    placed = rows.select(*by, F.col(value).alias("v"), F.row_number().over(order).alias("i"), F.count("*").over(W.partitionBy(*by)).alias("n"))
-    return placed.filter(F.col("i") == F.greatest(F.lit(1), F.bround(F.col("n") * p / 100).cast("int"))).select(*by, F.col("v").alias(f"p{p}"))
+    """The value at place max(1, p/100 n rounded half to even). Equal values are counted before they are ordered."""
+    ties = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ties = ties.withColumns({"upto": F.sum("c").over(W.partitionBy(*by).orderBy("v")), "n": F.sum("c").over(W.partitionBy(*by))})
+    place = F.greatest(F.lit(1), F.bround(F.col("n") * p / 100).cast("long"))
+    return ties.filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(*by, F.col("v").alias(f"p{p}"))
 
 
 def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -86,3 +87,43 @@ def correlations(rows: DataFrame, *columns: str) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = rows.agg(*(F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 6).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
     return one.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs)) + ") as (a, b, r)")
+
+
+def methods(sentences: DataFrame, baselines: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
+    """Long rows (example, domain, method, predicted, score, actual) by which methods are compared: of each example whether a
+    sentence is flagged, and the score of its worst sentence. sentences: example, domain (null: '?'), adherence (false: the
+    example is positive; null is not), coverage (null: no content, passed over; the example then scores 0) and learned (the
+    learned probability; null for examples without sentences, which that method passes over). baselines: example, method,
+    value; their score is 1 - value, and nothing is predicted."""
+    one = sentences.groupBy("example").agg(F.coalesce(F.first("domain"), F.lit("?")).alias("domain"), F.coalesce(~F.first("adherence"), F.lit(False)).alias("actual"), F.min("coverage").alias("least"), F.max("learned").alias("most"), F.max("learned_flag").alias("flag"))
+    worst = 1 - F.coalesce("least", F.lit(1.0))
+    lexical = one.select("example", "domain", F.lit("lexical").alias("method"), (F.coalesce("least", F.lit(1.0)) < threshold).alias("predicted"), worst.alias("score"), "actual")
+    learned = one.filter("most is not null").select("example", "domain", F.lit("learned").alias("method"), F.col("flag").alias("predicted"), F.col("most").alias("score"), "actual")
+    out = lexical.unionByName(learned)
+    if baselines is not None:
+        given = baselines.filter("value is not null").join(one.select("example", "domain", "actual"), "example")
+        out = out.unionByName(given.select("example", "domain", "method", F.lit(None).cast("boolean").alias("predicted"), (1 - F.col("value")).alias("score"), "actual"))
+    return out
+
+
+def by_method(rows: DataFrame) -> DataFrame:
+    """AUC, best F1 and its threshold, and the confusion at the methods' own predictions, of each method by domain and over all
+    ('ALL'). rows: as ``methods`` gives them."""
+    both = rows.withColumn("domain", F.explode(F.array(F.col("domain"), F.lit("ALL"))))
+    keys = ["method", "domain"]
+    numbered = both.select(*keys, "score", F.col("actual").cast("int").alias("actual"))
+    counts = confusion(both.filter("predicted is not null"), *keys).select(*keys, "precision", "recall", "f1")
+    best = best_f1(numbered, *keys).select(*keys, "threshold", F.col("f1").alias("best_f1"))
+    return both.groupBy(*keys).agg(F.count("*").alias("examples")).join(auc(numbered, *keys).select(*keys, "auc"), keys).join(best, keys).join(counts, keys, "left")
+
+
+#: What is counted, by which label.
+INSTRUMENTS = {"errors": "type", "cache_requests": "result", "citation_sentences": "verdict", "citation_rejected_answers": None, "quota_throttled": "reason", "llm_requests": "outcome", "llm_fallback": "outcome", "rerank_status": "status", "admission_rejected": None}
+
+
+def instruments(events: DataFrame) -> DataFrame:
+    """Counters (metric, label, value) of events (metric, label); those that the list does not have, or whose label is missing where
+    one is asked for, are left out."""
+    named = F.create_map(*(x for k, v in INSTRUMENTS.items() for x in (F.lit(k), F.lit(v is not None))))
+    rows = events.withColumn("labelled", F.try_element_at(named, F.col("metric"))).filter(F.col("labelled").isNotNull() & (~F.col("labelled") | F.col("label").isNotNull()))
+    return rows.groupBy("metric", F.when(F.col("labelled"), F.col("label")).otherwise("").alias("label")).agg(F.count("*").alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dense, fusion, grounding, lexical, metrics, state
+from ..operators import dense, fusion, grounding, learning, lexical, metrics, pipelines, state
 from ..sources import corpus, versions
 
 QUERIES: dict = {}
@@ -169,10 +169,7 @@ fused as (select qid, id, score, row_number() over (partition by qid order by sc
 
 
 def fused_lists(spark, sf_dir, top_k=None) -> DataFrame:
-    docs, q = table(spark, sf_dir, "documents"), asked(spark, sf_dir)
-    vectors = dense.hashing_vectors(q, id_col="qid", text_col="query").withColumnRenamed("id", "qid")
-    found = dense.dense_topk(vectors, dense.hashing_vectors(docs), 30)
-    return fusion.rrf([lexical.bm25(q, docs, 30), found], top_k)
+    return pipelines.fused(asked(spark, sf_dir), table(spark, sf_dir, "documents"), top_k)
 
 
 @query(f"with {FUSED} select qid, id, score, rank from fused")
@@ -190,8 +187,7 @@ SCORED = f"""{FUSED}, cand as (select f.qid, f.id, f.rank, round(len(list_filter
 
 def candidates(spark, sf_dir) -> DataFrame:
     found = fused_lists(spark, sf_dir).join(asked(spark, sf_dir), "qid").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    asked_tokens, own = X.content_tokens(F.col("query")), X.tokenize(F.col("text"))
-    return found.select("qid", "id", "rank", F.round(F.size(F.filter(asked_tokens, lambda t: F.array_contains(own, t))) / F.greatest(F.size(asked_tokens), F.lit(1)), 6).alias("rerank_score"))
+    return pipelines.lexical_relevance(found).select("qid", "id", "rank", "rerank_score")
 
 
 RERANKED = (lambda budget: f"""with {SCORED}, d as (select *, least(count(*) over (partition by qid), 20) depth from cand),
@@ -363,6 +359,94 @@ def logistic_score(spark, sf_dir):
     return feature_rows(spark, sf_dir).select("conv_id", "index", F.round(grounding.logistic(MODEL), 6).alias("score"))
 
 
+CONFUSION_OF = "count(*) filter (predicted and a) tp, count(*) filter (predicted and not a) fp, count(*) filter (not predicted and a) fn, count(*) filter (not predicted and not a) tn"
+RATES_OF = "tp, fp, fn, tn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 4) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 4) recall, round(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 4) f1, round((tp + tn) / (tp + fp + fn + tn), 4) accuracy"
+CONFUSION, RATES = CONFUSION_OF, RATES_OF
+
+# A sentence counts as unsupported if less than 0.6 of it is in the context, but for every tenth, where the label is turned.
+LEARNED = f"""{FEATURED}, ex as (select *, ((coverage < 0.6) <> ((idx + conv_id) % 10 = 0))::int label from feats),
+ws as (select count(*) n, sum(label) p, (count(*) - sum(label)) / sum(label) ratio from ex),
+wt as (select n, p, ratio / ((p * ratio + n - p) / n) w1, 1 / ((p * ratio + n - p) / n) w0 from ws)"""
+
+
+def examples(spark, sf_dir) -> DataFrame:
+    turned = (F.col("index") + F.col("conv_id")) % 10 == 0
+    return feature_rows(spark, sf_dir).withColumn("label", ((F.col("coverage") < 0.6) != turned).cast("int"))
+
+
+@query("with f as (select conv_id, list(['k' || turn, text] order by turn) p, list(text order by turn) filter (role <> 'assistant') d from conversations where text is not null group by conv_id), e as (select conv_id, p, d, unnest(range(1, len(p) + 1)) i from f) select conv_id, (i - 1)::int as index, len(p)::int total, p[i][1] as key, sha256(p[i][2]) sentence, sha256(coalesce(array_to_string(d, chr(10) || chr(10)), '')) context, (p[i][1] in ('k1', 'k3'))::int label from e")
+def training_explode(spark, sf_dir):
+    pair = F.array(F.concat(F.lit("k"), F.col("turn").cast("string")), F.col("text"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", pair.alias("pair"), F.when(F.col("role") != "assistant", F.col("text")).alias("doc")))).alias("t"))
+    odd = F.array(F.array(F.lit("alone")))  # an item without a text
+    rows = rows.select("conv_id", F.concat(F.col("t.pair"), odd).alias("response_sentences"), F.filter("t.doc", lambda x: x.isNotNull()).alias("documents"), F.array(F.lit("k1"), F.lit("k3")).alias("unsupported_response_sentence_keys"))
+    out = learning.labelled_sentences(rows)
+    return out.select("conv_id", "index", "total", "key", F.sha2("sentence", 256).alias("sentence"), F.sha2("context", 256).alias("context"), "label")
+
+
+@query(f"with {FEATURED} " + " union all ".join(f"""select '{f}' feature, round(avg("{f}"), 9) mean, round(case when stddev_pop("{f}") = 0 then 1 else stddev_pop("{f}") end, 9) std from feats""" for f in grounding.FEATURES))
+def feature_scales(spark, sf_dir):
+    return learning.scales(feature_rows(spark, sf_dir), grounding.FEATURES).select("feature", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+@query(f"with {LEARNED} select label, count(*) n, round(any_value(case label when 1 then w1 else w0 end), 9) weight from ex, wt group by label")
+def class_weights(spark, sf_dir):
+    return learning.class_weights(examples(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+
+
+Z = {f: f'("{f}" - 0.5) / {s or 1.0}' for f, s in zip(grounding.FEATURES, MODEL["std"])}
+GRADIENT = " union all ".join(f"""select '{f}' feature, round(avg({z} * e) + 50 * ({w}) / count(*), 9) gradient from er""" for (f, z), w in zip(Z.items(), MODEL["coefficients"]))
+
+
+@query(f"with {LEARNED}, er as (select *, (1 / (1 + exp(-({LOGIT}))) - label) * case label when 1 then w1 else w0 end e from ex, wt) {GRADIENT} union all select 'intercept', round(avg(e), 9) from er")
+def training_gradient(spark, sf_dir):
+    rows = examples(spark, sf_dir)
+    weighted = rows.join(F.broadcast(learning.class_weights(rows).select("label", "weight")), "label")
+    return learning.gradient(weighted, MODEL, grounding.FEATURES, 50.0).select("feature", F.round("gradient", 9).alias("gradient"))
+
+
+@query()
+def learned_grounding(spark, sf_dir):
+    """Trains on the labelled sentences and scores them all."""
+    rows = examples(spark, sf_dir)
+    model = learning.train(rows, grounding.FEATURES)
+    return rows.select("conv_id", "index", "label", F.round(grounding.logistic(model), 6).alias("score"))
+
+
+@query(f"with {LEARNED}, r as (select label, rank() over (order by 1 - coverage) + (count(*) over (partition by coverage) - 1) / 2 rk from ex), a as (select sum(label)::bigint p, sum(1 - label)::bigint n, sum(case when label = 1 then rk else 0 end) s from r) select p positives, n negatives, round((s - p * (p + 1) / 2) / nullif(p * n, 0), 4) auc from a")
+def training_auc(spark, sf_dir):
+    return metrics.auc(examples(spark, sf_dir).select((1 - F.col("coverage")).alias("score"), F.col("label").alias("actual")))
+
+
+@query(f"with {LEARNED} " + " union all ".join(f"""select label, '{f}' feature, round(avg("{f}"), 6) mean from ex group by label""" for f in grounding.FEATURES))
+def feature_class_means(spark, sf_dir):
+    one = examples(spark, sf_dir).groupBy("label").agg(*(F.round(F.avg(f), 6).alias(f) for f in grounding.FEATURES))
+    return one.unpivot("label", grounding.FEATURES, "feature", "mean")
+
+
+METHODS = f"""{LEARNED}, s as (select conv_id, idx, case when n > 0 then hit / n end c from cov),
+x as (select answers.conv_id, min(c) least, max(c) is not null as has_any, conv_id % 3 = 0 as actual, case when conv_id % 4 = 0 then '?' else 'd' || conv_id % 4 end dom from answers left join s using (conv_id) group by conv_id),
+mm as (select 'lexical' as method, dom, coalesce(least, 1) < 0.7 predicted, 1 - coalesce(least, 1) score, actual from x union all select 'learned', dom, least < 0.5, 1 - least * least, actual from x where has_any union all select 'judge', dom, null, 1 - (conv_id % 10) / 10, actual from x where conv_id % 10 <> 9),
+mb as (select method, unnest([dom, 'ALL']) as domain, predicted, score, actual from mm),
+mr as (select *, rank() over (partition by method, domain order by score) + (count(*) over (partition by method, domain, score) - 1) / 2 rk from mb),
+ma as (select method, domain, count(*) examples, round((sum(case when actual then rk else 0 end) - sum(actual::int) * (sum(actual::int) + 1) / 2) / nullif(sum(actual::int) * sum((not actual)::int), 0), 4) auc from mr group by all),
+mq as (select method, domain, {CONFUSION_OF} from (select *, actual a from mb where predicted is not null) group by all),
+mc as (select distinct method, domain, score cut from mb union select distinct method, domain, -1.0 from mb),
+mf as (select c.method, c.domain, cut, round(case when count(*) filter (score > cut) + sum(actual::int) = 0 then 0 else 2 * count(*) filter (score > cut and actual) / (count(*) filter (score > cut) + sum(actual::int)) end, 4) f from mc c join mb b on c.method = b.method and c.domain = b.domain group by all)
+select method, domain, examples, auc, round(cut, 4)::double threshold, f best_f1, precision, recall, f1 from ma join (select *, row_number() over (partition by method, domain order by f desc, cut) i from mf) using (method, domain) left join (select method, domain, {RATES_OF} from mq) using (method, domain) where i = 1"""
+
+
+@query(f"with {METHODS}")
+def method_comparison(spark, sf_dir):
+    c = F.col("conv_id")
+    coverage_or_null = F.when(F.size("tokens") > 0, X.coverage(F.col("tokens"), F.col("context")))
+    judged = answer_sentences(spark, sf_dir).select("conv_id", coverage_or_null.alias("coverage"))
+    rows = answers(spark, sf_dir).select("conv_id").join(judged, "conv_id", "left").withColumns({"learned": 1 - F.col("coverage") * F.col("coverage"), "learned_flag": F.col("coverage") < 0.5})
+    rows = rows.select(c.alias("example"), F.when(c % 4 != 0, F.concat(F.lit("d"), (c % 4).cast("string"))).alias("domain"), (c % 3 != 0).alias("adherence"), "coverage", "learned", "learned_flag")
+    given = answers(spark, sf_dir).select(c.alias("example"), F.lit("judge").alias("method"), F.when(c % 10 != 9, (c % 10) / 10).alias("value"))
+    return metrics.by_method(metrics.methods(rows, given))
+
+
 # Metrics ------------------------------------------------------------------------------------------------------------------
 
 LABELLED = f"lab as (select lang, source, toxic actual, quality, n_chars, len({TOK('text')}) n_tokens, round(length(text) % 97 / 97.0, 3) score, length(text) % 5 >= 3 predicted from documents join labels using (doc_id))"
@@ -378,10 +462,6 @@ def auc(spark, sf_dir):
     return metrics.auc(labelled(spark, sf_dir), "lang")
 
 
-CONFUSION = "count(*) filter (predicted and a) tp, count(*) filter (predicted and not a) fp, count(*) filter (not predicted and a) fn, count(*) filter (not predicted and not a) tn"
-RATES = "tp, fp, fn, tn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 4) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 4) recall, round(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 4) f1, round((tp + tn) / (tp + fp + fn + tn), 4) accuracy"
-
-
 @query(f"with {LABELLED}, c as (select source, {CONFUSION} from (select *, actual = 1 a from lab) group by source) select source, {RATES} from c")
 def confusion(spark, sf_dir):
     return metrics.confusion(labelled(spark, sf_dir).withColumn("actual", F.col("actual") == 1), "source")
@@ -392,9 +472,9 @@ def best_f1(spark, sf_dir):
     return metrics.best_f1(labelled(spark, sf_dir), "lang")
 
 
-@query(f"with {LABELLED}, cuts as (select distinct round(score, 2) cut from lab), s as (select cut, sum(actual) filter (round(score, 2) >= cut) tp, count(*) filter (round(score, 2) >= cut) flagged, sum(actual) al from cuts, lab group by cut), f as (select cut, round(case when flagged + al = 0 then 0 else 2 * coalesce(tp, 0) / (flagged + al) end, 4) f1 from s) select round(cut, 4)::double threshold, f1 from (select *, row_number() over (order by f1 desc, cut) i from f) where i = 1")
+@query(f"with {LABELLED}, cuts as (select distinct round(score, 3) cut from lab), s as (select cut, sum(actual) filter (round(score, 3) >= cut) tp, count(*) filter (round(score, 3) >= cut) flagged, sum(actual) al from cuts, lab group by cut), f as (select cut, round(case when flagged + al = 0 then 0 else 2 * coalesce(tp, 0) / (flagged + al) end, 4) f1 from s) select round(cut, 4)::double threshold, f1 from (select *, row_number() over (order by f1 desc, cut) i from f) where i = 1")
 def threshold_pick(spark, sf_dir):
-    return metrics.best_f1(labelled(spark, sf_dir), digits=2, inclusive=True)
+    return metrics.best_f1(labelled(spark, sf_dir), digits=3, inclusive=True)
 
 
 @query(f"with {LABELLED} select coalesce(lang, 'ALL') as domain, count(*) n, sum(actual)::bigint positives, round(avg(score), 6) mean_score from lab group by grouping sets ((lang), ())")
@@ -590,6 +670,30 @@ def increase_10m(spark, sf_dir):
     return state.increase(events(spark, sf_dir), 600_000_000, "event_type")
 
 
+@query("""with s as (select event_type, epoch_us(ts) us, (row_number() over (partition by event_type order by ts, event_id) % 40)::double v, event_id from events),
+d as (select event_type, us, max(v) value from s group by all),
+l as (select *, lag(value) over (partition by event_type order by us) last from d),
+i as (select *, case when last is null then 0 when value < last then value else value - last end inc from l),
+w as (select event_type, us, min(us) over w since, count(*) over w n, sum(inc) over w alln, first(inc) over w own, first(value) over w base from i window w as (partition by event_type order by us range between 3599999999999 preceding and current row)),
+g as (select *, alln - own gained, us - since span, since - (us - 3600000000000) lead from w),
+b as (select *, case when n > 1 then case when lead < span / (n - 1) * 1.1 then lead else span / (n - 1) / 2 end end bef from g),
+f as (select *, case when n > 1 then gained * (span + least(bef, coalesce(case when gained > 0 then span * base / gained end, bef))) / span end total from b)
+select event_type, us, round(total, 6) increase, round(total * 1000000 / 3600000000000, 9) rate from f""")
+def counter_rate(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("event_type").orderBy("us", "event_id"))
+    samples = events(spark, sf_dir).select("event_type", "us", (place % 40).cast("double").alias("v")).groupBy("event_type", "us").agg(F.max("v").alias("value"))
+    return state.counter_rate(samples, 1000 * HOUR, "event_type")
+
+
+@query("""select metric, case when metric in ('citation_rejected_answers', 'admission_rejected') then '' else label end as label, count(*) as value from (select ['errors','cache_requests','citation_rejected_answers','unknown'][event_id % 4 + 1] metric, case when event_id % 5 > 0 then event_type end label from events) where metric <> 'unknown' and (label is not null or metric = 'citation_rejected_answers') group by all""")
+def instrument_counts(spark, sf_dir):
+    names = F.array(*map(F.lit, ["errors", "cache_requests", "citation_rejected_answers", "unknown"]))
+    rows = table(spark, sf_dir, "events").select(F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("metric"), F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("label"))
+    return metrics.instruments(rows)
+
+
 @query("select event_type, epoch_us(ts) // 3600000000 as hour, count(*) n, round(count(*) / 3600, 9) per_second from events group by 1, 2")
 def rate_by_type(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type", F.floor(F.col("us") / HOUR).alias("hour")).agg(F.count("*").alias("n")).withColumn("per_second", F.round(F.col("n") / 3600, 9))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,12 +105,44 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Text uploads (.txt, .md): doc_id, text, paragraphs; other files are left out, as are those with too many paragraphs."""
-    files = spark.read.format("binaryFile").load(path).filter(F.lower("path").rlike(r"\.(txt|md)$"))
+def read_eval(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled queries of a JSONL file: query_id, query, relevant_chunk_ids, expected_answer. A line without one of these, or a file
+    without lines, is an error; blank lines are passed over."""
+    fields = ("query_id", "query", "relevant_chunk_ids", "expected_answer")
+    lines = read_lines(spark, path)
+    missing = F.array_sort(F.filter(F.array(*map(F.lit, fields)), lambda k: ~F.array_contains(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), k)))
+    bad = lines.select("line", missing.alias("missing")).filter(F.size("missing") > 0).orderBy("line").first()
+    if bad:
+        raise CorpusFormatError(f"{path}:{bad['line']}: missing {', '.join(bad['missing'])}")
+    if lines.isEmpty():
+        raise CorpusFormatError(f"{path}: empty evaluation set")
+    return lines.select("line", F.from_json("value", "query_id string, query string, relevant_chunk_ids array<string>, expected_answer string").alias("d")).select("line", "d.*")
+
+
+def read_grounding(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled responses of a JSONL file, blank lines passed over."""
+    schema = "id string, dataset_name string, documents array<string>, response_sentences array<array<string>>, unsupported_response_sentence_keys array<string>, adherence_score boolean"
+    return read_lines(spark, path).select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def read_uploads(spark: SparkSession, path: str, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
+    """Uploads: doc_id, text, paragraphs and ``reason`` (null: accepted). Text files are .txt and .md; .pdf files go through
+    ``pdf_text``. Other types, unreadable files, and those without or with too many paragraphs are rejected with their reason."""
+    files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(slug(name).alias("doc_id"), normalise_newlines(F.decode("content", "UTF-8")).alias("text"))
-    return rows.withColumn("paragraphs", F.size(paragraphs(F.col("text")))).filter(F.col("paragraphs").between(1, UPLOAD_PARAGRAPHS))
+    plain, pdf = F.lower(name).rlike(r"\.(txt|md)$"), F.lower(name).endswith(".pdf")
+    text = F.when(plain, F.decode("content", "UTF-8"))
+    if pdf_text:
+
+        @F.pandas_udf("string")
+        def extracted(content: pd.Series) -> pd.Series:
+            return content.map(pdf_text)
+
+        text = text.when(pdf, extracted("content"))
+    rows = files.select(slug(name).alias("doc_id"), normalise_newlines(text).alias("text"), (plain | (pdf & F.lit(pdf_text is not None))).alias("known"))
+    rows = rows.withColumn("paragraphs", F.size(paragraphs(F.coalesce("text", F.lit("")))))
+    reason = F.when(~F.col("known"), "unsupported file type").when(F.col("paragraphs") < 1, "no text").when(F.col("paragraphs") > UPLOAD_PARAGRAPHS, f"more than {UPLOAD_PARAGRAPHS} paragraphs")
+    return rows.select("doc_id", "text", "paragraphs", reason.alias("reason"))
 
 
 def read_metrics(lines: DataFrame) -> DataFrame:

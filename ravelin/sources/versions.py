@@ -29,11 +29,12 @@ class VersionStore:
         return f"{row['s']}:{row['n']}"
 
     def _put(self, name: str, text: str) -> None:
+        """A file that appears whole or not at all: written beside, then renamed to a name that is not there yet."""
         out = self.fs.create(self.path(name + ".tmp"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.path(name), False)
-        self.fs.rename(self.path(name + ".tmp"), self.path(name))
+        if not self.fs.rename(self.path(name + ".tmp"), self.path(name)):
+            raise FileExistsError(f"{name}: another writer was first")
 
     def _get(self, name: str) -> dict | None:
         if not self.fs.exists(self.path(name)):
@@ -63,11 +64,51 @@ class VersionStore:
             raise IndexIntegrityError(f"{version}: digest differs")
         return table
 
+    def _pointers(self) -> list[int]:
+        if not self.fs.exists(self.path("registry")):
+            return []
+        names = [x.getPath().getName() for x in self.fs.listStatus(self.path("registry"))]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
     def registry(self) -> dict:
-        return self._get("registry.json") or {}
+        """The newest registry; older ones stay until a newer one is there, so none is ever missing."""
+        found = self._pointers()
+        return self._get(f"registry/{found[-1]}.json") if found else {}
+
+    def set_states(self, states: dict, keep: int = 3) -> None:
+        found = self._pointers()
+        self._put(f"registry/{(found or [-1])[-1] + 1}.json", json.dumps(states))
+        for old in found[: max(0, len(found) - keep)]:
+            self.fs.delete(self.path(f"registry/{old}.json"), False)
+
+    def _move(self, version: str, was: str, to: str, **about) -> None:
+        states = self.registry()
+        if states.get(version, {}).get("status") != was:
+            raise ValueError(f"{version} is not {was}")
+        states[version] |= {"status": to} | about
+        self.set_states(states)
 
-    def set_states(self, states: dict) -> None:
-        self._put("registry.json", json.dumps(states))
+    def begin(self, version: str, created_at: int, **about) -> None:
+        states = self.registry()
+        if version in states:
+            raise ValueError(f"{version} is there")
+        self.set_states(states | {version: about | {"status": "building", "created_at": created_at}})
+
+    def ready(self, version: str) -> None:
+        self._move(version, "building", "ready")
+
+    def failed(self, version: str, error: str) -> None:
+        self._move(version, "building", "failed", error=error[:2000])
+
+    def collect_garbage(self, keep: int = 3) -> list[str]:
+        """Removes the data of versions that are neither active nor among the newest ready ones, nor still being built."""
+        states = self.registry()
+        ready = sorted(((v["created_at"], k) for k, v in states.items() if v["status"] == "ready"), key=lambda x: (-x[0], x[1]))[:keep]
+        kept = {k for k, v in states.items() if v["status"] in ("active", "building")} | {k for _, k in ready}
+        gone = [k for k in sorted(states) if k not in kept and self.fs.exists(self.path(k))]
+        for k in gone:
+            self.fs.delete(self.path(k), True)
+        return gone
 
     def activate(self, version: str) -> None:
         states = self.registry()
@@ -92,9 +133,9 @@ class VersionStore:
 
 
 def kept_versions(versions: DataFrame, keep: int = 3) -> DataFrame:
-    """Active versions and the newest ready ones. versions: version_id, status, created_at."""
-    place = F.row_number().over(W.partitionBy("status").orderBy(F.desc("created_at"), "version_id"))
-    return versions.withColumn("place", place).filter((F.col("status") == "active") | ((F.col("status") == "ready") & (F.col("place") <= keep))).drop("place")
+    """Active versions and the newest ready ones, of which each task hands on ``keep``. versions: version_id, status, created_at."""
+    ready = versions.filter(F.col("status") == "ready").orderBy(F.desc("created_at"), "version_id").limit(keep)
+    return versions.filter(F.col("status") == "active").unionByName(ready)
 
 
 def reusable(versions: DataFrame, corpus_sha: str, embedder: str) -> DataFrame:
