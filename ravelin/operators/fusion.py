@@ -16,9 +16,11 @@ def rrf(lists: list[DataFrame], top_k: int | None = None, k: int = RRF_K) -> Dat
         raise ValueError("k and top_k must be positive")
     every = None
     for i, one in enumerate(lists):
-        part = one.select("qid", "id", "rank", F.lit(i).alias("list"))
+        # As a struct, so that the lists' own partitionings are not taken for the union's.
+        part = one.select(F.struct("qid", "id").alias("k"), "rank", F.lit(i).alias("list"))
         every = part if every is None else every.unionByName(part)
-    fused = every.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best"), F.min(F.struct("list", "rank")).alias("arrival"), F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1, list)"))).alias("in_lists"))
+    fused = every.groupBy("k").agg(F.round(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best"), F.min(F.struct("list", "rank")).alias("arrival"), F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1, list)"))).alias("in_lists"))
+    fused = fused.select("k.qid", "k.id", "score", "best", "arrival", "n", "in_lists")
     fused = fused.withColumn("score", F.when(F.col("n") == F.col("in_lists"), F.col("score")).otherwise(F.raise_error(F.lit("an id occurs twice in a ranked list")).cast("double")))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "best", "arrival")
     out = fused.select("qid", "id", "score", F.row_number().over(order).alias("rank"))
@@ -53,9 +55,8 @@ def rerank(fused: DataFrame, *, depth: int = 20, final: int = 10, batch: int = 5
 
 def with_empty(queries: DataFrame, reranked: DataFrame) -> DataFrame:
     """With one row (position 0) of status 'no_candidates' for each query (qid) that has no candidate."""
-    none = queries.select("qid").distinct().join(reranked.select("qid").distinct(), "qid", "left_anti")
-    kinds = {c: reranked.schema[c].dataType for c in ("id", "source")}
-    return reranked.unionByName(none.select("qid", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(0).alias("position"), F.lit(None).cast(kinds["source"]).alias("source"), F.lit("no_candidates").alias("status")))
+    rows = queries.select("qid").distinct().join(reranked, "qid", "left")
+    return rows.select("qid", "id", F.coalesce("position", F.lit(0)).alias("position"), "source", F.coalesce("status", F.lit("no_candidates")).alias("status"))
 
 
 def union_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
