@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .blocks import by_document, entries, top_by_blocks
+from .blocks import BLOCK_DOCS, by_document, entries, top_by_blocks
 
 K1, B = 1.5, 0.75
 
@@ -26,9 +29,8 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text_col)))).alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf of ``document_frequencies`` and ``corpus_stats``."""
     return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
 
 
@@ -79,17 +81,74 @@ def scored(asked: DataFrame, posts: DataFrame, n: int, avgdl: float, kind, top_k
     return ranked(top_by_blocks(rows, entries(max(len(terms), 1)), names, matrix if terms else np.zeros((0, 1)), kind, top_k, positive=True), top_k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 30, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """queries: qid, query. Returns qid, id, score, rank; ties go to the smaller id. Only tokens that a query has are counted;
-    documents are then multiplied with the queries block by block, and each task hands on its best top_k of each query."""
+def term_counts(terms: list[str]):
+    """Blocks of documents (id, tokens): ids, how often each document has each of these terms, and lengths."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        known = pa.array(terms, pa.string())
+        size = max(64, min(BLOCK_DOCS, 4_000_000 // max(len(terms), 1)))
+        for batch in batches:
+            for first in range(0, batch.num_rows, size):
+                part = batch.slice(first, size)
+                tokens = part.column(1)
+                length = np.diff(tokens.offsets.to_numpy())
+                code = pc.fill_null(pc.index_in(tokens.flatten(), known), -1).to_numpy()
+                row = np.repeat(np.arange(len(length)), length)
+                some = code >= 0
+                tf = np.bincount(row[some] * len(terms) + code[some], minlength=len(length) * len(terms)).reshape(len(length), len(terms))
+                yield part.column(0).to_pylist(), tf, length
+
+    return read
+
+
+def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 30, *, id_col: str = "doc_id", text_col: str = "text", max_queries: int = 1000) -> DataFrame:
+    """queries: qid, query. Returns qid, id, score, rank; ties go to the smaller id. Two passes over the texts and no shuffle of
+    them: the first adds up lengths and the document frequencies of the queries' terms, the second multiplies documents block
+    by block with the queries, and each task hands on its best top_k of each query. ``max_queries``: as many at a time; more
+    take further passes."""
     if top_k <= 0:
         raise ValueError("top_k must be positive")
-    asked = asked_terms(queries)
-    wanted = F.broadcast(asked.select("term").distinct())
-    rows = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    posts = rows.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = corpus_stats(docs, text_col).first()
-    return scored(asked, posts, stats["n"], stats["avgdl"], queries.schema["qid"].dataType, top_k)
+    given = queries.select("qid", F.array_distinct(tokenize(F.coalesce("query", F.lit("")))).alias("terms")).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
+    kind, out = queries.schema["qid"].dataType, None
+    for first in range(0, max(len(given), 1), max_queries):
+        part = [(r["qid"], r["terms"]) for r in given[first : first + max_queries] if r["terms"]]
+        terms = sorted({t for _, own in part for t in own})
+        found = _search(rows, part, terms, kind, top_k)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, top_k)
+
+
+def _search(rows: DataFrame, part: list[tuple], terms: list[str], kind, top_k: int) -> DataFrame:
+    read = term_counts(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, df = 0, 0, np.zeros(len(terms), np.int64)
+        for _, tf, length in read(batches):
+            n, total, df = n + len(length), total + int(length.sum()), df + (tf > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "total", "df"])
+
+    n, total, df = 0, 0, np.zeros(len(terms), np.int64)
+    for r in rows.mapInArrow(count, "n long, total long, df array<long>").toLocalIterator():
+        n, total, df = n + r["n"], total + r["total"], df + np.array(r["df"], np.int64)
+    average = total / n if total else 1.0
+    idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5) + 1))
+    column = {t: i for i, t in enumerate(terms)}
+    matrix = np.zeros((len(part), len(terms)))
+    for i, (_, own) in enumerate(part):
+        for t in own:
+            matrix[i, column[t]] = idf[column[t]]
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+        for ids, tf, length in read(batches):
+            yield ids, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / average))
+
+    return top_by_blocks(rows, weighted, [q for q, _ in part], matrix, kind, top_k, positive=True)
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, df."""
+    return docs.select(F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def ranked(scored: DataFrame, top_k: int, order=None) -> DataFrame:

@@ -130,7 +130,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"with {BM25} select term, df, round(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)), 6) idf from dfs, stats")
 def term_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return lexical.term_stats(lexical.postings(docs), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    return lexical.term_stats(lexical.document_frequencies(docs), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"with {BM25} select qid, id, {STRIP(f'array_to_string((string_split(regexp_replace(text, {chr(39)}([.!?])' + chr(92) + f's+{chr(39)}, {chr(39)}' + chr(92) + f'1{chr(39)} || chr(1), {chr(39)}g{chr(39)}), chr(1)))[1:2], chr(32))')} answer from bm25 join documents on id = doc_id where rank = 1")
