@@ -11,7 +11,7 @@ import pyarrow as pa
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 TRIM_BYTES, MMAP_BYTES = 16 << 20, 4 << 20
 #: Bytes of input that a function takes at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _library: list = []
 
