@@ -6,12 +6,14 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Options of the C library's mallopt, and the sizes from which blocks go back to the system when freed.
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 TRIM_BYTES, MMAP_BYTES = 16 << 20, 4 << 20
 #: Bytes of input that a function takes at once.
 BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _library: list = []
 
@@ -37,6 +39,13 @@ def release() -> None:
         library.malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session come in ``BATCH_BYTES`` at most (and one row), unless it has a limit of its own: both sides
+    of each Python function hold a whole batch."""
+    if not spark.sparkContext.getConf().contains(BATCH_LIMIT):
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``BATCH_BYTES``, or of one row."""
     for batch in batches:
@@ -45,6 +54,19 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(first, rows)
 
 
+def frugal_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group's table, after which the worker holds no freed memory."""
+
+    def held(table: pa.Table) -> pa.Table:
+        tune()
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return held
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """An Arrow function that reads its input in small pieces, and after which the worker holds no freed memory."""
 

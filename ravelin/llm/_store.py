@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._memory import small_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where it is unset a temporary folder takes its place on one machine; on a
@@ -28,6 +30,7 @@ class Scratch:
     that neither a later step nor the result reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

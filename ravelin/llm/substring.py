@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._memory import frugal, tune
+from ._memory import frugal, frugal_group
 from ._store import Scratch
 from ._text import U8, Words, chunks, mix, running, sequence, space_table, utf8
 
@@ -227,7 +227,6 @@ def match_shard(window: int):
     """Function over one shard: spans of each passage that begin in a document before the passage's own first one."""
 
     def run(table):
-        tune()
         symbols: dict[bytes, int] = {}
         heads, words = table.column("first").to_pylist(), table.column("words").to_pylist()
         coded = [[symbols.setdefault(w, len(symbols)) for w in x.split(b" ")] for x in words]
@@ -341,7 +340,7 @@ def repeats(texts: DataFrame, scratch: Scratch, window: int, grams: tuple[int, .
     deeper = len(grams) > 1 and not many.isEmpty()
     cold = distinct.join(many, "h", "left_anti") if deeper else distinct
     shards = max(1, round(distinct.count() / SHARD_PASSAGES))
-    found = cold.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(match_shard(window), "h long, key binary, start int, stop int, owner long")
+    found = cold.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(frugal_group(match_shard(window)), "h long, key binary, start int, stop int, owner long")
     found = scratch.write(found, f"found-{level}")
     if deeper:
         hot = distinct.join(many, "h").select(F.xxhash64("h", "key").alias("doc"), F.col("first").alias("label"), F.col("words").alias("text"), "h", "key")
