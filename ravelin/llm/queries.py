@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat, langid, mixing, quality, toxicity, warc
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
+from .phrases import compare_with_next
 from .substring import substring_dedup
 from .tokens import count_tokens
 
@@ -72,6 +73,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_decontaminate": op10_decontaminate,
+    "op11_lz_fingerprints": op11_lz_fingerprints,
 }
 
 ORACLE = {"op4_mixing": mixing.oracle(), "op9_warc_derivatives": warc.oracle()}
