@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, quality, toxicity, warc
+from . import chat, langid, mixing, periods, quality, toxicity, warc
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
 from .phrases import compare_with_next
@@ -77,6 +79,23 @@ def op11_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One text in ten goes on from word a with the p words from there again and again; a and p follow from the id's checksum."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.periodic_runs(table(spark, sf_dir, "documents"), prepare=repeating))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -89,6 +108,7 @@ QUERIES = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_decontaminate": op10_decontaminate,
     "op11_lz_fingerprints": op11_lz_fingerprints,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {"op4_mixing": mixing.oracle(), "op9_warc_derivatives": warc.oracle()}

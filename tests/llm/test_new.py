@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ravelin.llm import phrases
+from ravelin.llm import periods, phrases, queries
 
 
 def plain_phrases(text):
@@ -78,3 +78,68 @@ def test_fingerprint_pieces(monkeypatch):
     near = data[:2500] + b"zz" + data[2500:]
     x, y = known, plain_phrases(near.decode())
     assert abs(phrases.likeness(phrases.Parse().feed(data).hashes(), phrases.Parse().feed(near).hashes()) - len(x & y) / len(x | y)) < 0.15
+
+
+def plain_runs(words):
+    """Every lag's stretches of matches; those whose stretch has a smaller period are left out."""
+    n, found = len(words), []
+    for q in range(1, n // 2 + 1):
+        k = 0
+        while k < n - q:
+            m = 0
+            while k + m < n - q and words[k + m] == words[k + m + q]:
+                m += 1
+            length = m + q
+            if m and length >= max(12, 2 * q):
+                part = words[k : k + length]
+                if not any(part[p:] == part[:-p] for p in range(1, q)):
+                    found.append((k, length, q))
+            k += m + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def periodic_texts(rng):
+    for _ in range(150):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            base = [rng.choice("abcdefgh"[: rng.randrange(1, 9)]) for _ in range(rng.randrange(1, 12))]
+            text += (base * rng.randrange(1, 9))[: rng.randrange(1, 80)]
+        yield text
+    for q in (64, 65, 100, 131):  # long periods, which go over the grid
+        base = [f"w{rng.randrange(9)}" for _ in range(q)]
+        yield [f"x{rng.randrange(5)}" for _ in range(rng.randrange(40))] + (base * 3)[: 2 * q + rng.randrange(q)] + ["end"] * rng.randrange(30)
+        yield ["e"] * 7 + (base * 2)[: 2 * q - 1] + ["f"] + (base * 2)[: 2 * q]
+
+
+def test_runs_brute(monkeypatch):
+    rng = random.Random(5)
+    for heavy, grid in ((0.5, 64), (0.0, 8), (1e9, 9)):
+        monkeypatch.setattr(periods, "HEAVY", heavy)
+        monkeypatch.setattr(periods, "GRID_FROM", grid)
+        for text in periodic_texts(rng):
+            ids = periods.word_ids([w.encode() for w in text])
+            counts = periods.lag_counts(ids)
+            assert counts[1:].tolist() == [sum(a == b for a, b in zip(text, text[q:])) for q in range(1, len(text) // 2 + 1)]
+            assert periods.runs_of(ids) == plain_runs(text), text
+    monkeypatch.undo()
+    assert periods.runs_of(np.zeros(300_000, np.int64)) == [(0, 300_000, 1)]
+    assert [r[1:] for r in periods.runs_of(np.arange(200_000) % 50_000)] == [(200_000, 50_000)]
+
+
+def test_periodic_runs(spark):
+    rng = random.Random(6)
+    rows = [(k if k % 13 else None, " \t".join(t), 1, "z") for k, t in enumerate(periodic_texts(rng))] + [(500, None, 1, "z"), (501, "", 1, "z"), (502, "a" * 200_000, 1, "z"), (503, " é" * 30, 1, "z"), (503, " é" * 30, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, runs int, start string").repartition(3)
+    want = []
+    for i, t, *_ in rows:
+        words = [w.decode() for w in queries.repeating(i, (t or "").encode().split())]
+        runs = plain_runs(words)
+        gone = {k for s, m, p in runs for k in range(s + p, s + m)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        milli = 1000 * best[1] // best[2] if runs else None
+        want.append((i, len(runs), *best, milli, sha("".join(f"{s},{m},{p}\n" for s, m, p in runs)), sha(" ".join(w for k, w in enumerate(words) if k not in gone))))
+    got = periods.digest(periods.periodic_runs(docs, prepare=queries.repeating))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert any(r[2] for r in want) and periods.digest(periods.periodic_runs(docs.filter("false"))).isEmpty()
