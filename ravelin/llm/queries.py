@@ -7,7 +7,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, periods, quality, toxicity, warc
+from . import chat, langid, mixing, periods, quality, toxicity, tries, warc
+from ._store import Scratch
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard
 from .phrases import compare_with_next
@@ -96,6 +97,25 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.periodic_runs(table(spark, sf_dir, "documents"), prepare=repeating))
 
 
+def regrouped(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every conversation c rebuilt from numbered turns: the first h turns of conversation c - c % 100, then its own after its first
+    h; h follows from the id's checksum. A first conversation has a hundred others and five turns at most to give."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    first = F.col("conv_id") - F.col("conv_id") % 100
+    heads = turns.filter((F.col("conv_id") % 100 == 0) & (F.col("place") <= 5)).withColumnRenamed("conv_id", "first")
+    given = ids.select("conv_id", first.alias("first"), h.alias("h")).join(heads, "first").filter("place <= h").drop("first", "h")
+    lent = heads.groupBy("first").agg(F.max("place").alias("most"))
+    shift = F.least(F.col("h"), F.coalesce("most", F.lit(0))) - F.col("h")
+    own = turns.withColumns({"h": h, "first": first}).filter("place > h").join(lent, "first", "left").withColumn("place", F.col("place") + shift).drop("first", "most", "h")
+    return given.unionByName(own)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = Scratch(spark, "turns").write(tries.numbered_turns(tries.hashed_turns(table(spark, sf_dir, "conversations"))), "turns")
+    ids = turns.select("conv_id").distinct()
+    return tries.prefix_trie(regrouped(turns, ids), ids)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -109,6 +129,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_lz_fingerprints": op11_lz_fingerprints,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {"op4_mixing": mixing.oracle(), "op9_warc_derivatives": warc.oracle()}

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ravelin.llm import periods, phrases, queries
+from ravelin.llm import periods, phrases, queries, tries
 
 
 def plain_phrases(text):
@@ -143,3 +144,56 @@ def test_periodic_runs(spark):
     assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert any(r[2] for r in want) and periods.digest(periods.periodic_runs(docs.filter("false"))).isEmpty()
+
+
+def plain_trie(conversations, rebuild):
+    """Every node of a dictionary of prefixes; ``conversations``: id to turns (role, text)."""
+    paths = {}
+    for c, own in conversations.items():
+        h = zlib.crc32(str(c).encode()) % 6 if rebuild else 0
+        paths[c] = conversations.get(c - c % 100, [])[:h] + own[h:]
+    nodes = {}
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            nodes.setdefault(tuple(path[:d]), []).append(c)
+    out = []
+    for node, own in nodes.items():
+        below = [x for x in nodes if x[: len(node)] == node]
+        children = [x for x in below if len(x) == len(node) + 1]
+        leaves = [x for x in below if not any(y[: len(x)] == x and len(y) > len(x) for y in below)]
+        saved = sum((len(nodes[x]) - 1) * len(x[-1][1]) for x in below if x)
+        ends = ",".join(str(c) for c in sorted(own) if len(paths[c]) == len(node))
+        out.append((min(own), len(node), min(nodes[node[:-1]]) if node else None, len(own), len(children), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prefix_trie(spark, seed, tmp_path):
+    rng = random.Random(seed)
+    ids = [*range(0, 30), *range(100, 140), *range(205, 230), 300, 1000, *range(20_000, 20_010)]
+    rows, held = [], {}
+    for c in ids:
+        turns = [(rng.choice(["user", "assistant", None]), rng.choice(["a", "bb", "\U0001f600é", "", None, f"own {c}"])) for _ in range(rng.randrange(0, 9))]
+        turns = turns if c % 7 else [("user", "a")] * len(turns)
+        if c == 25:
+            turns = [("user", "x" * 1000)] * 120
+        order = [None, *range(len(turns))]
+        rows += [(c, t, role, text, 1, 2) for t, (role, text) in zip(order, turns)]
+        if turns:
+            held[c] = [(role or "", text or "") for role, text in turns]
+    rng.shuffle(rows)
+    table = spark.createDataFrame([*rows, (None, 1, "user", "nobody", 1, 2)], "conv_id long, turn int, role string, text string, place int, depth int").repartition(3)
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    got = queries.op13_prefix_trie(spark, str(tmp_path))
+    assert got.columns == columns and sorted(map(tuple, got.collect()), key=str) == plain_trie(held, True)
+    turns = tries.numbered_turns(tries.hashed_turns(table))
+    extra = spark.createDataFrame([(-5,), (25,), (None,), (7_000_000,)], "conv_id long")  # conversations without turns
+    got = tries.prefix_trie(turns, turns.select("conv_id").union(extra))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_trie(held | {-5: [], 7_000_000: []}, False)
+
+
+def test_prefix_trie_empty(spark):
+    table = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    turns = tries.numbered_turns(tries.hashed_turns(table))
+    assert tries.prefix_trie(turns, turns.select("conv_id")).isEmpty()
