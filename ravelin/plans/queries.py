@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import dense, fusion, grounding, learning, lexical, metrics, pipelines, state
 from ..sources import corpus, versions
+from ..sources.lines import read_lines
+from ..sources.shared import fresh_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -753,6 +755,25 @@ def row_mapping(spark, sf_dir):
     return versions.row_numbers(corpus.chunk(table(spark, sf_dir, "documents"), "\n"))
 
 
+@query(f"with {CHUNKS} select chunk_id, row_number() over (order by doc_id::varchar, chunk_index) - 1 as row from chunks")
+def row_mapping_text_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return versions.row_numbers(corpus.chunk(docs, "\n"))
+
+
+#: Lines of each file that the next query writes and reads.
+JSONL_LINES = 20_000
+
+
+@query(f"select (row // {JSONL_LINES})::bigint part, row % {JSONL_LINES} + 1 line, case when text is null then 'missing fields: text' when not regexp_matches(text, '[^ \t\n\x0b\f\r]') then 'text must be a non-empty string' end reason, doc_id, text_sha256 from (select row_number() over (order by doc_id) - 1 as row, text, doc_id::varchar doc_id, case when text is not null then sha256(text) end text_sha256 from documents)")
+def jsonl_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("untitled").alias("title"), "text", "source")
+    path = fresh_path(spark, "jsonl")
+    corpus.write_jsonl(docs, path, "doc_id", JSONL_LINES)
+    rows = corpus.validate(read_lines(spark, path))
+    return rows.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("part"), "line", "reason", "doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("with n as (select doc_id, sha256(case when doc_id % 10 = 3 then text || '!' else text end) sha from documents), o as (select doc_id, sha256(text) was from documents where doc_id % 4 <> 0) select doc_id, case when was is null then 'new' when was = sha then 'unchanged' else 'changed' end state from n left join o using (doc_id)")
 def ingest_classify(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

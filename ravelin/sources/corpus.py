@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalise_newlines, paragraphs, slug
+from ..operators.ordered import numbered
+from .lines import read_lines
 
 REQUIRED = ("doc_id", "text", "title")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text", "source")])
@@ -23,17 +25,11 @@ class CorpusFormatError(ValueError):
     pass
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1, blank ones counted) and value; blank lines are left out. Files are read whole, as line numbers need it."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("at", "value")).filter(F.trim("value") != "").select((F.col("at") + 1).alias("line"), "value")
-
-
 def validate(lines: DataFrame) -> DataFrame:
-    """The fields of each line and ``reason``, null for a valid one."""
+    """The fields of each line (file, line, value) and ``reason``, null for a valid one."""
     keys = F.json_object_keys("value")
     missing = F.array_sort(F.filter(F.array(*map(F.lit, REQUIRED)), lambda k: ~F.array_contains(keys, k)))
-    rows = lines.select("line", "value", keys.alias("keys"), missing.alias("missing"), F.from_json("value", SCHEMA).alias("d"))
+    rows = lines.select("file", "line", "value", keys.alias("keys"), missing.alias("missing"), F.from_json("value", SCHEMA).alias("d"))
     told = F.try_parse_json("value")
     text = F.when(F.schema_of_variant(F.try_variant_get(told, "$.text", "variant")) == "STRING", F.try_variant_get(told, "$.text", "string"))
     reason = (
@@ -41,15 +37,15 @@ def validate(lines: DataFrame) -> DataFrame:
         .when(F.size("missing") > 0, F.concat(F.lit("missing fields: "), F.array_join("missing", ", ")))
         .when(text.isNull() | ~text.rlike(r"\S"), "text must be a non-empty string")
     )
-    return rows.select("line", reason.alias("reason"), "d.*")
+    return rows.select("file", "line", reason.alias("reason"), "d.*")
 
 
 def load_strict(spark: SparkSession, path: str, separator: str = "\n\n") -> DataFrame:
     """Chunks of a corpus; any bad line, or no line, is an error."""
     rows = validate(read_lines(spark, path))
-    bad = rows.filter("reason is not null").orderBy("line").first()
+    bad = rows.filter("reason is not null").orderBy("file", "line").first()
     if bad:
-        raise CorpusFormatError(f"{path}:{bad['line']}: {bad['reason']}")
+        raise CorpusFormatError(f"{bad['file']}:{bad['line']}: {bad['reason']}")
     made = chunk(rows, separator)
     if rows.isEmpty() or not rows.join(made, "doc_id", "left_anti").isEmpty():
         raise CorpusFormatError(f"{path}: empty corpus or document")
@@ -57,12 +53,12 @@ def load_strict(spark: SparkSession, path: str, separator: str = "\n\n") -> Data
 
 
 def load_lenient(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows and a quarantine (line, reason); an error if none is good or more than a tenth is bad."""
+    """Good rows and a quarantine (file, line, reason); an error if none is good or more than a tenth is bad."""
     rows = validate(read_lines(spark, path))
     n = rows.agg(F.count("*").alias("all"), F.count("reason").alias("bad")).first()
     if n["all"] == n["bad"] or n["bad"] / n["all"] > MALFORMED_LIMIT:
         raise CorpusFormatError(f"{n['bad']} of {n['all']} lines are malformed")
-    return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null").select("line", "reason")
+    return rows.filter("reason is null").drop("reason"), rows.filter("reason is not null").select("file", "line", "reason")
 
 
 def chunk(docs: DataFrame, separator: str = "\n\n", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,15 +101,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def write_jsonl(docs: DataFrame, path: str, key: str, lines: int) -> None:
+    """Documents as JSON lines, in files of ``lines`` lines each (the last has the rest), in order of a key that names a row: file
+    ``file=k`` begins with line k * lines of the whole. Files are sorted and written side by side."""
+    rows = numbered(docs, [key], "row").select(F.floor(F.col("row") / lines).alias("file"), "row", F.to_json(F.struct(*docs.columns)).alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "row").select("file", "value").write.partitionBy("file").option("maxRecordsPerFile", 0).text(path)
+
+
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
     """Labelled queries of a JSONL file: query_id, query, relevant_chunk_ids, expected_answer. A line without one of these, or a file
     without lines, is an error; blank lines are passed over."""
     fields = ("query_id", "query", "relevant_chunk_ids", "expected_answer")
     lines = read_lines(spark, path)
     missing = F.array_sort(F.filter(F.array(*map(F.lit, fields)), lambda k: ~F.array_contains(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), k)))
-    bad = lines.select("line", missing.alias("missing")).filter(F.size("missing") > 0).orderBy("line").first()
+    bad = lines.select("file", "line", missing.alias("missing")).filter(F.size("missing") > 0).orderBy("file", "line").first()
     if bad:
-        raise CorpusFormatError(f"{path}:{bad['line']}: missing {', '.join(bad['missing'])}")
+        raise CorpusFormatError(f"{bad['file']}:{bad['line']}: missing {', '.join(bad['missing'])}")
     if lines.isEmpty():
         raise CorpusFormatError(f"{path}: empty evaluation set")
     return lines.select("line", F.from_json("value", "query_id string, query string, relevant_chunk_ids array<string>, expected_answer string").alias("d")).select("line", "d.*")

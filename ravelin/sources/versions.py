@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
+
 
 class IndexIntegrityError(RuntimeError):
     pass
@@ -144,12 +145,7 @@ def reusable(versions: DataFrame, corpus_sha: str, embedder: str) -> DataFrame:
     return found.agg(F.max_by("version_id", F.struct("created_at", "version_id")).alias("version_id"))
 
 
-def row_numbers(chunks: DataFrame, span: int = 1000) -> DataFrame:
-    """Rows 0.. of the chunks in order of document and index: sorted ranges, counted per range, so no task sorts all."""
-    dealt = chunks.select("doc_id", "chunk_index", "chunk_id")
-    per = dealt.groupBy("doc_id").agg(F.count("*").alias("n"))
-    bucket = F.floor(F.col("doc_id") / span)
-    sums = per.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("b", "before")
-    rows = dealt.withColumn("b", bucket).join(sums, "b")
-    return rows.select("chunk_id", (F.col("before") + F.row_number().over(W.partitionBy("b").orderBy("doc_id", "chunk_index")) - 1).alias("row"))
+def row_numbers(chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows 0.. of the chunks in order of document and index, whatever the type of the document's id: ranges of the order, numbered
+    side by side and raised by the counts of the ranges before."""
+    return numbered(chunks.select("doc_id", "chunk_index", "chunk_id"), ["doc_id", "chunk_index"], "row", parts).select("chunk_id", "row")
