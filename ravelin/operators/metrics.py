@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .quantiles import at_ranks, quantiles
+
 
 def safe(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -56,11 +59,20 @@ def best_f1(rows: DataFrame, *by: str, digits: int | None = None, inclusive: boo
 
 
 def percentile_rank(rows: DataFrame, value: str, p: int, *by: str) -> DataFrame:
-    """The value at place max(1, p/100 n rounded half to even). Equal values are counted before they are ordered."""
-    ties = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ties = ties.withColumns({"upto": F.sum("c").over(W.partitionBy(*by).orderBy("v")), "n": F.sum("c").over(W.partitionBy(*by))})
-    place = F.greatest(F.lit(1), F.bround(F.col("n") * p / 100).cast("long"))
-    return ties.filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(*by, F.col("v").alias(f"p{p}"))
+    """The value at place max(1, p/100 n rounded half to even)."""
+    place = F.greatest(F.lit(1), F.bround(F.col("n") * p / 100).cast("long")) - 1
+    return at_ranks(rows, value, {f"p{p}": place}, *by).drop("n")
+
+
+def load_summary(requests: DataFrame, by: str, statuses: list[str], shed: str) -> DataFrame:
+    """Per level: requests, their number by status (a column for each name), the share shed, requests a second between the first and
+    the last, quantiles and mean of the value. requests: by, status, us, value."""
+    counts = requests.groupBy(by).agg(
+        F.count("*").alias("requests"), *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses), F.round(F.avg((F.col("status") == shed).cast("int")), 6).alias("shed_rate"),
+        F.round(F.count("*") * 1_000_000 / F.nullif(F.max("us") - F.min("us"), F.lit(0)), 9).alias("rps"), F.round(F.avg("value"), 6).alias("mean"))
+    found = quantiles(requests, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by).drop("n").withColumnRenamed(by, "of")
+    joined = counts.join(found, F.col(by).eqNullSafe(F.col("of")), "left").drop("of")
+    return joined.withColumns({q: F.round(q, 6) for q in ("p50", "p95", "p99")})
 
 
 def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -72,14 +84,12 @@ def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, *columns: str) -> DataFrame:
     """One row a column: count, mean, std (sample), min, quartiles (linear), max."""
+    stacked = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = written(rows.selectExpr(f"stack({len(columns)}, {stacked}) as (column_name, v)"), "described")  # read several times
+    basic = long.groupBy("column_name").agg(F.count("v").cast("double").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    found = quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "column_name").drop("n")
     names = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    parts = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        parts += [F.count(v).cast("double"), F.avg(v), F.stddev_samp(v), F.min(v), F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.5)), F.percentile(v, F.lit(0.75)), F.max(v)]
-    one = rows.agg(*(F.round(x, 6).alias(f"v{i}") for i, x in enumerate(parts)))
-    stack = ", ".join(f"'{c}', " + ", ".join(f"v{8 * k + j}" for j in range(8)) for k, c in enumerate(columns))
-    return one.selectExpr(f"stack({len(columns)}, {stack}) as (column_name, {', '.join(f'`{n}`' for n in names)})")
+    return basic.join(found, "column_name", "left").select("column_name", *(F.round(n, 6).alias(n) for n in names))
 
 
 def correlations(rows: DataFrame, *columns: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dense, fusion, grounding, learning, lexical, metrics, pipelines, state
+from ..operators.quantiles import at_ranks, quantiles
 from ..sources import corpus, versions
 from ..sources.lines import read_lines
 from ..sources.shared import fresh_path
@@ -498,13 +499,23 @@ def percentile_rank(spark, sf_dir):
 
 @query("select user_id, round(median(value), 6) median_value from events group by user_id")
 def median_repeats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_value"))
+    return quantiles(table(spark, sf_dir, "events"), "value", {"m": 0.5}, "user_id").select("user_id", F.round("m", 6).alias("median_value"))
 
 
-@query("select user_id % 10 as level, count(*) requests, round(avg((event_type = 'view')::int), 6) shed_rate, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99, round(avg(value), 6) mean from events group by 1")
+STATUSES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""select user_id % 10 as level, count(*) requests, {", ".join(f"count(*) filter (event_type = '{t}') n_{t}" for t in STATUSES)}, round(avg((event_type = 'view')::int), 6) shed_rate,
+round(count(*) * 1000000 / nullif(max(epoch_us(ts)) - min(epoch_us(ts)), 0), 9) rps, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99, round(avg(value), 6) mean from events group by 1""")
 def load_summary(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("level")).agg(F.count("*").alias("requests"), F.round(F.avg((F.col("event_type") == "view").cast("int")), 6).alias("shed_rate"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
+    rows = events(spark, sf_dir).select((F.col("user_id") % 10).alias("level"), F.col("event_type").alias("status"), "us", "value")
+    return metrics.load_summary(rows, "level", STATUSES, "view")
+
+
+@query("select source, lang, count(*) n, quantile_disc(n_chars, 0.5) p50, quantile_disc(n_chars, 0.99) p99 from documents where n_chars is not null group by all")
+def length_ranks(spark, sf_dir):
+    place = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)) - 1
+    return at_ranks(table(spark, sf_dir, "documents"), "n_chars", {"p50": place(0.5), "p99": place(0.99)}, "source", "lang")
 
 
 # Descriptive statistics ------------------------------------------------------------------------------------------------------

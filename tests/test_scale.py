@@ -1,11 +1,15 @@
 """Forms that many tasks share: line numbers, row numbers."""
 
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ravelin.operators import quantiles as exact
+from ravelin.operators.quantiles import at_ranks, quantiles
 from ravelin.plans import queries as plans
 from ravelin.sources import corpus, lines, versions
 from ravelin.sources.lines import read_lines
@@ -78,3 +82,38 @@ def test_jsonl_round_trip(spark, tmp_path, monkeypatch):
     got = {r["doc_id"]: r for r in plans.jsonl_scan(spark, str(tmp_path)).collect()}
     assert all((got[str(k)]["part"], got[str(k)]["line"]) == divmod(k - 1, 7)[:1] + ((k - 1) % 7 + 1,) for k in range(1, 40))
     assert got["5"]["reason"] == "missing fields: text" and got["6"]["reason"].startswith("text must") and got["7"]["reason"] is None
+
+
+@pytest.mark.parametrize("bits,few", [(16, 0), (16, 1000), (7, 0), (7, 20)])
+def test_exact_ranks(spark, bits, few, monkeypatch):
+    """Every place of every group, of doubles of all sizes, against a sort."""
+    monkeypatch.setattr(exact, "FEW", few)
+    rng = random.Random(bits)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 1.0000000000000002, 0.1 + 0.2, 0.3]
+    rows = [("a", rng.choice(odd)) for _ in range(60)] + [(None, rng.uniform(-1, 1) * 10.0 ** rng.randrange(-320, 308)) for _ in range(80)] + [("c", float(rng.randrange(4))) for _ in range(50)] + [("d", None), ("e", float("nan")), ("e", 1e300)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares = {f"r{k}": F.floor(F.lit(k / 20) * (F.col("n") - 1)) for k in range(21)}
+    got = {r["g"]: r for r in at_ranks(df, "v", shares, "g", bits=bits).collect()}
+    assert set(got) == {"a", None, "c", "e"}
+    for g, r in got.items():
+        own = sorted((v for k, v in rows if k == g and v is not None), key=lambda v: (v != v, v))
+        assert r["n"] == len(own)
+        for k in range(21):
+            want = own[math.floor(k / 20 * (len(own) - 1))]
+            assert r[f"r{k}"] == want or want != want and r[f"r{k}"] != r[f"r{k}"], (g, k)
+    for kind in ("long", "int", "date", "timestamp", "boolean"):
+        cast = {"date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")), "timestamp": F.timestamp_micros(F.col("id") * 977 - 10**15), "boolean": F.col("id") > 20}.get(kind, ((F.col("id") * 7919 % 1000 - 500) * 10**5).cast(kind))
+        table = spark.range(41).select(cast.alias("v"))
+        want = sorted(r["v"] for r in table.collect())
+        assert at_ranks(table, "v", {"least": F.lit(0), "mid": F.lit(20), "most": F.col("n") - 1}).collect() == [(41, want[0], want[20], want[40])]
+    assert at_ranks(df.filter("false"), "v", {"x": F.lit(0)}, "g").isEmpty()
+    with pytest.raises(TypeError):
+        at_ranks(df, "g", {"x": F.lit(0)})
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(2)
+    values = [float(x) for x in rng.lognormal(size=501)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    r = quantiles(df, "v", {"a": 0.0, "b": 0.25, "c": 0.937, "d": 1.0}).first()
+    assert np.allclose([r[c] for c in "abcd"], np.quantile(values, [0, 0.25, 0.937, 1]), rtol=1e-15)
