@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict, namedtuple
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import timeline
+
 #: Output rows that a task gathers before it hands them on.
 ROWS_OUT = 10_000
 
@@ -94,11 +97,15 @@ def ewma(rows: DataFrame, alpha: float, key: str = "user_id") -> DataFrame:
     return fold(rows.select("event_id", key, "us", "value"), key, ["us", "event_id"], lambda: None, step, "event_id long, ewma double")
 
 
+#: Slots of running counts of a day or a key, in microseconds.
+MINUTE, HOUR = 60_000_000, 3_600_000_000
+
+
 def daily_quota(events: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
     """Per key and UTC day. events: event_id, key, us."""
-    day = F.floor(F.col("us") / 86_400_000_000)
-    n = F.row_number().over(W.partitionBy(key, day).orderBy("us", "event_id"))
-    return events.select("event_id", key, n.alias("used"), (n <= limit).alias("allowed"))
+    rows = events.select("event_id", key, "us", F.floor(F.col("us") / 86_400_000_000).alias("day"))
+    rows = timeline.running(rows, [key, "day"], ["us", "event_id"], HOUR, {"used": ("count", F.lit(1), True)})
+    return rows.select("event_id", key, F.col("used").cast("int").alias("used"), (F.col("used") <= limit).alias("allowed"))
 
 
 def quota_guard(events: DataFrame, zone: str = "America/Los_Angeles", rpm: int = 15, rpd: int = 500, margin: float = 0.9, key: str = "user_id") -> DataFrame:
@@ -109,8 +116,7 @@ def quota_guard(events: DataFrame, zone: str = "America/Los_Angeles", rpm: int =
     rows = events.withColumns({"day": day, "cooling": F.coalesce(F.col("until") > F.col("us"), F.lit(False))})
     rows = rows.withColumn("in_minute", F.row_number().over(W.partitionBy(key, "cooling", F.floor(F.col("us") / 60_000_000)).orderBy("us", "event_id")))
     passed = (~F.col("cooling") & (F.col("in_minute") <= per_minute)).cast("int")
-    used = F.sum(passed).over(W.partitionBy(key, "day").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("used", used)
+    rows = timeline.running(rows, [key, "day"], ["us", "event_id"], MINUTE, {"used": ("sum", passed, True)})
     reason = F.when(F.col("cooling"), "cooldown").when(F.col("in_minute") > per_minute, "rpm_exhausted").when(F.col("used") > per_day, "rpd_exhausted").otherwise("ok")
     rows = rows.withColumn("reason", reason)
     case = lambda cooling, minute, daily, ok: F.when(F.col("reason") == "cooldown", cooling).when(F.col("reason") == "rpm_exhausted", minute).when(F.col("reason") == "rpd_exhausted", daily).otherwise(ok)
@@ -130,7 +136,7 @@ def cooldown(events: DataFrame, default_us: int = 60_000_000, key: str = "user_i
     """With ``until``, the latest of earlier rejections plus their retry time (null: none), until which the key is closed. events:
     event_id, key, us, rejected, retry_us (null: the default)."""
     ends = F.when(F.col("rejected"), F.col("us") + F.coalesce("retry_us", F.lit(default_us)))
-    return events.withColumn("until", F.max(ends).over(W.partitionBy(key).orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, -1)))
+    return timeline.running(events, [key], ["us", "event_id"], HOUR, {"until": ("max", ends, False)})
 
 
 def budget(events: DataFrame, limit: int, margin: float = 0.9, key: str = "resource") -> DataFrame:
@@ -138,11 +144,10 @@ def budget(events: DataFrame, limit: int, margin: float = 0.9, key: str = "resou
     was first reached. events: event_id, key, us, n."""
     enforced = math.floor(limit * margin)
     day = F.floor(F.col("us") / 86_400_000_000)
-    w = W.partitionBy(key, "day").orderBy("us", "event_id")
-    rows = events.withColumn("day", day).withColumn("total", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    earlier = w.rowsBetween(W.unboundedPreceding, -1)
-    reached = F.min(F.when(F.col("total") >= enforced, F.col("total"))).over(earlier)
-    rows = rows.withColumn("before", F.coalesce(reached, F.col("total") - F.col("n")))
+    order = [key, "day"], ["us", "event_id"], MINUTE
+    rows = timeline.running(events.withColumn("day", day), *order, {"total": ("sum", F.col("n"), True)})
+    rows = timeline.running(rows, *order, {"reached": ("min", F.when(F.col("total") >= enforced, F.col("total")), False)})
+    rows = rows.withColumn("before", F.coalesce("reached", F.col("total") - F.col("n")))
     opened = F.col("before") >= enforced
     return rows.select("event_id", F.col("before").alias("used_before"), opened.alias("open"), (~opened & (F.col("before") + F.col("n") >= enforced * 0.8)).alias("alert"))
 
@@ -221,31 +226,45 @@ def fifo_cache(requests: DataFrame, size: int = 256, ttl_us: int = 3_600_000_000
 BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 3.5, 5.0, 10.0, 30.0)
 
 
+def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
+
+
 def increase(events: DataFrame, window_us: int, *by: str) -> DataFrame:
-    """Events of the window that ends with each event. events: event_id, us."""
-    w = W.partitionBy(*by).orderBy("us").rangeBetween(-window_us + 1, 0)
-    return events.select("event_id", *by, F.count("*").over(w).alias("increase"))
+    """Events of the window that ends with each event. events: event_id, us; an event without a time has no row."""
+    held = timeline.levels(events, window_us, list(by)).alias("h")
+    rows = events.alias("e")
+    return rows.join(held, same(rows, held, [*by, "us"])).select("e.event_id", *(F.col(f"e.{c}") for c in by), F.col("h.level").alias("increase"))
 
 
 def counter_rate(samples: DataFrame, window_us: int, *by: str) -> DataFrame:
     """Of the samples of a cumulative counter in the window that ends with each: the increase (falls are resets), stretched to the
-    window as far as its ends are near samples, and its rate a second. samples: us, value."""
-    rows = counter_increase(samples, *by)
-    w = W.partitionBy(*by).orderBy("us").rangeBetween(-window_us + 1, 0)
-    first = rows.withColumns({"since": F.min("us").over(w), "n": F.count("*").over(w), "all": F.sum("increase").over(w), "own": F.first("increase").over(w), "base": F.first("value").over(w)})
-    gained, span = F.col("all") - F.col("own"), F.col("us") - F.col("since")
-    step = span / (F.col("n") - 1)
-    lead = F.col("since") - (F.col("us") - window_us)
+    window as far as its ends are near samples, and its rate a second. samples: us (once for each of ``by``), value."""
+    keys, width = list(by), max(1, window_us // 8)
+    rows = timeline.running(counter_increase(samples, *by, width_us=width), keys, ["us"], width, {"place": ("count", F.lit(1), True), "upto": ("sum", F.col("increase"), True)})
+    # The first sample of each window: the next one after the time at which the window begins.
+    probes = rows.select(*keys, (F.col("us") - window_us).alias("us"), F.col("us").alias("of"))
+    marked = rows.withColumn("of", F.lit(None).cast("long")).unionByName(probes, allowMissingColumns=True)
+    sample = F.when(F.col("of").isNull(), F.struct("us", "value", "increase", "place", "upto"))
+    # Of a sample and a probe at one time the sample comes later on the way back, so the probe does not see it.
+    first = timeline.running(marked.withColumn("probe", F.col("of").isNotNull()), keys, ["us", "probe", "of"], width, {"first": ("min", sample, False)}, backwards=True)
+    first = first.filter("of is not null").select(*keys, F.col("of").alias("us"), "first").alias("f")
+    rows = rows.alias("r")
+    rows = rows.join(first, same(rows, first, [*keys, "us"])).select("r.*", "f.first")
+    gained, span, n = F.col("upto") - F.col("first.upto"), F.col("us") - F.col("first.us"), F.col("place") - F.col("first.place") + 1
+    lead = F.col("first.us") - (F.col("us") - window_us)
+    step = span / (n - 1)
     before = F.when(lead < step * 1.1, lead).otherwise(step / 2)
-    zero = F.when((gained > 0) & (F.col("base") >= 0), span * F.col("base") / gained)  # a counter is not carried on below 0
-    full = F.when(F.col("n") > 1, gained * (span + F.least(before, F.coalesce(zero, before))) / span)
-    return first.select(*by, "us", F.round(full, 6).alias("increase"), F.round(full * 1_000_000 / window_us, 9).alias("rate"))
+    zero = F.when((gained > 0) & (F.col("first.value") >= 0), span * F.col("first.value") / gained)  # a counter is not carried on below 0
+    full = F.when(n > 1, gained * (span + F.least(before, F.coalesce(zero, before))) / span)
+    return rows.select(*by, "us", F.round(full, 6).alias("increase"), F.round(full * 1_000_000 / window_us, 9).alias("rate"))
 
 
-def counter_increase(samples: DataFrame, *by: str) -> DataFrame:
+def counter_increase(samples: DataFrame, *by: str, width_us: int = HOUR) -> DataFrame:
     """The increase between samples of a cumulative counter; a fall is a reset. samples: us, value."""
-    last = F.lag("value").over(W.partitionBy(*by).orderBy("us"))
-    return samples.withColumn("last", last).select(*by, "us", "value", F.when(F.col("last").isNull(), 0.0).when(F.col("value") < F.col("last"), F.col("value")).otherwise(F.col("value") - F.col("last")).alias("increase"))
+    rows = timeline.running(samples.select(*by, "us", "value"), list(by), ["us"], width_us, {"last": ("max", F.struct("us", "value"), False)})
+    last = F.col("last.value")
+    return rows.select(*by, "us", "value", F.when(last.isNull(), 0.0).when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last).alias("increase"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, *by: str) -> DataFrame:
