@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict, namedtuple
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
 
@@ -61,8 +62,23 @@ def fold(rows: DataFrame, key: str, order: list[str], start: Callable, step: Cal
     return simulate(rows, key, order, run, schema)
 
 
-def rate_limit(events: DataFrame, limit: int, window_us: int, key: str = "user_id") -> DataFrame:
-    """Windows start at a key's first event after the last window; denied events count. events: event_id, key, us."""
+@dataclass(frozen=True)
+class Fold:
+    """What is carried from event to event of a key. ``columns`` besides key and order; ``ends``: the time in microseconds from
+    which a state is as good as none, so that a stream can forget it."""
+
+    columns: list[str]
+    start: Callable
+    step: Callable
+    schema: str
+    ends: Callable
+
+    def over(self, rows: DataFrame, key: str) -> DataFrame:
+        return fold(rows.select("event_id", key, "us", *self.columns), key, ["us", "event_id"], self.start, self.step, self.schema)
+
+
+def anchored_limit(limit: int, window_us: int) -> Fold:
+    """Windows start at a key's first event after the last window; denied events count."""
 
     def step(state, row):
         begin, count = state
@@ -72,7 +88,12 @@ def rate_limit(events: DataFrame, limit: int, window_us: int, key: str = "user_i
         allowed = count <= limit
         return (begin, count), {"event_id": row.event_id, "count": count, "allowed": allowed, "remaining": max(limit - count, 0), "retry_us": 0 if allowed else begin + window_us - row.us}
 
-    return fold(events.select("event_id", key, "us"), key, ["us", "event_id"], lambda: (None, 0), step, "event_id long, count long, allowed boolean, remaining long, retry_us long")
+    return Fold([], lambda: (None, 0), step, "event_id long, count long, allowed boolean, remaining long, retry_us long", lambda state: state[0] + window_us)
+
+
+def rate_limit(events: DataFrame, limit: int, window_us: int, key: str = "user_id") -> DataFrame:
+    """events: event_id, key, us."""
+    return anchored_limit(limit, window_us).over(events, key)
 
 
 def ttl_cache(requests: DataFrame, ttl_us: int) -> DataFrame:
@@ -139,6 +160,21 @@ def cooldown(events: DataFrame, default_us: int = 60_000_000, key: str = "user_i
     return timeline.running(events, [key], ["us", "event_id"], HOUR, {"until": ("max", ends, False)})
 
 
+def daily_budget(limit: int, margin: float = 0.9) -> Fold:
+    """``budget`` of each key from event to event; a state ends with its UTC day."""
+    enforced, day_us = math.floor(limit * margin), 86_400_000_000
+
+    def step(state, row):
+        day, used = state
+        if row.us // day_us != day:
+            day, used = row.us // day_us, 0
+        opened = used >= enforced
+        made = {"event_id": row.event_id, "used_before": used, "open": opened, "alert": not opened and used + row.n >= enforced * 0.8}
+        return (day, used if opened else used + row.n), made
+
+    return Fold(["n"], lambda: (None, 0), step, "event_id long, used_before long, open boolean, alert boolean", lambda state: (state[0] + 1) * day_us)
+
+
 def budget(events: DataFrame, limit: int, margin: float = 0.9, key: str = "resource") -> DataFrame:
     """Open once the use before an event reached the limit; open events use nothing, so the use stays what it was when the limit
     was first reached. events: event_id, key, us, n."""
@@ -152,9 +188,9 @@ def budget(events: DataFrame, limit: int, margin: float = 0.9, key: str = "resou
     return rows.select("event_id", F.col("before").alias("used_before"), opened.alias("open"), (~opened & (F.col("before") + F.col("n") >= enforced * 0.8)).alias("alert"))
 
 
-def storage_breaker(checks: DataFrame, limit: int, margin: float = 0.9, alert_share: float = 0.8, cache_us: int = 60_000_000, key: str = "store") -> DataFrame:
+def breaker(limit: int, margin: float = 0.9, alert_share: float = 0.8, cache_us: int = 60_000_000) -> Fold:
     """Whether writes are allowed by the size of a store, which is read anew once a reading is ``cache_us`` old; a reading that
-    failed (null) counts as 0. checks: event_id, key, us, size."""
+    failed (null) counts as 0."""
     enforced = math.floor(limit * margin)
 
     def step(state, row):
@@ -164,7 +200,12 @@ def storage_breaker(checks: DataFrame, limit: int, margin: float = 0.9, alert_sh
         name = "open" if size >= enforced else "alert" if size >= alert_share * enforced else "closed"
         return (at, size), {"event_id": row.event_id, "state": name, "allowed": name != "open", "size": size}
 
-    return fold(checks.select("event_id", key, "us", "size"), key, ["us", "event_id"], lambda: (None, 0), step, "event_id long, state string, allowed boolean, size long")
+    return Fold(["size"], lambda: (None, 0), step, "event_id long, state string, allowed boolean, size long", lambda state: state[0] + cache_us)
+
+
+def storage_breaker(checks: DataFrame, limit: int, margin: float = 0.9, alert_share: float = 0.8, cache_us: int = 60_000_000, key: str = "store") -> DataFrame:
+    """checks: event_id, key, us, size."""
+    return breaker(limit, margin, alert_share, cache_us).over(checks, key)
 
 
 def first_alerts(alerts: DataFrame, key: str) -> DataFrame:
