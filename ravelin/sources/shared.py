@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import time
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +40,54 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Files:
+    """Small files under one root of any Hadoop file system, by relative names."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, jvm = root.rstrip("/"), spark.sparkContext._jvm
+        self.hadoop, self.conf = jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        self.path = lambda name: self.hadoop.Path(f"{self.root}/{name}" if name else self.root)
+        self.fs = self.path("").getFileSystem(self.conf)
+        self.none = spark.sparkContext._gateway.new_array(self.hadoop.Options.Rename, 0)
+
+    def names(self, folder: str) -> list[str]:
+        if not self.fs.exists(self.path(folder)):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(folder)) if not s.getPath().getName().startswith("."))
+
+    def get(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """A file that appears whole, for the first of several writers only; False for the others. The text is written beside and then
+        renamed without leave to overwrite, which a distributed file system does as one step; a local one links instead."""
+        beside = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}".lstrip("/")
+        out = self.fs.create(self.path(beside), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                local = lambda x: unquote(urlparse(self.path(x).toString()).path)
+                os.link(local(beside), local(name))
+            else:
+                self.hadoop.FileContext.getFileContext(self.path(beside).toUri(), self.conf).rename(self.path(beside), self.path(name), self.none)
+            return True
+        except Exception:
+            if self.fs.exists(self.path(name)):
+                return False
+            raise
+        finally:
+            self.fs.delete(self.path(beside), False)
+
+    def age(self, name: str) -> float:
+        """Seconds since it was changed."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)

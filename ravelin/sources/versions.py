@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import numbered
+from .shared import Files
 
 
 class IndexIntegrityError(RuntimeError):
@@ -21,7 +23,8 @@ class VersionStore:
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self.path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files = Files(spark, root)
+        self.fs = self.files.fs
 
     @staticmethod
     def digest(table: DataFrame) -> str:
@@ -30,11 +33,8 @@ class VersionStore:
         return f"{row['s']}:{row['n']}"
 
     def _put(self, name: str, text: str) -> None:
-        """A file that appears whole or not at all: written beside, then renamed to a name that is not there yet."""
-        out = self.fs.create(self.path(name + ".tmp"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not self.fs.rename(self.path(name + ".tmp"), self.path(name)):
+        """A file that appears whole or not at all, for one writer only."""
+        if not self.files.create(name, text):
             raise FileExistsError(f"{name}: another writer was first")
 
     def _get(self, name: str) -> dict | None:
@@ -76,24 +76,31 @@ class VersionStore:
         found = self._pointers()
         return self._get(f"registry/{found[-1]}.json") if found else {}
 
-    def set_states(self, states: dict, keep: int = 3) -> None:
-        found = self._pointers()
-        self._put(f"registry/{(found or [-1])[-1] + 1}.json", json.dumps(states))
-        for old in found[: max(0, len(found) - keep)]:
-            self.fs.delete(self.path(f"registry/{old}.json"), False)
+    def change(self, decide: Callable[[dict], dict], keep: int = 3) -> dict:
+        """Puts ``decide(states)`` in place of the states, decided anew on the newer states when another writer was first."""
+        while True:
+            found = self._pointers()
+            states = decide(self._get(f"registry/{found[-1]}.json") if found else {})
+            if self.files.create(f"registry/{(found or [-1])[-1] + 1}.json", json.dumps(states)):
+                for old in found[: max(0, len(found) - keep)]:
+                    self.fs.delete(self.path(f"registry/{old}.json"), False)
+                return states
 
     def _move(self, version: str, was: str, to: str, **about) -> None:
-        states = self.registry()
-        if states.get(version, {}).get("status") != was:
-            raise ValueError(f"{version} is not {was}")
-        states[version] |= {"status": to} | about
-        self.set_states(states)
+        def decide(states: dict) -> dict:
+            if states.get(version, {}).get("status") != was:
+                raise ValueError(f"{version} is not {was}")
+            return states | {version: states[version] | {"status": to} | about}
+
+        self.change(decide)
 
     def begin(self, version: str, created_at: int, **about) -> None:
-        states = self.registry()
-        if version in states:
-            raise ValueError(f"{version} is there")
-        self.set_states(states | {version: about | {"status": "building", "created_at": created_at}})
+        def decide(states: dict) -> dict:
+            if version in states:
+                raise ValueError(f"{version} is there")
+            return states | {version: about | {"status": "building", "created_at": created_at}}
+
+        self.change(decide)
 
     def ready(self, version: str) -> None:
         self._move(version, "building", "ready")
@@ -112,25 +119,29 @@ class VersionStore:
         return gone
 
     def activate(self, version: str) -> None:
-        states = self.registry()
-        if states.get(version, {}).get("status") != "ready":
-            raise ValueError(f"{version} is not ready")
-        for v in states.values():
-            if v["status"] == "active":
-                v["status"] = "ready"
-        states[version]["status"] = "active"
-        self.set_states(states)
+        """One version is active at any time: the one before is ready again, in the same step."""
+
+        def decide(states: dict) -> dict:
+            if states.get(version, {}).get("status") != "ready":
+                raise ValueError(f"{version} is not ready")
+            now = {k: v | {"status": "ready"} if v["status"] == "active" else v for k, v in states.items()}
+            return now | {version: states[version] | {"status": "active"}}
+
+        self.change(decide)
 
     def rollback(self) -> str:
-        states = self.registry()
-        active = next((k for k, v in states.items() if v["status"] == "active"), None)
-        ready = sorted((v["created_at"], k) for k, v in states.items() if v["status"] == "ready")
-        if not active or not ready:
-            raise ValueError("no version to roll back to")
-        states[active]["status"] = "rolled_back"
-        states[ready[-1][1]]["status"] = "active"
-        self.set_states(states)
-        return ready[-1][1]
+        chosen = []
+
+        def decide(states: dict) -> dict:
+            active = next((k for k, v in states.items() if v["status"] == "active"), None)
+            ready = sorted((v["created_at"], k) for k, v in states.items() if v["status"] == "ready")
+            if not active or not ready:
+                raise ValueError("no version to roll back to")
+            chosen.append(ready[-1][1])
+            return states | {active: states[active] | {"status": "rolled_back"}, chosen[-1]: states[chosen[-1]] | {"status": "active"}}
+
+        self.change(decide)
+        return chosen[-1]
 
 
 def kept_versions(versions: DataFrame, keep: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import state
+from ravelin.sources import tables, versions
 from ravelin.streaming import forms
 
 HOUR = 3_600_000_000
@@ -50,3 +51,104 @@ def test_folded_stream(spark, tmp_path, name):
     got = sorted(map(tuple, rows.filter("event_id < 9000").select(columns).collect()))
     assert got == sorted(map(tuple, want.collect())) and len(got) == 400
     assert max(held) >= 12 and held[-1] <= 1, held
+
+
+def test_two_writers(spark, tmp_path):
+    """Writers at once: additions and upserts of unlike keys are all there, counters lose no step, and a commit is whole."""
+    store = tables.TableStore(spark, f"file://{tmp_path}/store")
+    store.write("counter", spark.createDataFrame([("x", 0)], "name string, n int"))
+    failed = []
+
+    def work(me):
+        try:
+            for k in range(4):
+                store.run(lambda t: t.add("events", spark.createDataFrame([(me, k)], "who int, k int")))
+
+                def step(t):
+                    n = t.read("counter").first()["n"]
+                    t.write("counter", spark.createDataFrame([("x", n + 1)], "name string, n int"))
+                    t.add("steps", spark.createDataFrame([(n + 1,)], "n int"))
+
+                store.run(step)
+        except Exception as error:
+            failed.append(error)
+
+    writers = [threading.Thread(target=work, args=(me,)) for me in range(3)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert not failed
+    assert store.read("counter").first()["n"] == 12 and sorted(r["n"] for r in store.read("steps").collect()) == list(range(1, 13))
+    assert sorted(map(tuple, store.read("events").collect())) == [(a, b) for a in range(3) for b in range(4)]
+    assert store.versions() == list(range(25))
+    first, second = store.snapshot(), store.snapshot()
+    first.upsert("docs", spark.createDataFrame([("a", 1)], "doc_id string, v int"), "doc_id")
+    second.read("docs")
+    second.write("other", spark.range(3))
+    before = store.snapshot()
+    first.commit()
+    with pytest.raises(tables.Conflict, match="docs"):
+        second.commit()
+    assert store.read("other") is None and before.read("docs") is None  # a snapshot stays as it was
+    third = store.snapshot()
+    third.write("other", spark.range(3))
+    store.run(lambda t: t.add("events", spark.createDataFrame([(9, 9)], "who int, k int")))
+    third.commit()  # another table has changed meanwhile
+    assert store.read("other").count() == 3 and store.read("events").count() == 13
+    kept = store.read("counter").inputFiles()
+    assert store.vacuum(keep=2, grace_s=1e6) == [] and len(store.vacuum(keep=2, grace_s=-1.0)) >= 11
+    assert store.read("counter").inputFiles() == kept and store.read("events").count() == 13
+
+
+def test_registry_writers(spark, tmp_path):
+    """Versions that begin at once are all in the registry, and one is active after two were activated at once."""
+    store = versions.VersionStore(spark, f"file://{tmp_path}/index")
+
+    def work(me):
+        own = versions.VersionStore(spark, f"file://{tmp_path}/index")
+        own.begin(f"v{me}", me)
+        own.ready(f"v{me}")
+        own.activate(f"v{me}")
+
+    writers = [threading.Thread(target=work, args=(me,)) for me in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    states = store.registry()
+    assert set(states) == {"v0", "v1", "v2", "v3"} and sorted(v["status"] for v in states.values()) == ["active", "ready", "ready", "ready"]
+
+
+def test_resumed_pages(spark, tmp_path):
+    """A service that fails, throttles and loses a page for a while: all rows are there once, and pages that came are not asked for again."""
+    calls = f"{tmp_path}/calls"
+
+    def fetch(first, n, calls=calls):
+        with open(calls, "a") as f:
+            f.write(f"{first}\n")
+        with open(calls) as f:
+            times = f.read().split().count(str(first))
+        if first == 30 and times <= 4:
+            raise OSError("gone")
+        if first % 20 == 0 and times == 1:
+            raise tables.Throttled(0.05)
+        if times == 1:
+            raise OSError("later")
+        return [{"v": first + i} for i in range(n) if first + i < 73]
+
+    class Unsteady(tables.PagedSource):
+        @classmethod
+        def name(cls):
+            return "unsteady"
+
+    Unsteady.fetch = staticmethod(fetch)
+    spark.dataSource.register(Unsteady)
+    store = tables.TableStore(spark, f"file://{tmp_path}/store")
+    wanted = [x for x in range(73) if x % 3]
+    with pytest.raises(OSError, match="rows are missing, the first at place 31"):
+        tables.fetch_pages(store, "rows", "unsteady", wanted, page=10, rounds=1, attempts=2, backoff=0.01)
+    told = open(calls).read().split()
+    rows = tables.fetch_pages(store, "rows", "unsteady", wanted, page=10, rounds=3, attempts=2, backoff=0.01)
+    assert sorted((r["place"], json.loads(r["row"])["v"]) for r in rows.collect()) == [(x, x) for x in wanted]
+    assert set(open(calls).read().split()[len(told) :]) == {"30"}
