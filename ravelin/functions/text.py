@@ -99,3 +99,14 @@ def coverage(tokens: Column, context: Column) -> Column:
     """Share of tokens (with repeats) that the context has; 1 without tokens."""
     present = F.size(F.filter(tokens, lambda t: F.array_contains(context, t)))
     return F.when(F.size(tokens) == 0, 1.0).otherwise(present / F.size(tokens))
+
+
+def held(tokens: Column, missing: Column) -> Column:
+    """How many of the tokens (with repeats) are not among ``missing``, the distinct tokens that a context lacks: a column made with
+    ``array_except`` from the context, which is hashed once a row, where looking up each token walks the context."""
+    return F.size(tokens) - F.size(F.filter(tokens, lambda t: F.array_contains(missing, t)))
+
+
+def share_held(tokens: Column, missing: Column) -> Column:
+    """``coverage`` by the missing tokens."""
+    return F.when((F.size(tokens) == 0) | (F.size(missing) == 0), 1.0).otherwise(held(tokens, missing) / F.size(tokens))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalised, citation_markers, content_tokens, coverage, first_sentences, is_idk, numerals, split_sentences, without_markers
+from ..functions.text import capitalised, citation_markers, content_tokens, first_sentences, held, is_idk, numerals, share_held, split_sentences, without_markers
 
 THRESHOLD = 0.7
 #: Statuses of answers that may be cached, and the names of the features.
@@ -13,31 +13,42 @@ CACHEABLE = ("ok", "ok_partial_rejected", "ok_no_answer", "no_results", "degrade
 FEATURES = ["coverage", "bigram_coverage", "longest_shared_run", "numeral_coverage", "has_numeral", "long_token_coverage", "capitalised_coverage", "missing_count", "token_count", "position", "is_first", "context_size"]
 
 
+def pairs(tokens: Column) -> Column:
+    """Neighbouring tokens, joined by a space."""
+    return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
 def sentences(answers: DataFrame, answer_col: str, context_col: str) -> DataFrame:
-    """One row a sentence: index, sentence, total, its content tokens and the distinct content tokens of the context."""
+    """One row a sentence: index, sentence, total, its content tokens, those that the context lacks (``missing``), and of the context
+    the distinct content tokens, pairs of them and numerals. What is made of the context is made once an answer, below the
+    explosion into sentences; what nobody reads is not made."""
     keep = [c for c in answers.columns if c not in (answer_col, context_col)]
-    # The context is tokenised once an answer, before its sentences are exploded.
-    rows = answers.select(*keep, split_sentences(F.col(answer_col)).alias("s"), F.array_distinct(content_tokens(F.col(context_col))).alias("context"), content_tokens(F.col(context_col)).alias("context_list"), F.col(context_col).alias("context_text"))
-    rows = rows.select(*keep, "context", "context_list", "context_text", F.size("s").alias("total"), F.posexplode("s").alias("index", "sentence"))
-    return rows.withColumn("tokens", content_tokens(F.col("sentence")))
+    rows = answers.select(*keep, split_sentences(F.col(answer_col)).alias("s"), content_tokens(F.col(context_col)).alias("context_list"), numerals(F.col(context_col)).alias("context_nums"))
+    rows = rows.select(*keep, "s", F.array_distinct("context_list").alias("context"), F.array_distinct(pairs(F.col("context_list"))).alias("context_bigrams"), "context_nums")
+    rows = rows.select(*keep, "context", "context_bigrams", "context_nums", F.size("s").alias("total"), F.posexplode("s").alias("index", "sentence"))
+    rows = rows.withColumn("tokens", content_tokens(F.col("sentence")))
+    return rows.withColumn("missing", F.array_except("tokens", "context"))
 
 
 def support(rows: DataFrame, *by: str, threshold: float = THRESHOLD) -> DataFrame:
     """Sentences and tokens without support; sentences without content tokens do not count."""
-    rows = rows.withColumn("c", coverage(F.col("tokens"), F.col("context"))).withColumn("missing", F.size(F.filter("tokens", lambda t: ~F.array_contains(F.col("context"), t))))
+    rows = rows.withColumn("c", share_held(F.col("tokens"), F.col("missing"))).withColumn("lost", F.size("tokens") - held(F.col("tokens"), F.col("missing")))
     rows = rows.filter(F.size("tokens") > 0)
-    return rows.groupBy(*by).agg(F.sum((F.col("c") < threshold).cast("long")).alias("unsupported_sentences"), F.count("*").alias("sentences"), F.sum("missing").alias("unsupported_tokens"), F.sum(F.size("tokens")).alias("tokens"))
+    return rows.groupBy(*by).agg(F.sum((F.col("c") < threshold).cast("long")).alias("unsupported_sentences"), F.count("*").alias("sentences"), F.sum("lost").alias("unsupported_tokens"), F.sum(F.size("tokens")).alias("tokens"))
 
 
 def verdicts(answers: DataFrame, answer_col: str, chunks_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a sentence with content: cited chunks (1-based), verdict and coverage. chunks: array of texts."""
+    """One row a sentence with content: cited chunks (1-based), verdict and coverage. chunks: array of texts, tokenised once an answer."""
     keep = [c for c in answers.columns if c not in (answer_col, chunks_col)]
-    rows = answers.select(*keep, F.transform(chunks_col, lambda c: F.array_distinct(content_tokens(c))).alias("chunks"), F.posexplode(split_sentences(F.col(answer_col))).alias("index", "sentence"))
+    rows = answers.select(*keep, F.transform(chunks_col, lambda c: F.array_distinct(content_tokens(c))).alias("chunks"), split_sentences(F.col(answer_col)).alias("s"))
+    rows = rows.select(*keep, "chunks", F.array_distinct(F.flatten("chunks")).alias("pool"), "s")
+    rows = rows.select(*keep, "chunks", "pool", F.posexplode("s").alias("index", "sentence"))
     rows = rows.withColumn("cited", citation_markers(F.col("sentence"))).withColumn("tokens", content_tokens(without_markers(F.col("sentence")))).filter(F.size("tokens") > 0)
     bad = F.exists("cited", lambda m: (m < 1) | (m > F.size("chunks")))
     valid = F.filter("cited", lambda m: (m >= 1) & (m <= F.size("chunks")))
-    context = F.when(F.size("cited") > 0, F.flatten(F.transform(valid, lambda m: F.element_at("chunks", m)))).otherwise(F.flatten("chunks"))
-    rows = rows.withColumn("bad", bad).withColumn("c", coverage(F.col("tokens"), context))
+    context = F.when(F.size("cited") > 0, F.flatten(F.transform(valid, lambda m: F.element_at("chunks", m)))).otherwise(F.col("pool"))
+    rows = rows.withColumn("bad", bad).withColumn("missing", F.array_except("tokens", context))
+    rows = rows.withColumn("c", share_held(F.col("tokens"), F.col("missing")))
     verdict = F.when(F.col("bad"), "invalid_citation").when(F.col("c") < threshold, "unsupported").when(F.size("cited") > 0, "supported").otherwise("supported_uncited")
     return rows.select(*keep, "index", "sentence", "cited", verdict.alias("verdict"), F.when(F.col("bad"), 0.0).otherwise(F.round("c", 4)).alias("coverage"))
 
@@ -104,29 +115,28 @@ def extractive(text: Column) -> Column:
 
 def features(rows: DataFrame) -> DataFrame:
     """The twelve features of ``sentences`` rows, in the order of FEATURES."""
-    t, ctx, n = F.col("tokens"), F.col("context"), F.size("tokens")
-    pairs = lambda a: F.when(F.size(a) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat(F.element_at(a, i), F.lit(" "), F.element_at(a, i + 1))))
-    share = lambda items, pool, empty: F.when(F.size(items) == 0, empty).otherwise(F.size(F.filter(items, lambda x: F.array_contains(pool, x))) / F.size(items))
-    rows = rows.withColumns({"bigrams": pairs(t), "context_bigrams": F.array_distinct(pairs(F.col("context_list"))), "nums": numerals(F.col("sentence")), "context_nums": numerals(F.col("context_text")), "caps": capitalised(F.col("sentence")), "long": F.filter(t, lambda x: F.length(x) >= 8)})
+    t, ctx, n, missing = F.col("tokens"), F.col("context"), F.size("tokens"), F.col("missing")
+    rows = rows.withColumns({"bigrams": pairs(t), "nums": numerals(F.col("sentence")), "caps": capitalised(F.col("sentence")), "long": F.filter(t, lambda x: F.length(x) >= 8)})
+    lost = {"bigrams": "context_bigrams", "nums": "context_nums", "caps": "context"}
+    rows = rows.withColumns({f"{c} lost": F.array_except(c, pool) for c, pool in lost.items()})
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-    step = lambda s, x: F.when(F.array_contains(ctx, x), F.struct((s.run + 1).alias("run"), F.greatest(s.best, s.run + 1).alias("best"))).otherwise(F.struct(F.lit(0).alias("run"), s.best.alias("best")))
-    missing = F.size(F.filter(t, lambda x: ~F.array_contains(ctx, x)))
-    empty = n == 0
+    step = lambda s, x: F.when(~F.array_contains(missing, x), F.struct((s.run + 1).alias("run"), F.greatest(s.best, s.run + 1).alias("best"))).otherwise(F.struct(F.lit(0).alias("run"), s.best.alias("best")))
+    of = lambda c: F.when(n == 0, 1.0).otherwise(share_held(F.col(c), F.col(f"{c} lost")))
     values = {
-        "coverage": coverage(t, ctx),
-        "bigram_coverage": F.when(empty, 1.0).otherwise(share(F.col("bigrams"), F.col("context_bigrams"), 1.0)),
-        "longest_shared_run": F.when(empty, 1.0).otherwise(F.aggregate(t, start, step, lambda s: s.best) / n),
-        "numeral_coverage": F.when(empty, 1.0).otherwise(share(F.col("nums"), F.col("context_nums"), 1.0)),
-        "has_numeral": F.when(empty | (F.size("nums") == 0), 0.0).otherwise(1.0),
-        "long_token_coverage": F.when(empty, 1.0).otherwise(share(F.col("long"), ctx, 1.0)),
-        "capitalised_coverage": F.when(empty, 1.0).otherwise(share(F.col("caps"), ctx, 1.0)),
-        "missing_count": F.least(missing / 10, F.lit(1.0)),
+        "coverage": share_held(t, missing),
+        "bigram_coverage": of("bigrams"),
+        "longest_shared_run": F.when(n == 0, 1.0).otherwise(F.aggregate(t, start, step, lambda s: s.best) / n),
+        "numeral_coverage": of("nums"),
+        "has_numeral": F.when((n == 0) | (F.size("nums") == 0), 0.0).otherwise(1.0),
+        "long_token_coverage": F.when(n == 0, 1.0).otherwise(share_held(F.col("long"), missing)),
+        "capitalised_coverage": of("caps"),
+        "missing_count": F.least((n - held(t, missing)) / 10, F.lit(1.0)),
         "token_count": F.least(n / 40, F.lit(1.0)),
         "position": F.col("index") / F.greatest(F.col("total"), F.lit(1)),
         "is_first": (F.col("index") == 0).cast("double"),
         "context_size": F.least(F.size(ctx) / 1000, F.lit(1.0)),
     }
-    return rows.withColumns(values).drop("bigrams", "context_bigrams", "nums", "context_nums", "caps", "long")
+    return rows.withColumns(values).drop("bigrams", "nums", "caps", "long", *(f"{c} lost" for c in lost))
 
 
 def logistic(model: dict, names: list[str] = FEATURES) -> Column:

@@ -271,7 +271,7 @@ def answer_sentences(spark, sf_dir) -> DataFrame:
 
 @query(f"with {SENTENCES} select conv_id, idx as index, round(case when n = 0 then 1 else hit / n end, 6) coverage, (case when n = 0 then 1 else hit / n end) >= 0.7 supported, case when n = 0 then null else round(hit / n, 6) end coverage_or_null from cov")
 def coverage(spark, sf_dir):
-    c = X.coverage(F.col("tokens"), F.col("context"))
+    c = X.share_held(F.col("tokens"), F.col("missing"))
     return answer_sentences(spark, sf_dir).select("conv_id", "index", F.round(c, 6).alias("coverage"), (c >= 0.7).alias("supported"), F.when(F.size("tokens") > 0, F.round(c, 6)).alias("coverage_or_null"))
 
 
@@ -442,7 +442,7 @@ select method, domain, examples, auc, round(cut, 4)::double threshold, f best_f1
 @query(f"with {METHODS}")
 def method_comparison(spark, sf_dir):
     c = F.col("conv_id")
-    coverage_or_null = F.when(F.size("tokens") > 0, X.coverage(F.col("tokens"), F.col("context")))
+    coverage_or_null = F.when(F.size("tokens") > 0, X.share_held(F.col("tokens"), F.col("missing")))
     judged = answer_sentences(spark, sf_dir).select("conv_id", coverage_or_null.alias("coverage"))
     rows = answers(spark, sf_dir).select("conv_id").join(judged, "conv_id", "left").withColumns({"learned": 1 - F.col("coverage") * F.col("coverage"), "learned_flag": F.col("coverage") < 0.5})
     rows = rows.select(c.alias("example"), F.when(c % 4 != 0, F.concat(F.lit("d"), (c % 4).cast("string"))).alias("domain"), (c % 3 != 0).alias("adherence"), "coverage", "learned", "learned_flag")
@@ -487,7 +487,7 @@ def domain_rollup(spark, sf_dir):
 
 @query(f"with {SENTENCES}, c as (select conv_id, min(hit / n) m, bool_or(hit / n < 0.7) fl from cov where n > 0 group by conv_id) select conv_id, coalesce(fl, false) flagged, round(case when m is null then 0 else 1 - m end, 6) score from answers left join c using (conv_id)")
 def example_rollup(spark, sf_dir):
-    rows = answer_sentences(spark, sf_dir).filter(F.size("tokens") > 0).withColumn("c", X.coverage(F.col("tokens"), F.col("context")))
+    rows = answer_sentences(spark, sf_dir).filter(F.size("tokens") > 0).withColumn("c", X.share_held(F.col("tokens"), F.col("missing")))
     judged = rows.groupBy("conv_id").agg(F.min("c").alias("m"), F.bool_or(F.col("c") < 0.7).alias("f"))
     return answers(spark, sf_dir).select("conv_id").join(judged, "conv_id", "left").select("conv_id", F.coalesce("f", F.lit(False)).alias("flagged"), F.round(F.when(F.col("m").isNull(), 0.0).otherwise(1 - F.col("m")), 6).alias("score"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import numbered
-from .shared import Files
+from .shared import Files, written
 
 
 class IndexIntegrityError(RuntimeError):
@@ -159,4 +159,5 @@ def reusable(versions: DataFrame, corpus_sha: str, embedder: str) -> DataFrame:
 def row_numbers(chunks: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows 0.. of the chunks in order of document and index, whatever the type of the document's id: ranges of the order, numbered
     side by side and raised by the counts of the ranges before."""
-    return numbered(chunks.select("doc_id", "chunk_index", "chunk_id"), ["doc_id", "chunk_index"], "row", parts).select("chunk_id", "row")
+    keys = written(chunks.select("doc_id", "chunk_index", "chunk_id"), "chunks")  # read twice, without the texts
+    return numbered(keys, ["doc_id", "chunk_index"], "row", parts).select("chunk_id", "row")
