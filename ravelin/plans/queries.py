@@ -456,8 +456,9 @@ LABELLED = f"lab as (select lang, source, toxic actual, quality, n_chars, len({T
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.select("lang", "source", F.col("toxic").alias("actual"), "quality", "n_chars", F.size(X.tokenize(F.col("text"))).alias("n_tokens"), F.round(F.length("text") % 97 / F.lit(97.0), 3).alias("score"), (F.length("text") % 5 >= 3).alias("predicted"))
+    docs = table(spark, sf_dir, "documents")  # counts of the texts rather than texts go through the join
+    rows = docs.select("doc_id", "lang", "source", "n_chars", F.size(X.tokenize(F.col("text"))).alias("n_tokens"), F.length("text").alias("size")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.select("lang", "source", F.col("toxic").alias("actual"), "quality", "n_chars", "n_tokens", F.round(F.col("size") % 97 / F.lit(97.0), 3).alias("score"), (F.col("size") % 5 >= 3).alias("predicted"))
 
 
 @query(f"with {LABELLED}, r as (select lang, actual, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2 rk from lab), a as (select lang, sum(actual)::bigint p, sum(1 - actual)::bigint n, sum(case when actual = 1 then rk else 0 end) s from r group by lang) select lang, p positives, n negatives, round((s - p * (p + 1) / 2) / nullif(p * n, 0), 4) auc from a")
@@ -772,17 +773,17 @@ def row_mapping_text_ids(spark, sf_dir):
     return versions.row_numbers(corpus.chunk(docs, "\n"))
 
 
-#: Lines of each file that the next query writes and reads.
-JSONL_LINES = 20_000
+#: Files that the next query writes and reads.
+JSONL_FILES = 16
 
 
-@query(f"select (row // {JSONL_LINES})::bigint part, row % {JSONL_LINES} + 1 line, case when text is null then 'missing fields: text' when not regexp_matches(text, '[^ \t\n\x0b\f\r]') then 'text must be a non-empty string' end reason, doc_id, text_sha256 from (select row_number() over (order by doc_id) - 1 as row, text, doc_id::varchar doc_id, case when text is not null then sha256(text) end text_sha256 from documents)")
+@query("select row_number() over (order by doc_id) - 1 as row, case when text is null then 'missing fields: text' when not regexp_matches(text, '[^ \\t\\n\\x0b\\f\\r]') then 'text must be a non-empty string' end reason, doc_id::varchar doc_id, case when text is not null then sha256(text) end text_sha256 from documents")
 def jsonl_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("untitled").alias("title"), "text", "source")
     path = fresh_path(spark, "jsonl")
-    corpus.write_jsonl(docs, path, "doc_id", JSONL_LINES)
+    corpus.write_jsonl(docs, path, "doc_id", JSONL_FILES)
     rows = corpus.validate(read_lines(spark, path))
-    return rows.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("part"), "line", "reason", "doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return rows.select("row", "reason", "doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("with n as (select doc_id, sha256(case when doc_id % 10 = 3 then text || '!' else text end) sha from documents), o as (select doc_id, sha256(text) was from documents where doc_id % 4 <> 0) select doc_id, case when was is null then 'new' when was = sha then 'unchanged' else 'changed' end state from n left join o using (doc_id)")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalise_newlines, paragraphs, slug
-from ..operators.ordered import numbered
 from .lines import read_lines
 
 REQUIRED = ("doc_id", "text", "title")
@@ -26,10 +25,10 @@ class CorpusFormatError(ValueError):
 
 
 def validate(lines: DataFrame) -> DataFrame:
-    """The fields of each line (file, line, value) and ``reason``, null for a valid one."""
+    """The fields of each line (file, line, row, value) and ``reason``, null for a valid one."""
     keys = F.json_object_keys("value")
     missing = F.array_sort(F.filter(F.array(*map(F.lit, REQUIRED)), lambda k: ~F.array_contains(keys, k)))
-    rows = lines.select("file", "line", "value", keys.alias("keys"), missing.alias("missing"), F.from_json("value", SCHEMA).alias("d"))
+    rows = lines.select("file", "line", "row", "value", keys.alias("keys"), missing.alias("missing"), F.from_json("value", SCHEMA).alias("d"))
     told = F.try_parse_json("value")
     text = F.when(F.schema_of_variant(F.try_variant_get(told, "$.text", "variant")) == "STRING", F.try_variant_get(told, "$.text", "string"))
     reason = (
@@ -37,7 +36,7 @@ def validate(lines: DataFrame) -> DataFrame:
         .when(F.size("missing") > 0, F.concat(F.lit("missing fields: "), F.array_join("missing", ", ")))
         .when(text.isNull() | ~text.rlike(r"\S"), "text must be a non-empty string")
     )
-    return rows.select("file", "line", reason.alias("reason"), "d.*")
+    return rows.select("file", "line", "row", reason.alias("reason"), "d.*")
 
 
 def load_strict(spark: SparkSession, path: str, separator: str = "\n\n") -> DataFrame:
@@ -68,9 +67,9 @@ def chunk(docs: DataFrame, separator: str = "\n\n", *, id_col: str = "doc_id", t
 
 
 def corpus_hash(chunks: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of ids and texts of all chunks in order, and their number. One digest over everything is sequential:
-    ranges are sorted in parallel, then one task streams them in order and holds no more than a batch. ``corpus_digest`` is the
-    form that grows with the cluster."""
+    """One row: the SHA-256 of ids and texts of all chunks in order, and their number. One digest over everything is sequential: one
+    task sorts the chunks (on disk where they are many) and streams them, holding no more than a batch. ``corpus_digest`` is the form
+    that grows with the cluster."""
 
     def run(batches):
         total, n = hashlib.sha256(), 0
@@ -80,7 +79,7 @@ def corpus_hash(chunks: DataFrame) -> DataFrame:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()]), pa.array([n])], ["corpus_sha256", "chunks"])
 
-    ordered = chunks.orderBy("doc_id", "chunk_index").select("chunk_id", "text").coalesce(1)
+    ordered = chunks.repartition(1).sortWithinPartitions("doc_id", "chunk_index").select("chunk_id", "text")
     return ordered.mapInArrow(run, "corpus_sha256 string, chunks long")
 
 
@@ -101,11 +100,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def write_jsonl(docs: DataFrame, path: str, key: str, lines: int) -> None:
-    """Documents as JSON lines, in files of ``lines`` lines each (the last has the rest), in order of a key that names a row: file
-    ``file=k`` begins with line k * lines of the whole. Files are sorted and written side by side."""
-    rows = numbered(docs, [key], "row").select(F.floor(F.col("row") / lines).alias("file"), "row", F.to_json(F.struct(*docs.columns)).alias("value"))
-    rows.repartition("file").sortWithinPartitions("file", "row").select("file", "value").write.partitionBy("file").option("maxRecordsPerFile", 0).text(path)
+def write_jsonl(docs: DataFrame, path: str, key: str, files: int) -> None:
+    """Documents as JSON lines in so many files at most, whose names sort as the key does: ranges of the key, sorted and written side by
+    side. The files' contents one after the other are the same however they are cut; null keys come first."""
+    ordered = docs.repartitionByRange(files, F.asc_nulls_first(key)).sortWithinPartitions(F.asc_nulls_first(key))
+    ordered.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:

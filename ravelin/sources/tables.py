@@ -165,12 +165,14 @@ class Transaction:
             tables = entry["tables"]
 
 
-def write_reproducible(rows: DataFrame, path: str, *, name_col: str = "dataset_name", id_col: str = "id") -> None:
-    """JSON lines in one file, in the order of name ('' for none) and id as a string, keys sorted, line feeds: equal rows give equal
-    bytes. One task streams the sorted ranges, as one file asks for."""
+def write_reproducible(rows: DataFrame, path: str, *, name_col: str = "dataset_name", id_col: str = "id", files: int = 1) -> None:
+    """JSON lines in the order of name ('' for none) and id as a string, keys sorted, line feeds: equal rows give equal bytes, taken
+    file after file in order of the files' names, however many files there are. Each file is a range of the order, sorted by the
+    task that writes it."""
     line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-    ordered = rows.select(F.coalesce(F.col(name_col), F.lit("")).alias("n"), F.col(id_col).cast("string").alias("i"), line.alias("value")).orderBy("n", "i", "value")
-    ordered.select("value").coalesce(1).write.text(path, lineSep="\n")
+    keyed = rows.select(F.coalesce(F.col(name_col), F.lit("")).alias("n"), F.col(id_col).cast("string").alias("i"), line.alias("value"))
+    ordered = keyed.repartition(1) if files == 1 else keyed.repartitionByRange(files, "n", "i", "value")
+    ordered.sortWithinPartitions("n", "i", "value").select("value").write.text(path, lineSep="\n")
 
 
 def file_digest(spark: SparkSession, path: str) -> str:

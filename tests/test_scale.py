@@ -12,7 +12,7 @@ from ravelin.operators import quantiles as exact
 from ravelin.operators import state, timeline
 from ravelin.operators.quantiles import at_ranks, quantiles
 from ravelin.plans import queries as plans
-from ravelin.sources import corpus, lines, versions
+from ravelin.sources import corpus, lines, tables, versions
 from ravelin.sources.lines import read_lines
 
 
@@ -37,6 +37,7 @@ def test_lines(spark, tmp_path, small_blocks):
         want |= {(name, k): x for k, x in enumerate(lines, 1) if x.strip()}
     rows = read_lines(spark, f"file://{tmp_path}")
     got = {(r["file"].rsplit("/", 1)[1][0], r["line"]): r["value"] for r in rows.collect()}
+    assert [k for _, k in sorted((r["row"], (r["file"], r["line"])) for r in rows.collect())] == sorted((r["file"], r["line"]) for r in rows.collect())
     assert got == want and spark.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 20
     assert read_lines(spark, f"file://{tmp_path}", blank=True).filter("value = ''").count() > 0
     plan = rows._jdf.queryExecution().executedPlan().toString()
@@ -77,12 +78,25 @@ def test_row_numbers(spark, tmp_path):
 
 
 def test_jsonl_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(plans, "JSONL_LINES", 7)
-    docs = spark.createDataFrame([(k, None if k == 5 else " " if k == 6 else f"text {k}\n  end", "s") for k in range(1, 40)], "doc_id long, text string, source string").repartition(3)
+    monkeypatch.setattr(plans, "JSONL_FILES", 7)
+    docs = spark.createDataFrame([(k, None if k == 5 else " " if k == 6 else f"text {k}\n  end", "s") for k in range(1, 40)], "doc_id long, text string, source string").repartition(3)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in plans.jsonl_scan(spark, str(tmp_path)).collect()}
-    assert all((got[str(k)]["part"], got[str(k)]["line"]) == divmod(k - 1, 7)[:1] + ((k - 1) % 7 + 1,) for k in range(1, 40))
+    assert {int(i): r["row"] for i, r in got.items()} == {k: k - 1 for k in range(1, 40)}
     assert got["5"]["reason"] == "missing fields: text" and got["6"]["reason"].startswith("text must") and got["7"]["reason"] is None
+    rows = read_lines(spark, str(tmp_path / "documents.parquet"), blank=True)
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reproducible_in_files(spark, tmp_path):
+    """The bytes do not depend on how rows are cut, neither before nor by the writer."""
+    rng = random.Random(15)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(300), f"z{k}") for k in range(200)]
+    found = set()
+    for k, (parts, files) in enumerate([(1, 1), (5, 1), (3, 4), (7, 9)]):
+        tables.write_reproducible(spark.createDataFrame(rows, "dataset_name string, id long, z string").repartition(parts), f"{tmp_path}/{k}", files=files)
+        found.add(b"".join(p.read_bytes() for p in sorted((tmp_path / str(k)).glob("part-*"))))
+    assert len(found) == 1 and len(found.pop().splitlines()) == 200
 
 
 @pytest.mark.parametrize("bits,few", [(16, 0), (7, 20)])
