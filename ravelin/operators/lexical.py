@@ -26,7 +26,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n and avgdl, over all documents, those without tokens included."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text_col)))).alias("avgdl"))
+    length = F.coalesce(F.size(tokenize(F.col(text_col))), F.lit(0))
+    return docs.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
 
 
 def term_stats(df: DataFrame, stats: DataFrame) -> DataFrame:

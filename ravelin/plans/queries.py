@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dense, fusion, grounding, learning, lexical, metrics, pipelines, state
+from ..operators import dense, fusion, grounding, impacts, learning, lexical, metrics, pipelines, state
 from ..operators.quantiles import at_ranks, quantiles
 from ..sources import corpus, versions
 from ..sources.lines import read_lines
 from ..sources.shared import fresh_path
+from ..sources.vectors import VectorIndex
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -130,6 +131,13 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25(asked(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
 
 
+@query(f"with {BM25} select qid, id, score, rank from bm25 where rank <= 10")
+def bm25_stored(spark, sf_dir):
+    path = fresh_path(spark, "impacts")
+    impacts.build(table(spark, sf_dir, "documents"), path)
+    return impacts.search(asked(spark, sf_dir), path, 10)
+
+
 @query(f"with {BM25} select term, df, round(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)), 6) idf from dfs, stats")
 def term_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -164,6 +172,15 @@ def dense_topk(spark, sf_dir):
     return dense.dense_topk(rows.filter("id % 20 = 0").withColumnRenamed("id", "qid"), rows, 10)
 
 
+@query("select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) rank from (select q.vec_id qid, d.vec_id id, round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) score from embeddings q, embeddings d where q.vec_id % 20 = 0)) where rank <= 10")
+def stored_dense_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = VectorIndex(versions.VersionStore(spark, fresh_path(spark, "vectors")))
+    index.write("v1", rows, 1)
+    index.store.activate("v1")
+    return index.search(rows.filter("id % 20 = 0").withColumnRenamed("id", "qid"), 10)
+
+
 FUSED = f"""{BM25}, {HASHED('dv', 'documents', 'doc_id')}, qtext as (select item_id, {PREFIX} text from benchmark), {HASHED('qv', 'qtext', 'item_id')},
 dense as (select *, row_number() over (partition by qid order by score desc, id) rank from (select q.id qid, d.id id, round(sum(q.weight * d.weight), 6) score from qv q join dv d using (bucket) group by all)),
 lists as (select qid, id, rank, 0 l from bm25 where rank <= 30 union all select qid, id, rank, 1 from dense where rank <= 30),
@@ -773,15 +790,11 @@ def row_mapping_text_ids(spark, sf_dir):
     return versions.row_numbers(corpus.chunk(docs, "\n"))
 
 
-#: Files that the next query writes and reads.
-JSONL_FILES = 16
-
-
 @query("select row_number() over (order by doc_id) - 1 as row, case when text is null then 'missing fields: text' when not regexp_matches(text, '[^ \\t\\n\\x0b\\f\\r]') then 'text must be a non-empty string' end reason, doc_id::varchar doc_id, case when text is not null then sha256(text) end text_sha256 from documents")
 def jsonl_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("untitled").alias("title"), "text", "source")
     path = fresh_path(spark, "jsonl")
-    corpus.write_jsonl(docs, path, "doc_id", JSONL_FILES)
+    corpus.write_jsonl(docs, path, "doc_id")
     rows = corpus.validate(read_lines(spark, path))
     return rows.select("row", "reason", "doc_id", F.sha2("text", 256).alias("text_sha256"))
 

@@ -100,9 +100,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def write_jsonl(docs: DataFrame, path: str, key: str, files: int) -> None:
-    """Documents as JSON lines in so many files at most, whose names sort as the key does: ranges of the key, sorted and written side by
-    side. The files' contents one after the other are the same however they are cut; null keys come first."""
+def write_jsonl(docs: DataFrame, path: str, key: str, files: int | None = None) -> None:
+    """Documents as JSON lines in so many files at most (``spark.sql.shuffle.partitions`` where none is said), whose names sort as the key
+    does: ranges of the key, sorted and written side by side. The files' contents one after the other are the same however they are
+    cut; null keys come first."""
+    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(files, F.asc_nulls_first(key)).sortWithinPartitions(F.asc_nulls_first(key))
     ordered.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.option("lineSep", "\n").text(path)
 

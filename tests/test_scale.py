@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import quantiles as exact
-from ravelin.operators import state, timeline
+from ravelin.operators import impacts, lexical, state, timeline
+from ravelin.operators.blocks import Best
 from ravelin.operators.quantiles import at_ranks, quantiles
 from ravelin.plans import queries as plans
 from ravelin.sources import corpus, lines, tables, versions
@@ -77,8 +78,7 @@ def test_row_numbers(spark, tmp_path):
         assert {r["chunk_id"]: r["row"] for r in versions.row_numbers(chunks, parts).collect()} == want
 
 
-def test_jsonl_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(plans, "JSONL_FILES", 7)
+def test_jsonl_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(k, None if k == 5 else " " if k == 6 else f"text {k}\n  end", "s") for k in range(1, 40)], "doc_id long, text string, source string").repartition(3)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in plans.jsonl_scan(spark, str(tmp_path)).collect()}
@@ -195,3 +195,35 @@ def test_hot_key_uses_all_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(sizes) >= 12 and max(sizes) < 4000 / 4
+
+
+def test_impact_index(spark, tmp_path):
+    """The pruned search gives what the plain one gives, and looks at fewer postings."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randrange(0, 40))) + (" rare" * (i % 97 == 0))) for i in range(1500)] + [(5000, None), (5001, "")], "doc_id long, text string").repartition(4)
+    asked = [(q, " ".join(rng.sample(words, rng.randrange(1, 6)))) for q in range(40)] + [(40, "rare w0 w1"), (41, "unknown"), (42, ""), (43, None), (44, "w0")]
+    queries = spark.createDataFrame(asked, "qid int, query string")
+    path = f"file://{tmp_path}/index"
+    impacts.build(docs, path, shard_docs=400, block_docs=16)
+    for k in (1, 7):
+        want = sorted(map(tuple, lexical.bm25(queries, docs, k).select("qid", "id", "score", "rank").collect()))
+        for most in (5000, 10):
+            assert sorted(map(tuple, impacts.search(queries, path, k, max_queries=most).select("qid", "id", "score", "rank").collect())) == want
+    with pytest.raises(Exception):
+        impacts.build(docs, path)
+    with pytest.raises(ValueError):
+        impacts.build(docs.limit(0), f"file://{tmp_path}/none")
+    with pytest.raises(ValueError):
+        impacts.search(queries, path, 0)
+    assert impacts.search(queries.limit(0), path).isEmpty()
+    texts = spark.createDataFrame([("a", "oak elm"), ("b", "oak oak"), (None, "oak")], "doc_id string, text string")
+    impacts.build(texts, f"file://{tmp_path}/text")
+    assert [r["id"] for r in impacts.search(queries.limit(1).select("qid", F.lit("oak").alias("query")), f"file://{tmp_path}/text").orderBy("rank").collect()] == ["b", "a"]
+    shard = impacts.Shard(64)
+    n = np.full(64, 8)
+    shard.put(0, np.arange(64), n, np.full(64, 0.5), np.arange(512), np.full(512, 0.5))  # common
+    shard.put(1, np.array([3, 40]), np.array([2, 2]), np.array([2.0, 1.9]), np.array([24, 25, 320, 321]), np.array([2.0, 1.0, 1.9, 1.8]))
+    best = Best(1, 3, True)
+    shard.search(best, 0, [(0, 0.1), (1, 5.0)])
+    assert best.ids[0] == [24, 320, 321] and shard.read < 100
