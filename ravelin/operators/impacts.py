@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import tokenize
 from .blocks import Best
-from .lexical import K1, B, asked_terms, corpus_stats, postings, ranked
+from .lexical import K1, B, asked_terms, corpus_stats, ranked
 
 #: What rounding of sums may add to a bound.
 SLACK = 1e-5
@@ -30,25 +31,74 @@ SLACK = 1e-5
 
 def build(docs: DataFrame, path: str, *, shard_docs: int = 4096, block_docs: int = 64, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Stores the index under a path of any file system. A stored index is never built over; a corpus without documents is an error.
-    Postings are shuffled to their (shard, term); a group holds a shard's documents at most, whatever the term."""
+    Texts are shuffled once, to their shards; a task makes a shard's postings when it has read the shard's documents, of which there
+    are about ``shard_docs``, whatever the terms."""
     spark = docs.sparkSession
     stats = corpus_stats(docs, text_col).first()
     if not stats["n"]:
         raise ValueError("empty corpus")
-    shards, blocks = max(1, math.ceil(stats["n"] / shard_docs)), max(1, shard_docs // block_docs)
+    shards, blocks, average = max(1, math.ceil(stats["n"] / shard_docs)), max(1, shard_docs // block_docs), float(stats["avgdl"] or 1)
     h = F.xxhash64("id")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"] or 1))))
-    rows = postings(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).select("term", "id", F.pmod(h, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(h, 20), F.lit(blocks)).cast("int").alias("block"), weight.alias("weight"))
-    held = rows.groupBy("shard", "term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("p"))
-    parts = F.array_sort(F.collect_list(F.struct("block", F.size("p").alias("n"), F.array_max("p.weight").alias("top"), F.col("p.id").alias("ids"), F.col("p.weight").alias("weights"))))
-    index = held.groupBy("shard", "term").agg(parts.alias("b")).select("shard", "term", "b.block", "b.n", "b.top", F.flatten("b.ids").alias("ids"), F.flatten("b.weights").alias("weights"))
-    index.sortWithinPartitions("term", "shard").write.mode("errorifexists").parquet(f"{path}/impacts")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows = rows.select(F.pmod(h, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(h, 20), F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "id").select("shard", "block", "id", tokenize(F.col("text")).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for first, stop in zip(cut, cut[1:]):
+                if first < stop:
+                    if held and held[0].column(0)[0].as_py() != shard[first]:
+                        yield from inverted(held, average)
+                        held = []
+                    held.append(batch.slice(first, stop - first))
+        if held:
+            yield from inverted(held, average)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    index = dealt.mapInArrow(run, f"shard long, term string, block array<int>, n array<int>, top array<double>, ids array<{kind}>, weights array<double>")
+    index.write.mode("errorifexists").parquet(f"{path}/impacts")
     counts = spark.read.parquet(f"{path}/impacts").groupBy("term").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("df"))
     counts.sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/terms")
     about = spark.createDataFrame([(int(stats["n"]), blocks)], "n long, blocks int")
     about.write.mode("errorifexists").parquet(f"{path}/stats")
 
 
+def inverted(batches: list[pa.RecordBatch], average: float) -> Iterator[pa.RecordBatch]:
+    """The index rows of one shard's documents (shard, block, id, tokens), which come in order of their ids; by term."""
+    column = lambda c: pa.concat_arrays([b.column(c) for b in batches])
+    tokens, ids, block = column(3), column(2), column(1).to_numpy()
+    coded = tokens.flatten().dictionary_encode()
+    names, length = coded.dictionary, np.diff(tokens.offsets.to_numpy())
+    if not len(names):
+        return
+    pair, tf = np.unique(np.repeat(np.arange(len(length)), length) * len(names) + coded.indices.to_numpy(), return_counts=True)
+    doc, term = pair // len(names), pair % len(names)
+    place = np.argsort(np.array(names.to_pylist(), object), kind="stable")  # terms in order of their names
+    rank = np.empty(len(names), np.int64)
+    rank[place] = np.arange(len(names))
+    order = np.lexsort((doc, block[doc], rank[term]))
+    doc, tf, term = doc[order], tf[order], rank[term][order]
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
+    new = np.ones(len(doc), bool)
+    new[1:] = (term[1:] != term[:-1]) | (block[doc][1:] != block[doc][:-1])
+    start = np.flatnonzero(new)
+    of = term[start]
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+    cells = np.searchsorted(of, np.arange(len(names) + 1))
+    posts = np.searchsorted(term, np.arange(len(names) + 1))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(names), batches[0].column(0)[0].as_py()), pa.int64()), names.take(pa.array(place)).cast(pa.string()),
+            lists(cells, pa.array(block[doc[start]], pa.int32())), lists(cells, pa.array(np.diff(np.append(start, len(doc))), pa.int32())), lists(cells, pa.array(np.maximum.reduceat(weight, start))),
+            lists(posts, ids.take(pa.array(doc))), lists(posts, pa.array(weight)),
+        ],
+        ["shard", "term", "block", "n", "top", "ids", "weights"],
+    )
+
+
 class Shard:
     """A shard's postings of some terms: block numbers, places of the blocks' postings, greatest weights, ids and weights."""
 
