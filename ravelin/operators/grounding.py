@@ -18,16 +18,25 @@ def pairs(tokens: Column) -> Column:
     return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def sentences(answers: DataFrame, answer_col: str, context_col: str) -> DataFrame:
-    """One row a sentence: index, sentence, total, its content tokens, those that the context lacks (``missing``), and of the context
-    the distinct content tokens, pairs of them and numerals. What is made of the context is made once an answer, below the
-    explosion into sentences; what nobody reads is not made."""
+def sentences(answers: DataFrame, answer_col: str, context_col: str, parts: bool = False) -> DataFrame:
+    """One row a sentence: index, sentence, total, its content tokens, those that the context lacks (``missing``) and ``context_size``, the
+    number of the context's distinct tokens; with ``parts`` also pairs of tokens, numerals and capitalised words, and which of them the
+    context lacks. The whole answer meets the context once; what the context lacks is then dealt to the sentences, and only small
+    rows come out of the explosion: a long context is neither made, hashed nor copied for each sentence."""
     keep = [c for c in answers.columns if c not in (answer_col, context_col)]
-    rows = answers.select(*keep, split_sentences(F.col(answer_col)).alias("s"), content_tokens(F.col(context_col)).alias("context_list"), numerals(F.col(context_col)).alias("context_nums"))
-    rows = rows.select(*keep, "s", F.array_distinct("context_list").alias("context"), F.array_distinct(pairs(F.col("context_list"))).alias("context_bigrams"), "context_nums")
-    rows = rows.select(*keep, "context", "context_bigrams", "context_nums", F.size("s").alias("total"), F.posexplode("s").alias("index", "sentence"))
-    rows = rows.withColumn("tokens", content_tokens(F.col("sentence")))
-    return rows.withColumn("missing", F.array_except("tokens", "context"))
+    pools = {"tokens": "context"} | ({"bigrams": "context_bigrams", "nums": "context_nums", "caps": "context"} if parts else {})
+    lost = {"tokens": "missing", "bigrams": "bigrams lost", "nums": "nums lost", "caps": "caps lost"}
+    told = F.transform(split_sentences(F.col(answer_col)), lambda x: F.struct(x.alias("sentence"), content_tokens(x).alias("tokens")))
+    rows = answers.select(*keep, told.alias("s"), content_tokens(F.col(context_col)).alias("context_list"), F.col(context_col).alias("context_text"))
+    if parts:
+        more = lambda x: F.struct(x.sentence.alias("sentence"), x.tokens.alias("tokens"), pairs(x.tokens).alias("bigrams"), numerals(x.sentence).alias("nums"), capitalised(x.sentence).alias("caps"))
+        rows = rows.select(*keep, F.transform("s", more).alias("s"), "context_list", F.array_distinct(pairs(F.col("context_list"))).alias("context_bigrams"), numerals(F.col("context_text")).alias("context_nums"))
+    rows = rows.withColumn("context", F.array_distinct("context_list"))
+    without = [F.array_except(F.flatten(f"s.{name}"), F.col(pool)).alias(f"{name} of none") for name, pool in pools.items()]
+    rows = rows.select(*keep, "s", F.size("context").alias("context_size"), *without)
+    met = lambda x: F.struct(x.sentence.alias("sentence"), *(x[name].alias(name) for name in pools), *(F.array_intersect(x[name], F.col(f"{name} of none")).alias(lost[name]) for name in pools))
+    rows = rows.select(*keep, F.size("s").alias("total"), "context_size", F.posexplode(F.transform("s", met)).alias("index", "x"))
+    return rows.select(*keep, "index", "total", "context_size", "x.*")
 
 
 def support(rows: DataFrame, *by: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -114,11 +123,9 @@ def extractive(text: Column) -> Column:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """The twelve features of ``sentences`` rows, in the order of FEATURES."""
-    t, ctx, n, missing = F.col("tokens"), F.col("context"), F.size("tokens"), F.col("missing")
-    rows = rows.withColumns({"bigrams": pairs(t), "nums": numerals(F.col("sentence")), "caps": capitalised(F.col("sentence")), "long": F.filter(t, lambda x: F.length(x) >= 8)})
-    lost = {"bigrams": "context_bigrams", "nums": "context_nums", "caps": "context"}
-    rows = rows.withColumns({f"{c} lost": F.array_except(c, pool) for c, pool in lost.items()})
+    """The twelve features of ``sentences`` rows with their parts, in the order of FEATURES."""
+    t, n, missing = F.col("tokens"), F.size("tokens"), F.col("missing")
+    rows = rows.withColumn("long", F.filter(t, lambda x: F.length(x) >= 8)).withColumnRenamed("context_size", "size of context")
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
     step = lambda s, x: F.when(~F.array_contains(missing, x), F.struct((s.run + 1).alias("run"), F.greatest(s.best, s.run + 1).alias("best"))).otherwise(F.struct(F.lit(0).alias("run"), s.best.alias("best")))
     of = lambda c: F.when(n == 0, 1.0).otherwise(share_held(F.col(c), F.col(f"{c} lost")))
@@ -134,9 +141,9 @@ def features(rows: DataFrame) -> DataFrame:
         "token_count": F.least(n / 40, F.lit(1.0)),
         "position": F.col("index") / F.greatest(F.col("total"), F.lit(1)),
         "is_first": (F.col("index") == 0).cast("double"),
-        "context_size": F.least(F.size(ctx) / 1000, F.lit(1.0)),
+        "context_size": F.least(F.col("size of context") / 1000, F.lit(1.0)),
     }
-    return rows.withColumns(values).drop("bigrams", "nums", "caps", "long", *(f"{c} lost" for c in lost))
+    return rows.withColumns(values).drop("long", "size of context", *(x for c in ("bigrams", "nums", "caps") for x in (c, f"{c} lost")))
 
 
 def logistic(model: dict, names: list[str] = FEATURES) -> Column:

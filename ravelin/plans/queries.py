@@ -282,8 +282,8 @@ sent as (select conv_id, (i - 1)::int idx, s[i] sentence, len(s) total, context,
 cov as (select *, len(list_filter(tokens, lambda t: list_contains(context, t))) hit, len(tokens) n from sent)"""
 
 
-def answer_sentences(spark, sf_dir) -> DataFrame:
-    return grounding.sentences(answers(spark, sf_dir), "answer", "context")
+def answer_sentences(spark, sf_dir, parts: bool = False) -> DataFrame:
+    return grounding.sentences(answers(spark, sf_dir), "answer", "context", parts)
 
 
 @query(f"with {SENTENCES} select conv_id, idx as index, round(case when n = 0 then 1 else hit / n end, 6) coverage, (case when n = 0 then 1 else hit / n end) >= 0.7 supported, case when n = 0 then null else round(hit / n, 6) end coverage_or_null from cov")
@@ -361,7 +361,7 @@ ROUNDED = ", ".join(f"round({f}::double, 6) {f}" if f != "position" else 'round(
 
 
 def feature_rows(spark, sf_dir) -> DataFrame:
-    return grounding.features(answer_sentences(spark, sf_dir))
+    return grounding.features(answer_sentences(spark, sf_dir, parts=True))
 
 
 @query(f"with {FEATURED} select conv_id, idx as index, {ROUNDED} from feats")
