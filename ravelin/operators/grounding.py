@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import capitalised, citation_markers, content_tokens, first_sentences, held, is_idk, numerals, share_held, split_sentences, without_markers
 
@@ -18,11 +22,33 @@ def pairs(tokens: Column) -> Column:
     return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))  # a type, since the module is imported before there is a session
+def lacking(lists: pa.Array, pool: pa.Array) -> pa.Array:
+    """Of each list of a row's lists the distinct items, in order, that the row's pool lacks; null where the pool is null. All items of a
+    batch are compared at once by sorted (row, item) numbers, so the cost grows with the items, not with lists times pool."""
+    inner = pc.list_flatten(lists)
+    if not len(inner):  # an empty list of lists comes without the offsets that its own lists would need
+        return pa.array([None if x is None else [] for x in lists.to_pylist()], lists.type)
+    row = pc.list_parent_indices(lists).to_numpy()
+    items, at = pc.list_flatten(inner), pc.list_parent_indices(inner).to_numpy()
+    given, given_row = pc.list_flatten(pool), pc.list_parent_indices(pool).to_numpy()
+    coded = pa.concat_arrays([items, given]).dictionary_encode()
+    code, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    own = code[: len(items)]
+    lost = np.flatnonzero(~np.isin(row[at] * size + own, given_row * size + code[len(items) :]))
+    lost = lost[np.sort(np.unique(at[lost] * size + own[lost], return_index=True)[1])]
+    stops = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    unknown = np.asarray(pool.is_null())[row] if len(row) else np.zeros(0, bool)
+    lost = lost[~unknown[at[lost]]]
+    found = pa.ListArray.from_arrays(stops(np.bincount(at[lost], minlength=len(inner))), items.take(pa.array(lost)), mask=pa.array(unknown))
+    return pa.ListArray.from_arrays(stops(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), found, mask=lists.is_null())
+
+
 def sentences(answers: DataFrame, answer_col: str, context_col: str, parts: bool = False) -> DataFrame:
     """One row a sentence: index, sentence, total, its content tokens, those that the context lacks (``missing``) and ``context_size``, the
     number of the context's distinct tokens; with ``parts`` also pairs of tokens, numerals and capitalised words, and which of them the
-    context lacks. The whole answer meets the context once; what the context lacks is then dealt to the sentences, and only small
-    rows come out of the explosion: a long context is neither made, hashed nor copied for each sentence."""
+    context lacks. The sentences of an answer meet its context together (``lacking``), and only small rows come out of the explosion: a
+    long context is neither made, hashed nor copied for each sentence."""
     keep = [c for c in answers.columns if c not in (answer_col, context_col)]
     pools = {"tokens": "context"} | ({"bigrams": "context_bigrams", "nums": "context_nums", "caps": "context"} if parts else {})
     lost = {"tokens": "missing", "bigrams": "bigrams lost", "nums": "nums lost", "caps": "caps lost"}
@@ -32,9 +58,9 @@ def sentences(answers: DataFrame, answer_col: str, context_col: str, parts: bool
         more = lambda x: F.struct(x.sentence.alias("sentence"), x.tokens.alias("tokens"), pairs(x.tokens).alias("bigrams"), numerals(x.sentence).alias("nums"), capitalised(x.sentence).alias("caps"))
         rows = rows.select(*keep, F.transform("s", more).alias("s"), "context_list", F.array_distinct(pairs(F.col("context_list"))).alias("context_bigrams"), numerals(F.col("context_text")).alias("context_nums"))
     rows = rows.withColumn("context", F.array_distinct("context_list"))
-    without = [F.array_except(F.flatten(f"s.{name}"), F.col(pool)).alias(f"{name} of none") for name, pool in pools.items()]
-    rows = rows.select(*keep, "s", F.size("context").alias("context_size"), *without)
-    met = lambda x: F.struct(x.sentence.alias("sentence"), *(x[name].alias(name) for name in pools), *(F.array_intersect(x[name], F.col(f"{name} of none")).alias(lost[name]) for name in pools))
+    told = [lacking(F.col("s")[name], F.col(pool)).alias(f"{name} lacking") for name, pool in pools.items()]
+    rows = rows.select(*keep, "s", F.size("context").alias("context_size"), *told)
+    met = lambda x, i: F.struct(x.sentence.alias("sentence"), *(x[name].alias(name) for name in pools), *(F.get(f"{name} lacking", i).alias(lost[name]) for name in pools))
     rows = rows.select(*keep, F.size("s").alias("total"), "context_size", F.posexplode(F.transform("s", met)).alias("index", "x"))
     return rows.select(*keep, "index", "total", "context_size", "x.*")
 
