@@ -53,6 +53,16 @@ def rerank(fused: DataFrame, *, depth: int = 20, final: int = 10, batch: int = 5
     return out.filter(F.col("position") <= final)
 
 
+def by_relevance(scored: DataFrame, top_k: int | None = None) -> DataFrame:
+    """Candidates (qid, id, rank, rerank_score) of each query by relevance alone, without budget or fallback: greatest score first, ties in
+    order of rank; an unknown score (null or NaN) comes last. Returns qid, id, position, rerank_score."""
+    if top_k is not None and top_k <= 0:
+        raise ValueError("top_k must be positive")
+    order = W.partitionBy("qid").orderBy(F.nanvl("rerank_score", F.lit(None).cast("double")).desc_nulls_last(), "rank")
+    out = scored.select("qid", "id", F.row_number().over(order).alias("position"), "rerank_score")
+    return out.filter(F.col("position") <= top_k) if top_k else out
+
+
 def with_empty(queries: DataFrame, reranked: DataFrame) -> DataFrame:
     """With one row (position 0) of status 'no_candidates' for each query (qid) that has no candidate."""
     rows = queries.select("qid").distinct().join(reranked, "qid", "left")

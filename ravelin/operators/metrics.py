@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import written
 from .quantiles import at_ranks, quantiles
@@ -92,6 +95,58 @@ def describe(rows: DataFrame, *columns: str) -> DataFrame:
     return basic.join(found, "column_name", "left").select("column_name", *(F.round(n, 6).alias(n) for n in names))
 
 
+def present(rows: DataFrame, column: str) -> Column:
+    """Neither null nor NaN."""
+    here = F.col(f"`{column}`").isNotNull()
+    kind = rows.schema[column].dataType
+    return here & ~F.isnan(F.col(f"`{column}`")) if isinstance(kind, (T.DoubleType, T.FloatType)) else here
+
+
+def completeness(rows: DataFrame) -> DataFrame:
+    """One row a column: its type, the rows that have a value there (NaN is none), those that lack it, and the share of those that have
+    one in percent (null for an empty table). One pass, whatever the number of columns."""
+    counted = rows.agg(F.count("*").alias("n"), F.array(*(F.count_if(present(rows, c)) for c in rows.columns)).alias("had"))
+    told = F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type")) for f in rows.schema))
+    long = counted.select("n", F.explode(F.arrays_zip(told.alias("told"), F.col("had"))).alias("x")).select("x.told.*", F.col("x.had").alias("present"), "n")
+    return long.select("column_name", "type", "present", (F.col("n") - F.col("present")).alias("missing"), F.round(100 * F.col("present") / F.nullif("n", F.lit(0)), 6).alias("percent"))
+
+
+def table_shape(rows: DataFrame) -> DataFrame:
+    """One row a column type: columns of that type, values missing in them, and of the whole table rows, columns and duplicated rows (rows
+    equal to another in every column, all but one of each; null equals null). Rows meet by a 256-bit digest of their JSON form."""
+    whole = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}), 256)
+    all_rows = rows.select(whole.alias("h")).groupBy("h").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicated"))
+    types = completeness(rows).groupBy("type").agg(F.count("*").alias("columns"), F.sum("missing").alias("missing"))
+    return types.join(F.broadcast(all_rows)).withColumn("all_columns", F.lit(len(rows.columns)))  # one row
+
+
+def histogram(rows: DataFrame, value: str, bins: int = 28) -> DataFrame:
+    """Bins of equal width from the least to the greatest value (of one value only: half a unit to both sides): bin, low, high, n, empty
+    bins, too; the last one holds its upper end. Nulls, NaN and infinite values are not counted; without values there is no bin."""
+    v = F.col("v")
+    held = written(rows.select(F.col(f"`{value}`").cast("double").alias("v")).filter(F.abs("v") < float("inf")), "binned")  # read twice
+    ends = held.agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a is not null")
+    ends = ends.select(F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
+    of = F.least(F.floor((v - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1))
+    counts = held.join(F.broadcast(ends)).groupBy(of.alias("bin")).agg(F.count("*").alias("n"))  # ends: one row
+    edge = lambda i: F.round(F.col("a") + (F.col("b") - F.col("a")) * i / bins, 6)
+    all_bins = ends.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    return all_bins.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def boxes(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """What a box plot shows of each group: n, quartiles (linear), whiskers (the least and greatest value within 1.5 interquartile ranges
+    of the box, or the box's end where there is none beyond it) and the number of values outside them. Quartiles are exact; nulls and NaN are not counted."""
+    long = written(rows.select(*by, F.col(f"`{value}`").cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")), "boxes")  # read several times
+    found = quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, *by).select(*(F.col(c).alias(f"of {c}") for c in by), "q25", "q50", "q75")
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    inside = (F.col("v") >= F.col("q25") - reach) & (F.col("v") <= F.col("q75") + reach)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"of {c}")) for c in by), F.lit(True))
+    low, high = F.least(F.min(F.when(inside, F.col("v"))), F.col("q25")), F.greatest(F.max(F.when(inside, F.col("v"))), F.col("q75"))
+    out = long.join(found, same).groupBy(*by, "q25", "q50", "q75").agg(F.count("*").alias("n"), low.alias("low"), high.alias("high"), F.count_if(~inside).alias("outside"))
+    return out.select(*by, "n", *(F.round(c, 6).alias(c) for c in ("low", "q25", "q50", "q75", "high")), "outside")
+
+
 def correlations(rows: DataFrame, *columns: str) -> DataFrame:
     """All pairs of columns with Pearson's r."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -226,6 +226,11 @@ def rerank_merge(spark, sf_dir):
     return fusion.rerank(candidates(spark, sf_dir))
 
 
+@query(f"with {SCORED} select qid, id, (row_number() over (partition by qid order by rerank_score desc, rank))::int position, rerank_score from cand")
+def rerank_standalone(spark, sf_dir):
+    return fusion.by_relevance(candidates(spark, sf_dir))
+
+
 GOLD = "gold as (select item_id qid, doc_id id from benchmark b join documents d on contains(d.text, b.text))"
 
 
@@ -562,6 +567,45 @@ def describe(spark, sf_dir):
     return metrics.describe(labelled(spark, sf_dir), "n_chars", "n_tokens")
 
 
+# The poster's statistics, over the learning examples (a row a sentence: the features and the label) and over documents.
+LEARNED_COLUMNS = [*grounding.FEATURES, "label"]
+HELD = (lambda c, of: f"select '{c}' column_name, count(\"{c}\") present, count(*) - count(\"{c}\") missing, round(100 * count(\"{c}\") / count(*), 6) as percent from {of}")
+DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+BOXED = (lambda name, by: f"""select {by}, q25, q50, q75, q25 - 1.5 * (q75 - q25) a, q75 + 1.5 * (q75 - q25) b from (select {by}, quantile_cont(v, 0.25) q25, quantile_cont(v, 0.5) q50, quantile_cont(v, 0.75) q75 from {name} group by {by})""")
+BOXES = (lambda name, by: f"""select {by}, count(*) n, round(least(min(v) filter (v between a and b), q25), 6) low, round(q25, 6) q25, round(q50, 6) q50, round(q75, 6) q75, round(greatest(max(v) filter (v between a and b), q75), 6) high, count(*) filter (v not between a and b) outside from {name} join ({BOXED(name, by)}) using ({by}) group by {by}, q25, q50, q75""")
+
+
+@query(f"with {LEARNED} " + " union all ".join(HELD(c, "ex") + "" for c in LEARNED_COLUMNS))
+def feature_completeness(spark, sf_dir):
+    return metrics.completeness(examples(spark, sf_dir).select(*LEARNED_COLUMNS)).drop("type")
+
+
+@query(" union all ".join(f"select *, '{kind}' as type from ({HELD(c, 'documents')})" for c, kind in DOCUMENT_TYPES.items()))
+def document_completeness(spark, sf_dir):
+    return metrics.completeness(table(spark, sf_dir, "documents").select(*DOCUMENT_TYPES))
+
+
+@query("with d as (select (select count(*) from documents) as rows, (select count(*) from documents) - (select count(*) from (select distinct text, lang, source, n_chars from documents)) duplicated) select type, columns, missing, rows, duplicated, 4 all_columns from d, (select 'string' as type, 3 as columns, (count(*) * 3 - count(text) - count(lang) - count(source)) missing from documents union all select 'bigint', 1, count(*) - count(n_chars) from documents)")
+def document_shape(spark, sf_dir):
+    return metrics.table_shape(table(spark, sf_dir, "documents").drop("doc_id"))
+
+
+@query(f"with {LEARNED}, e as (select min(coverage) a, max(coverage) b from ex), b as (select least(floor((coverage - a) / (b - a) * 28), 27)::bigint bin, count(*) n from ex, e group by 1) select i as bin, round(a + (b - a) * i / 28, 6) low, round(a + (b - a) * (i + 1) / 28, 6) high, coalesce(n, 0) n from (select unnest(range(28)) i) left join b on bin = i, e")
+def coverage_histogram(spark, sf_dir):
+    return metrics.histogram(examples(spark, sf_dir), "coverage")
+
+
+@query(f"with {LEARNED}, long as (" + " union all ".join(f"""select '{c}' feature, "{c}"::double v from ex""" for c in grounding.FEATURES) + f") {BOXES('long', 'feature')}")
+def feature_boxes(spark, sf_dir):
+    stacked = ", ".join(f"'{c}', cast(`{c}` as double)" for c in grounding.FEATURES)
+    return metrics.boxes(examples(spark, sf_dir).selectExpr(f"stack({len(grounding.FEATURES)}, {stacked}) as (feature, v)"), "v", "feature")
+
+
+@query(f"with {LEARNED}, long as (select label, coverage::double v from ex) {BOXES('long', 'label')}")
+def coverage_boxes(spark, sf_dir):
+    return metrics.boxes(examples(spark, sf_dir), "coverage", "label")
+
+
 CORR = (lambda a, b: f"select '{a}' a, '{b}' b, round(corr({a}::double, {b}::double), 6) r from lab")
 
 
@@ -817,3 +861,12 @@ def index_rebuild(spark, sf_dir):
     again = docs.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text")))
     added = docs.select((-1 - F.col("id")).alias("id"), F.concat(F.lit("new "), "text").alias("text"), "ord")
     return fusion.union_chunks(docs, again.unionByName(added)).select("id", F.sha2("text", 256).alias("sha"), "ord")
+
+
+@query("""with vocab as (select word, row_number() over (order by md5('42:' || word), word) - 1 i from (select distinct unnest(string_split_regex(lower(text), '\\s+')) word from documents) where word <> ''),
+made as (select unnest(range((select count(*) from documents))) doc_id), lengths as (select doc_id, 80 + ('0x' || md5('42:' || doc_id)[1:8])::bigint % 41 length from made),
+drawn as (select doc_id, place, least(floor(pow((select count(*) from vocab) + 1.0::double, ('0x' || md5('42:' || doc_id || ':' || place)[1:8])::bigint / 4294967296.0::double)) - 1, (select count(*) from vocab) - 1)::bigint i from (select doc_id, unnest(range(1, length + 1)) place from lengths))
+select doc_id, sha256(string_agg(word, ' ' order by place)) text_sha256 from drawn join vocab using (i) group by doc_id""")
+def synthetic_corpus(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return corpus.synthetic_like(docs, docs.count()).select("doc_id", F.sha2("text", 256).alias("text_sha256"))

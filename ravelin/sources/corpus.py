@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalise_newlines, paragraphs, slug
+from ..operators.ordered import numbered
 from .lines import read_lines
+from .shared import written
 
 REQUIRED = ("doc_id", "text", "title")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text", "source")])
@@ -172,3 +174,34 @@ def synthetic(spark: SparkSession, n: int, vocabulary: int = 5000, seed: int = 4
     unit = lambda i: F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     word = lambda i: F.concat(F.lit("w"), F.floor(F.pow(F.lit(float(vocabulary)), unit(i))).cast("string"))
     return spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), length.cast("int")), word), " ").alias("text"))
+
+
+#: Words that are joined by a broadcast; drawn words beyond them are rare enough for a shuffle.
+FREQUENT = 10_000
+
+
+def vocabulary(docs: DataFrame, seed: int = 42, *, text_col: str = "text") -> DataFrame:
+    """The distinct lower-case white-space words of all texts (word, i), numbered from 0 in an order that the seed shuffles."""
+    words = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != ""))).alias("word")).distinct()
+    shuffled = written(words.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "word"))), "vocabulary")
+    return numbered(shuffled, ["h", "word"], "i").select("word", "i")
+
+
+def synthetic_like(docs: DataFrame, n: int, seed: int = 42, *, text_col: str = "text") -> DataFrame:
+    """n documents (doc_id, text) of 80 to 120 words each, drawn from the words of these texts with weight 1/(i+1) for word i, so that
+    their tokens are as long as real ones. The first ``FREQUENT`` words, which hold most draws, come by a broadcast, the others by a
+    shuffle in which no word has more than about 1/``FREQUENT`` of the draws. Without words there is no document."""
+    spark = docs.sparkSession
+    words = written(vocabulary(docs, seed, text_col=text_col), "numbered")
+    size = words.count()
+    if not size:
+        return spark.createDataFrame([], "doc_id long, text string")
+    chance = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+    made = spark.range(n).select(F.col("id").alias("doc_id"), (80 + chance(F.col("id")) % 41).cast("int").alias("length"))
+    drawn = made.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("length"))).alias("place"))
+    unit = chance(F.col("doc_id"), F.col("place")) / F.lit(float(1 << 32))
+    drawn = drawn.withColumn("i", F.least(F.floor(F.pow(F.lit(float(size + 1)), unit)) - 1, F.lit(size - 1)))
+    often = drawn.filter(F.col("i") < FREQUENT).join(F.broadcast(words.filter(F.col("i") < FREQUENT)), "i")
+    seldom = drawn.filter(F.col("i") >= FREQUENT).join(words.filter(F.col("i") >= FREQUENT), "i")
+    whole = often.unionByName(seldom).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    return whole.select("doc_id", F.array_join("w.word", " ").alias("text"))
