@@ -202,6 +202,7 @@ def synthetic_like(docs: DataFrame, n: int, seed: int = 42, *, text_col: str = "
     unit = chance(F.col("doc_id"), F.col("place")) / F.lit(float(1 << 32))
     drawn = drawn.withColumn("i", F.least(F.floor(F.pow(F.lit(float(size + 1)), unit)) - 1, F.lit(size - 1)))
     often = drawn.filter(F.col("i") < FREQUENT).join(F.broadcast(words.filter(F.col("i") < FREQUENT)), "i")
-    seldom = drawn.filter(F.col("i") >= FREQUENT).join(words.filter(F.col("i") >= FREQUENT), "i")
+    # Spark takes the drawn words for as few rows as there are documents, and would send them all to the driver for a broadcast.
+    seldom = drawn.filter(F.col("i") >= FREQUENT).hint("merge").join(words.filter(F.col("i") >= FREQUENT), "i")
     whole = often.unionByName(seldom).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
     return whole.select("doc_id", F.array_join("w.word", " ").alias("text"))
