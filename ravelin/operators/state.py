@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import written
 from . import timeline
 
 #: Output rows that a task gathers before it hands them on.
@@ -280,9 +281,11 @@ def increase(events: DataFrame, window_us: int, *by: str) -> DataFrame:
 
 def counter_rate(samples: DataFrame, window_us: int, *by: str) -> DataFrame:
     """Of the samples of a cumulative counter in the window that ends with each: the increase (falls are resets), stretched to the
-    window as far as its ends are near samples, and its rate a second. samples: us (once for each of ``by``), value."""
-    keys, width = list(by), max(1, window_us // 8)
-    rows = timeline.running(counter_increase(samples, *by, width_us=width), keys, ["us"], width, {"place": ("count", F.lit(1), True), "upto": ("sum", F.col("increase"), True)})
+    window as far as its ends are near samples, and its rate a second. samples: us (once for each of ``by``), value. Slots get narrower
+    with more samples, so a task's memory does not grow with them; the running sums are written, since three steps read them."""
+    keys = list(by)
+    width = timeline.fitting(samples, keys, "us", max(1, window_us // 8))
+    rows = written(timeline.running(counter_increase(samples, *by, width_us=width), keys, ["us"], width, {"place": ("count", F.lit(1), True), "upto": ("sum", F.col("increase"), True)}), "counter")
     # The first sample of each window: the next one after the time at which the window begins.
     probes = rows.select(*keys, (F.col("us") - window_us).alias("us"), F.col("us").alias("of"))
     marked = rows.withColumn("of", F.lit(None).cast("long")).unionByName(probes, allowMissingColumns=True)

@@ -14,12 +14,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT, TOTAL = "time slot", "is a total"
+#: Rows that a key should have in a slot at most, and passes that look for a slot as narrow as that.
+SLOT_ROWS, PASSES = 100_000, 4
 
 
 def slot(us: str, width_us: int) -> Column:
     return F.expr(f"(`{us}` - pmod(`{us}`, {width_us})) div {width_us}")
 
 
+def fitting(rows: DataFrame, by: list[str], us: str, width_us: int, most: int | None = None) -> int:
+    """A width up to ``width_us`` with which no key has more than ``most`` (``SLOT_ROWS``) rows in a slot; rows of one time stay together.
+    Each pass counts the rows of the slots."""
+    most = most or SLOT_ROWS
+    for _ in range(PASSES):
+        counts = rows.filter(F.col(us).isNotNull()).groupBy(*by, slot(us, width_us).alias(SLOT)).agg(F.count("*").alias("n"))
+        top = counts.agg(F.max("n")).first()[0] or 0
+        if top <= most or width_us == 1:
+            break
+        width_us = max(1, width_us // -(-top // most))
+    return width_us
+
+
 def running(rows: DataFrame, by: list[str], order: list[str], width_us: int, values: dict[str, tuple[str, Column, bool]], *, backwards: bool = False) -> DataFrame:
     """Rows with, for each name, an aggregate (``sum``, ``count``, ``min`` or ``max``) of the key's rows up to this one (the flag:
     with it) in the order of these columns, of which the first is the time in microseconds; ``backwards``: from this one on."""

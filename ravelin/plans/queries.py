@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dense, fusion, grounding, impacts, learning, lexical, metrics, pipelines, state
+from ..operators import dense, fusion, grounding, impacts, learning, lexical, metrics, pipelines, state, timeline
 from ..operators.quantiles import at_ranks, quantiles
 from ..sources import corpus, versions
 from ..sources.lines import read_lines
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, written
 from ..sources.vectors import VectorIndex
 
 QUERIES: dict = {}
@@ -755,11 +755,11 @@ b as (select *, case when n > 1 then case when lead < span / (n - 1) * 1.1 then
 f as (select *, case when n > 1 then gained * (span + least(bef, coalesce(case when gained > 0 then span * base / gained end, bef))) / span end total from b)
 select event_type, us, round(total, 6) increase, round(total * 1000000 / 3600000000000, 9) rate from f""")
 def counter_rate(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("event_type").orderBy("us", "event_id"))
-    samples = events(spark, sf_dir).select("event_type", "us", (place % 40).cast("double").alias("v")).groupBy("event_type", "us").agg(F.max("v").alias("value"))
-    return state.counter_rate(samples, 1000 * HOUR, "event_type")
+    rows = events(spark, sf_dir).select("event_type", "us", "event_id")
+    width = timeline.fitting(rows, ["event_type"], "us", 125 * HOUR)
+    placed = timeline.running(rows, ["event_type"], ["us", "event_id"], width, {"place": ("count", F.lit(1), True)})
+    samples = placed.groupBy("event_type", "us").agg(F.max((F.col("place") % 40).cast("double")).alias("value"))
+    return state.counter_rate(written(samples, "samples"), 1000 * HOUR, "event_type")
 
 
 @query("""select metric, case when metric in ('citation_rejected_answers', 'admission_rejected') then '' else label end as label, count(*) as value from (select ['errors','cache_requests','citation_rejected_answers','unknown'][event_id % 4 + 1] metric, case when event_id % 5 > 0 then event_type end label from events) where metric <> 'unknown' and (label is not null or metric = 'citation_rejected_answers') group by all""")

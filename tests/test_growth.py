@@ -1,6 +1,9 @@
 """What must not grow with the tables: rows sent to the driver, in one task, or in one Python batch."""
 
 
+from pyspark.sql import functions as F
+
+from ravelin.operators import state, timeline
 from ravelin.sources import corpus
 
 
@@ -11,3 +14,13 @@ def plan(df):
 def test_drawn_words_are_not_broadcast(spark):
     docs = spark.createDataFrame([(k, f"one two three{k}") for k in range(50)], "doc_id long, text string")
     assert plan(corpus.synthetic_like(docs, 1000)).count("SortMergeJoin") == 1
+
+
+def test_slots_get_narrower_with_more_rows(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 + F.when(F.col("id") > 3000, 1000).otherwise(0)).alias("us"), (F.col("id") % 40).cast("double").alias("value"))
+    wide = {(r["k"], r["us"]): (r["increase"], r["rate"]) for r in state.counter_rate(rows, 80_000, "k").collect()}
+    monkeypatch.setattr(timeline, "SLOT_ROWS", 100)
+    width = timeline.fitting(rows, ["k"], "us", 10_000)
+    assert rows.groupBy("k", timeline.slot("us", width).alias("s")).count().agg(F.max("count")).first()[0] <= 100
+    assert {(r["k"], r["us"]): (r["increase"], r["rate"]) for r in state.counter_rate(rows, 80_000, "k").collect()} == wide
+    assert timeline.fitting(rows.withColumn("us", F.lit(5)), ["k"], "us", 10_000) >= 1  # one time cannot be cut
