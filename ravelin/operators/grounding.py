@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import capitalised, citation_markers, content_tokens, first_sentences, held, is_idk, numerals, share_held, split_sentences, without_markers
+from ..sources.shared import small_batches
 
 THRESHOLD = 0.7
 #: Statuses of answers that may be cached, and the names of the features.
@@ -48,7 +49,8 @@ def sentences(answers: DataFrame, answer_col: str, context_col: str, parts: bool
     """One row a sentence: index, sentence, total, its content tokens, those that the context lacks (``missing``) and ``context_size``, the
     number of the context's distinct tokens; with ``parts`` also pairs of tokens, numerals and capitalised words, and which of them the
     context lacks. The sentences of an answer meet its context together (``lacking``), and only small rows come out of the explosion: a
-    long context is neither made, hashed nor copied for each sentence."""
+    long context is neither made, hashed nor copied for each sentence. They come to Python in small batches."""
+    small_batches(answers.sparkSession)
     keep = [c for c in answers.columns if c not in (answer_col, context_col)]
     pools = {"tokens": "context"} | ({"bigrams": "context_bigrams", "nums": "context_nums", "caps": "context"} if parts else {})
     lost = {"tokens": "missing", "bigrams": "bigrams lost", "nums": "nums lost", "caps": "caps lost"}

@@ -1,10 +1,12 @@
 """What must not grow with the tables: rows sent to the driver, in one task, or in one Python batch."""
 
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ravelin.operators import state, timeline
+from ravelin.operators import grounding, state, timeline
 from ravelin.sources import corpus
+from ravelin.sources.shared import BATCH_BYTES, BATCH_LIMIT
 
 
 def plan(df):
@@ -24,3 +26,16 @@ def test_slots_get_narrower_with_more_rows(spark, monkeypatch):
     assert rows.groupBy("k", timeline.slot("us", width).alias("s")).count().agg(F.max("count")).first()[0] <= 100
     assert {(r["k"], r["us"]): (r["increase"], r["rate"]) for r in state.counter_rate(rows, 80_000, "k").collect()} == wide
     assert timeline.fitting(rows.withColumn("us", F.lit(5)), ["k"], "us", 10_000) >= 1  # one time cannot be cut
+
+
+def test_grounding_takes_small_batches(spark):
+    spark.conf.unset(BATCH_LIMIT)
+    answers = spark.range(0, 6000, 1, 1).select("id", F.lit("One two. Three.").alias("answer"), F.repeat(F.lit("three four five "), 200).alias("context"))
+    rows = grounding.sentences(answers, "answer", "context")
+
+    @F.arrow_udf("long")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    assert answers.select(held("context").alias("n")).agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    assert {tuple(r["missing"]) for r in rows.collect()} == {("one", "two"), ()}
