@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.shared import small_batches
 from .blocks import top_by_blocks, vectors
 from .lexical import ranked
 
@@ -106,19 +108,24 @@ class OnnxModel:
         return self._run(self.tokenizer.encode_batch([(query, p) for p in passages]))[0].reshape(len(passages), -1)[:, 0]
 
 
+@lru_cache(1 << 16)
+def token_place(token: str) -> tuple[bytes, bool]:
+    """Bytes 0-3 of the token's md5, and whether byte 4 is even."""
+    digest = hashlib.md5(token.encode()).digest()
+    return digest[:4], digest[4] % 2 == 0
+
+
 def token_places(tokens: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each token its bucket (md5 bytes 0-3, little endian, modulo dim) and sign (+ for an even byte 4)."""
-    digests = [hashlib.md5(t.encode()).digest() for t in tokens]
-    return np.array([int.from_bytes(d[:4], "little") % dim for d in digests], np.int64), np.array([1.0 if d[4] % 2 == 0 else -1.0 for d in digests])
+    places = [token_place(t) for t in tokens]
+    return np.frombuffer(b"".join(p for p, _ in places), "<u4").astype(np.int64) % dim, np.where([even for _, even in places], 1.0, -1.0)
 
 
-def hashing_vectors(docs: DataFrame, dim: int = 384, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, vector: unit vectors of hashed tokens, null without any. Tokens are made by Spark; a batch's distinct tokens are hashed
-    once, and nothing is shuffled."""
-    if dim <= 0:
-        raise ValueError("dim must be positive")
+def hashed(dim: int):
+    """Blocks of rows (id, tokens): the rows, their vectors of length 1 or 0, and whether a row has one. A batch's distinct tokens are
+    hashed once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
@@ -132,13 +139,30 @@ def hashing_vectors(docs: DataFrame, dim: int = 384, *, id_col: str = "doc_id",
                 norm = np.sqrt((dense * dense).sum(axis=1))
                 some = norm > 0
                 dense[some] /= norm[some][:, None]
-                offsets = np.concatenate([[0], np.cumsum(np.where(some, dim, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense[some].ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "vector"])
+                yield batch, dense, some
+
+    return read
+
+
+def hashing_vectors(docs: DataFrame, dim: int = 384, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, vector: unit vectors of hashed tokens, null without any. Tokens are made by Spark; a batch's distinct tokens are hashed
+    once, and nothing is shuffled."""
+    if dim <= 0:
+        raise ValueError("dim must be positive")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, dense, some in hashed(dim)(batches):
+            offsets = np.concatenate([[0], np.cumsum(np.where(some, dim, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense[some].ravel()), mask=pa.array(~some))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "vector"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    tokens = F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>"))
-    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).mapInArrow(run, f"id {kind}, vector array<double>")
+    return _tokens(docs, id_col, text_col).mapInArrow(run, f"id {kind}, vector array<double>")
+
+
+def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
 
 
 def hashing_embed(docs: DataFrame, dim: int = 384, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,9 +194,27 @@ def dense_topk(queries: DataFrame, docs: DataFrame, top_k: int = 10, max_queries
         raise ValueError("query vectors must have one length")
     dim = len(asked[0][1]) if asked else 0
     rows = checked(docs.select("id", "vector"), dim) if asked else docs.select("id", "vector").limit(0)
+    return _best(queries, asked, rows, vectors, dim, top_k, max_queries)
+
+
+def hashed_topk(queries: DataFrame, docs: DataFrame, top_k: int = 10, dim: int = 384, max_queries: int = 20_000, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dense_topk`` over the ``hashing_vectors`` of these texts, which are multiplied where they are made: they do not go back to Spark
+    in between. queries: qid, vector."""
+    if top_k <= 0:
+        raise ValueError("top_k must be positive")
+    asked = [(r["qid"], r["vector"]) for r in queries.filter("vector is not null").select("qid", "vector").collect()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+        for batch, block, some in hashed(dim)(batches):
+            yield batch.column(0).filter(pa.array(some)).to_pylist(), block[some]
+
+    return _best(queries, asked, _tokens(docs, id_col, text_col), read, dim, top_k, max_queries)
+
+
+def _best(queries: DataFrame, asked: list[tuple], rows: DataFrame, read, dim: int, top_k: int, max_queries: int) -> DataFrame:
     out = None
     for first in range(0, max(len(asked), 1), max_queries):
         part = asked[first : first + max_queries]
-        found = top_by_blocks(rows, vectors, [q for q, _ in part], np.array([v for _, v in part], np.float64).reshape(len(part), dim), queries.schema["qid"].dataType, top_k)
+        found = top_by_blocks(rows, read, [q for q, _ in part], np.array([v for _, v in part], np.float64).reshape(len(part), dim), queries.schema["qid"].dataType, top_k)
         out = found if out is None else out.unionByName(found)
     return ranked(out, top_k)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.shared import small_batches, written
 from .blocks import BLOCK_DOCS, by_document, entries, top_by_blocks
 
 K1, B = 1.5, 0.75
@@ -83,32 +84,33 @@ def scored(asked: DataFrame, posts: DataFrame, n: int, avgdl: float, kind, top_k
 
 
 def term_counts(terms: list[str]):
-    """Blocks of documents (id, tokens): ids, how often each document has each of these terms, and lengths."""
+    """Arrow function over documents (id, tokens): id, length, and of the terms that the document has their numbers and how often."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(terms, pa.string())
-        size = max(64, min(BLOCK_DOCS, 4_000_000 // max(len(terms), 1)))
         for batch in batches:
-            for first in range(0, batch.num_rows, size):
-                part = batch.slice(first, size)
+            for first in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(first, BLOCK_DOCS)
                 tokens = part.column(1)
                 length = np.diff(tokens.offsets.to_numpy())
                 code = pc.fill_null(pc.index_in(tokens.flatten(), known), -1).to_numpy()
-                row = np.repeat(np.arange(len(length)), length)
-                some = code >= 0
-                tf = np.bincount(row[some] * len(terms) + code[some], minlength=len(length) * len(terms)).reshape(len(length), len(terms))
-                yield part.column(0).to_pylist(), tf, length
+                row, some = np.repeat(np.arange(len(length)), length), code >= 0
+                pair, tf = np.unique(row[some] * max(len(terms), 1) + code[some], return_counts=True)
+                cut = pa.array(np.searchsorted(pair, np.arange(len(length) + 1) * max(len(terms), 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (pair % max(len(terms), 1), tf)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int32()), *lists], ["id", "length", "term", "tf"])
 
-    return read
+    return run
 
 
 def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 30, *, id_col: str = "doc_id", text_col: str = "text", max_queries: int = 1000) -> DataFrame:
-    """queries: qid, query. Returns qid, id, score, rank; ties go to the smaller id. Two passes over the texts and no shuffle of
-    them: the first adds up lengths and the document frequencies of the queries' terms, the second multiplies documents block
-    by block with the queries, and each task hands on its best top_k of each query. ``max_queries``: as many at a time; more
-    take further passes."""
+    """queries: qid, query. Returns qid, id, score, rank; ties go to the smaller id. One pass over the texts and no shuffle of
+    them: it writes each document's length and how often it has the queries' terms. Of that small table come the document
+    frequencies; then documents are multiplied block by block with the queries, and each task hands on its best top_k of each
+    query. ``max_queries``: as many at a time; more take further passes."""
     if top_k <= 0:
         raise ValueError("top_k must be positive")
+    small_batches(docs.sparkSession)
     given = queries.select("qid", F.array_distinct(tokenize(F.coalesce("query", F.lit("")))).alias("terms")).collect()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
     kind, out = queries.schema["qid"].dataType, None
@@ -121,30 +123,32 @@ def bm25(queries: DataFrame, docs: DataFrame, top_k: int = 30, *, id_col: str =
 
 
 def _search(rows: DataFrame, part: list[tuple], terms: list[str], kind, top_k: int) -> DataFrame:
-    read = term_counts(terms)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, df = 0, 0, np.zeros(len(terms), np.int64)
-        for _, tf, length in read(batches):
-            n, total, df = n + len(length), total + int(length.sum()), df + (tf > 0).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "total", "df"])
-
-    n, total, df = 0, 0, np.zeros(len(terms), np.int64)
-    for r in rows.mapInArrow(count, "n long, total long, df array<long>").toLocalIterator():
-        n, total, df = n + r["n"], total + r["total"], df + np.array(r["df"], np.int64)
-    average = total / n if total else 1.0
+    spec = f"id {rows.schema['id'].dataType.simpleString()}, length int, term array<int>, tf array<int>"
+    counted = written(rows.mapInArrow(term_counts(terms), spec), "counted")
+    one = counted.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+    n, df = one["n"], np.zeros(len(terms), np.int64)
+    for r in counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():
+        df[r["term"]] = r["df"]
+    average = one["total"] / n if one["total"] else 1.0
     idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5) + 1))
     column = {t: i for i, t in enumerate(terms)}
     matrix = np.zeros((len(part), len(terms)))
     for i, (_, own) in enumerate(part):
         for t in own:
             matrix[i, column[t]] = idf[column[t]]
+    size = max(64, min(BLOCK_DOCS, 1_000_000 // max(len(terms), 1)))
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
-        for ids, tf, length in read(batches):
-            yield ids, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / average))
-
-    return top_by_blocks(rows, weighted, [q for q, _ in part], matrix, kind, top_k, positive=True)
+        for batch in batches:
+            for first in range(0, batch.num_rows, size):
+                few = batch.slice(first, size)
+                length, own = few.column(1).to_numpy(), np.diff(few.column(2).offsets.to_numpy())
+                tf = np.zeros((len(length), len(terms)))
+                tf[np.repeat(np.arange(len(length)), own), few.column(2).flatten().to_numpy()] = few.column(3).flatten().to_numpy()
+                yield few.column(0).to_pylist(), tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / average))
+
+    found = counted.filter(F.size("term") > 0)
+    return top_by_blocks(found, weighted, [q for q, _ in part], matrix, kind, top_k, positive=True)
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, first_sentences, prompt, tokenize
+from ..sources.shared import written
 from . import dense, fusion, grounding, lexical
 
 #: Candidates that each search hands to the fusion, that are reranked, and that an answer's prompt takes.
@@ -40,7 +41,15 @@ def skeleton(queries: DataFrame, docs: DataFrame, top_k: int = FINAL) -> tuple[D
 def fused(queries: DataFrame, docs: DataFrame, top_k: int | None = None) -> DataFrame:
     """BM25 and hashed-vector candidates of each query, fused by rank."""
     asked = dense.hashing_vectors(queries, id_col="qid", text_col="query").withColumnRenamed("id", "qid")
-    return fusion.rrf([lexical.bm25(queries, docs, CANDIDATES), dense.dense_topk(asked, dense.hashing_vectors(docs), CANDIDATES)], top_k)
+    return fusion.rrf([lexical.bm25(queries, docs, CANDIDATES), dense.hashed_topk(asked, docs, CANDIDATES)], top_k)
+
+
+def with_texts(found: DataFrame, docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows (id and others) with the texts of their documents. Rows are written and counted; up to so many go to all tasks, so that texts
+    are not shuffled, and more meet them by a shuffle."""
+    found = written(found, "found")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    return texts.join(F.broadcast(found) if found.count() <= most else found, "id")
 
 
 def lexical_relevance(rows: DataFrame) -> DataFrame:
@@ -73,7 +82,7 @@ def model_relevance(rows: DataFrame, make: Callable[[], Reranker], batch: int =
 def hybrid(queries: DataFrame, docs: DataFrame, *, make: Callable[[], Reranker] | None = None, depth: int = DEPTH, final: int = FINAL, cost: float | None = None, budget: float | None = None) -> DataFrame:
     """Fused candidates, the first ``depth`` of them reranked within the budget: qid, id, position, source, status; a query without
     candidates has one row of status 'no_candidates'. A budget of 0 is the fallback by fused rank."""
-    found = fused(queries, docs).join(queries, "qid").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    found = with_texts(fused(queries, docs).join(queries, "qid"), docs)
     scored = model_relevance(found.filter(F.col("rank") <= depth), make) if make else lexical_relevance(found)
     if make:
         scored = found.select("qid", "id", "rank").join(scored.select("qid", "id", "rerank_score"), ["qid", "id"], "left")

@@ -206,7 +206,7 @@ SCORED = f"""{FUSED}, cand as (select f.qid, f.id, f.rank, round(len(list_filter
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    found = fused_lists(spark, sf_dir).join(asked(spark, sf_dir), "qid").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    found = pipelines.with_texts(fused_lists(spark, sf_dir).join(asked(spark, sf_dir), "qid"), table(spark, sf_dir, "documents"))
     return pipelines.lexical_relevance(found).select("qid", "id", "rank", "rerank_score")
 
 
@@ -243,7 +243,7 @@ def gold_pairs(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     tokens = docs.select("id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("key"))
     pairs = tokens.join(F.broadcast(items.filter("key is not null").select("qid", "key")), "key").select("id", "qid")
-    found = pairs.join(docs, "id").join(F.broadcast(items.select("qid", "want")), "qid").filter(F.col("text").contains(F.col("want")))
+    found = pipelines.with_texts(pairs, table(spark, sf_dir, "documents")).join(F.broadcast(items.select("qid", "want")), "qid").filter(F.col("text").contains(F.col("want")))
     short = items.filter("key is null").select("qid", "want")
     whole = docs.join(F.broadcast(short), F.col("text").contains(F.col("want")))
     return found.select("qid", "id").union(whole.select("qid", "id")).distinct()

@@ -4,7 +4,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ravelin.operators import grounding, state, timeline
+from ravelin.operators import dense, grounding, lexical, pipelines, state, timeline
 from ravelin.sources import corpus
 from ravelin.sources.shared import BATCH_BYTES, BATCH_LIMIT
 
@@ -39,3 +39,21 @@ def test_grounding_takes_small_batches(spark):
 
     assert answers.select(held("context").alias("n")).agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
     assert {tuple(r["missing"]) for r in rows.collect()} == {("one", "two"), ()}
+
+
+def test_search_reads_texts_once_and_shuffles_none(spark):
+    docs = spark.createDataFrame([(k, f"alpha w{k % 7} beta w{k % 5} {'gamma' * (k % 2)}") for k in range(60)] + [(60, None), (61, "")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "w3 gamma"), (2, "alpha w4"), (3, None)], "qid long, query string")
+    hits = lexical.bm25(asked, docs, 5)
+    assert "regexp_extract_all" not in plan(hits)  # lengths and counts were written by the first pass
+    assert {r["qid"] for r in hits.collect()} == {1, 2}
+    vectors = dense.hashing_vectors(asked, id_col="qid", text_col="query").withColumnRenamed("id", "qid")
+    one, other = dense.hashed_topk(vectors, docs, 5), dense.dense_topk(vectors, dense.hashing_vectors(docs), 5)
+    assert one.count() == 10 and one.exceptAll(other).isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = pipelines.with_texts(hits, docs)
+        assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found) and found.count() == 10
+        assert "SortMergeJoin" in plan(pipelines.with_texts(hits, docs, most=3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
