@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,8 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import normalise_newlines, paragraphs, slug
 from ..operators.ordered import numbered
+from .digests import Sha256
 from .lines import read_lines
-from .shared import written
+from .shared import Files, fresh_path, small_batches, written
 
 REQUIRED = ("doc_id", "text", "title")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text", "source")])
@@ -68,21 +68,75 @@ def chunk(docs: DataFrame, separator: str = "\n\n", *, id_col: str = "doc_id", t
     return rows.select("doc_id", "chunk_index", F.concat(F.col("doc_id").cast("string"), F.lit("::c"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", F.sha2("text", 256).alias("text_sha256"))
 
 
-def corpus_hash(chunks: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of ids and texts of all chunks in order, and their number. One digest over everything is sequential: one
-    task sorts the chunks (on disk where they are many) and streams them, holding no more than a batch. ``corpus_digest`` is the form
-    that grows with the cluster."""
+#: A chunk's text goes through the shuffle of ``corpus_hash`` in parts of so many characters, so many rows to a range; a task of the
+#: chain takes consecutive ranges of so many bytes, or one.
+PART_CHARS, RANGE_ROWS, CHAIN_BYTES = 4096, 1 << 16, 256 << 20
+
 
+def corpus_hash(chunks: DataFrame) -> DataFrame:
+    """One row: the SHA-256 of ids and texts of all chunks in order of doc_id (nulls last) and chunk_index, and their number; null
+    without any. A chunk without id or text counts, but adds nothing. Chunks that share doc_id and index come in an order that their
+    contents settle.
+
+    Ranges of the order are sorted side by side and written as blocks of bytes. One digest over everything is sequential, so then job
+    follows job: a task takes the next ``CHAIN_BYTES`` of blocks and hands the digest's state (112 bytes) by the driver to the next. All
+    runs when this is called. What a task reads does not grow with the corpus, the number of these jobs does; ``corpus_digest`` needs none."""
+    spark = chunks.sparkSession
+    small_batches(spark)
+    whole = F.col("chunk_id").isNotNull() & F.col("text").isNotNull()
+    parts = F.greatest(F.ceil(F.length("text") / PART_CHARS), F.lit(1))
+    size = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.when(whole, parts)), F.lit(0)).alias("rows")).first()
+
+    # The row's number keeps parts of equal chunks apart; it must be made before the parts are.
+    rows = chunks.filter(whole).select("doc_id", "chunk_index", "chunk_id", F.xxhash64("chunk_id", "text").alias("tie"), "text").withColumn("row", F.monotonically_increasing_id())
+    cut = F.when(F.length("text") > PART_CHARS, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0))).otherwise(F.array("text"))
+    rows = rows.select("doc_id", "chunk_index", "chunk_id", "tie", "row", F.posexplode(cut).alias("part", "text"))
+    head = F.when(F.col("part") == 0, F.concat(F.lit("\x00"), "chunk_id", F.lit("\x01"))).otherwise("")
+    rows = rows.select("doc_id", "chunk_index", "tie", "row", "part", F.concat(head, "text").cast("binary").alias("bytes"))
+    order = [F.asc_nulls_last("doc_id"), F.asc_nulls_last("chunk_index"), "tie", "row", "part"]
+    ordered = rows.repartitionByRange(max(1, -(-size["rows"] // RANGE_ROWS)), *order).sortWithinPartitions(*order).select("bytes")
+
+    def joined(batches):
+        for seq, batch in enumerate(batches):
+            block = b"".join(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([len(block)]), pa.array([block], pa.binary())], ["seq", "size", "block"])
+
+    path, schema = fresh_path(spark, "corpus-blocks"), "seq long, size long, block binary"
+    blocks = ordered.mapInArrow(joined, schema).withColumn("range", F.spark_partition_id())
+    blocks.sortWithinPartitions("range", "seq").write.partitionBy("range").parquet(path)
+    stored = spark.read.schema(f"{schema}, range int").option("basePath", path)
+    digest, state = Sha256(), None
+    for ranges in _runs(stored.parquet(path).groupBy("range").agg(F.sum("size").alias("size")).orderBy("range").collect(), CHAIN_BYTES):
+        some = stored.parquet(*(f"{path}/range={k}" for k in ranges)).coalesce(1).sortWithinPartitions("range", "seq").select("block")
+        state = some.mapInArrow(_absorbing(state), "state binary").first()["state"]
+        digest = Sha256(bytes(state))
+    Files(spark, path).delete("")
+    return spark.range(1).select(F.lit(digest.hexdigest() if state else None).cast("string").alias("corpus_sha256"), F.lit(size["chunks"]).cast("long").alias("chunks"))
+
+
+def _runs(ranges: list, most: int) -> list[list[int]]:
+    """Consecutive ranges of so many bytes in all, or single ones."""
+    runs, held = [], 0
+    for r in ranges:
+        if not runs or held + r["size"] > most:
+            runs.append([])
+            held = 0
+        runs[-1].append(r["range"])
+        held += r["size"]
+    return runs
+
+
+def _absorbing(state: bytes | None):
     def run(batches):
-        total, n = hashlib.sha256(), 0
+        digest, first = Sha256(state and bytes(state)), state is None
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total.update(f"{chr(0) if n else ''}{name}\x01{text}".encode())
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()]), pa.array([n])], ["corpus_sha256", "chunks"])
+            for block in batch.column(0):
+                data = block.as_py()
+                digest.update(data[1:] if first else data)  # no separator before the first chunk
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([digest.state], pa.binary())], ["state"])
 
-    ordered = chunks.repartition(1).sortWithinPartitions("doc_id", "chunk_index").select("chunk_id", "text")
-    return ordered.mapInArrow(run, "corpus_sha256 string, chunks long")
+    return run
 
 
 def corpus_digest(chunks: DataFrame) -> DataFrame:

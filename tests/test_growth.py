@@ -1,11 +1,13 @@
 """What must not grow with the tables: rows sent to the driver, in one task, or in one Python batch."""
 
+import hashlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ravelin.operators import dense, grounding, lexical, pipelines, state, timeline
 from ravelin.sources import corpus
+from ravelin.sources.digests import Sha256
 from ravelin.sources.shared import BATCH_BYTES, BATCH_LIMIT
 
 
@@ -57,3 +59,31 @@ def test_search_reads_texts_once_and_shuffles_none(spark):
         assert "SortMergeJoin" in plan(pipelines.with_texts(hits, docs, most=3))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_digest_state_carries_on():
+    data, state = bytes(range(256)) * 3, None
+    for cut in (data[:1], data[1:64], b"", data[64:700], data[700:]):
+        digest = Sha256(state)
+        digest.update(cut)
+        state = digest.state
+    assert digest.hexdigest() == digest.hexdigest() == hashlib.sha256(data).hexdigest()
+    assert Sha256().hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_corpus_hash_is_made_by_a_chain_of_tasks(spark, monkeypatch):
+    long = "é𝄞\n" * 500
+    rows = [(k, i, f"{k}::c{i}", long[: k * 7] if k % 9 == 0 else f"text {k} {i}") for k in range(300) for i in range(k % 4)]
+    rows += [(7, 9, "7::c9", long), (7, 9, "7::c9", long), (8, 9, "8::c9", ""), (None, 0, None, "no id"), (9, 9, "9::c9", None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, chunk_id string, text string").repartition(5)
+    told = [f"{c}\x01{t}" for _, _, c, t in sorted((r for r in rows if None not in r), key=lambda r: r[:2])]
+    monkeypatch.setattr(corpus, "PART_CHARS", 100)
+    monkeypatch.setattr(corpus, "RANGE_ROWS", 50)
+    monkeypatch.setattr(corpus, "CHAIN_BYTES", 2000)
+    taken, absorbing = [], corpus._absorbing
+    monkeypatch.setattr(corpus, "_absorbing", lambda state: taken.append(state) or absorbing(state))
+    found = corpus.corpus_hash(chunks).first()
+    assert (found["corpus_sha256"], found["chunks"]) == (hashlib.sha256("\0".join(told).encode()).hexdigest(), len(rows))
+    assert len(taken) > 3 and taken[0] is None and None not in taken[1:]
+    assert tuple(corpus.corpus_hash(chunks.filter("text is null")).first()) == (None, 1)  # as SQL: nothing to digest
+    assert tuple(corpus.corpus_hash(chunks.limit(0)).first()) == (None, 0)
